@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from tesselon.llm import packing
+from tesselon.llm import line_dedup, packing, token_files
 
 
 def queries() -> dict:
-    return {"op5_packing": packing.op5_packing}
+    return {
+        "op5_packing": packing.op5_packing,
+        "op6_line_dedup": line_dedup.op6_line_dedup,
+        "op9_token_files": token_files.op9_token_files,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_line_dedup": line_dedup.OP6_SQL}
