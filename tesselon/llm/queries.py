@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tesselon.llm import line_dedup, packing, token_files
+from tesselon.llm import line_dedup, packing, substring_dedup, token_files
 
 
 def queries() -> dict:
     return {
+        "op1_substring_dedup": substring_dedup.op1_substring_dedup,
         "op5_packing": packing.op5_packing,
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op9_token_files": token_files.op9_token_files,
@@ -14,4 +15,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": line_dedup.OP6_SQL}
+    return {
+        "op1_substring_dedup": substring_dedup.OP1_SQL,
+        "op6_line_dedup": line_dedup.OP6_SQL,
+    }
