@@ -1,21 +1,19 @@
 """Whole texts to token ids with a vocabulary file of a public tokenizer.
 
 The vocabulary lowers case, drops white space, and no token crosses white space, so the ids of a text are the ids of its
-lower-cased words one after the other. Each word is encoded by the tokenizers library once and remembered; words that
-are new are encoded together, parted by a special token. A text that holds a special token's opening or one of the four
-separators which only some libraries count as white space is encoded whole.
+lower-cased words one after the other. Each word is encoded by the tokenizers library once and remembered. A text that
+holds a special token's opening or one of the four separators which only some libraries count as white space is encoded
+whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
 
 ODD = re.compile(rb"[\x1c-\x1f]|<\|")
 CACHE_WORDS = 1_000_000
-SEPARATOR = "<|endoftext|>"
 
 
 def default_path() -> str:
@@ -24,6 +22,13 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: printable Latin-1 for itself, the others numbered from 256 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in shown else next(rest)) for b in range(256)}
+
+
 class Encoder:
     """encode(texts) -> for each text its ids as little-endian unsigned 32-bit integers."""
 
@@ -32,36 +37,45 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.mark = self.tok.token_to_id(SEPARATOR)
+        self.model, self.letters = self.tok.model, byte_letters()
         self.known: dict[bytes, bytes] = {}
+        probe = [b"thandor", "étude".encode(), "straße".encode(), "überñ".encode()]
+        self.direct = all(self.word(w) == self.whole(w.decode()) for w in probe)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, words: list[bytes]) -> None:
-        if self.mark is None:
-            self.known.update((w, self.whole(w.decode())) for w in words)
-            return
-        ids = np.array(self.tok.encode(SEPARATOR.join([w.decode() for w in words]), add_special_tokens=False).ids, "<u4")
-        ends = np.append(np.flatnonzero(ids == self.mark), len(ids)).tolist()
-        data, start = ids.tobytes(), 0
-        for w, end in zip(words, ends, strict=True):
-            self.known[w] = data[4 * start : 4 * end]
-            start = end + 1
+        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def word(self, word: bytes) -> bytes:
+        """A lower-case word of Latin-1 letters: normalising and splitting would leave it as it is, so the model has it at once."""
+        return array("I", [x.id for x in self.model.tokenize(word.decode("latin-1").translate(self.letters))]).tobytes()
+
+    def learn(self, word: bytes) -> bytes:
+        known, text = self.known, word.decode()
+        if word[-1:] in (b".", b",") and text[:-1].isalpha():  # letters and one mark after them are parted anyway
+            ids = (known.get(word[:-1]) or self.learn(word[:-1])) + (known.get(word[-1:]) or self.learn(word[-1:]))
+        elif self.direct and text.isalpha() and max(text) < "\u0100":
+            ids = self.word(text.lower().encode())
+        else:
+            ids = self.whole(text)
+        known[word] = ids
+        return ids
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        known = self.known
+        known, out = self.known, []
         if len(known) > CACHE_WORDS:
             known.clear()
-        split = [None if not t else t if ODD.search(t) else t.lower().split() for t in texts]
-        if new := {w for x in split if type(x) is list for w in x}.difference(known):
-            # letters and one mark after them are two tokens' worth of text: learn the letters once
-            ended = [w for w in new if w[-1:] in (b".", b",") and w[:-1].decode().isalpha()]
-            new.difference_update(ended)
-            new.update({b".", b",", *(w[:-1] for w in ended)}.difference(known))
-            self.learn(list(new))
-            known.update((w, known[w[:-1]] + known[w[-1:]]) for w in ended)
-        return [b"" if x is None else self.whole(x.decode()) if type(x) is bytes else b"".join([known[w] for w in x]) for x in split]
+        for t in texts:
+            if not t:
+                out.append(b"")
+            elif ODD.search(t):
+                out.append(self.whole(t.decode()))
+            else:
+                words = t.lower().split()
+                ids = list(map(known.get, words))
+                if None in ids:
+                    ids = [i if i is not None else known.get(w) or self.learn(w) for i, w in zip(ids, words, strict=True)]
+                out.append(b"".join(ids))
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
