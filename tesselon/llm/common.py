@@ -11,10 +11,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in an Arrow batch; with whole texts of some 100 KB a batch stays near 50 MB.
-BATCH_ROWS = 500
+#: Rows in an Arrow batch; with whole texts of some 100 KB a batch stays near 20 MB.
+BATCH_ROWS = 200
 #: Entries a worker's word cache may hold before it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 
 
 def tune(spark: SparkSession) -> None:
