@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tesselon.llm import line_dedup, minhash, packing, substring_dedup, token_files
+from tesselon.llm import embedding_dedup, line_dedup, minhash, packing, substring_dedup, token_files
 
 
 def queries() -> dict:
     return {
         "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+        "op3_embedding_dedup": embedding_dedup.op3_embedding_dedup,
         "op4_minhash": minhash.op4_minhash,
         "op5_packing": packing.op5_packing,
         "op6_line_dedup": line_dedup.op6_line_dedup,
