@@ -10,8 +10,9 @@ Candidates are merged with skips, since only connection counts:
 1. Within parts of at most some PART classes of a list, the pairs of a spanning forest with the most matches are taken,
    all others skipped. They are confirmed on the full sets, list by list of the first coordinate, then those of the other
    coordinates whose ends are not yet connected (of several between two components, the one with the most matches).
-2. In lists where candidates were skipped, every candidate pair whose ends are still not connected is confirmed; parts of
-   long lists meet two by two, but for those of the list's largest component among themselves.
+2. In lists where candidates were skipped, every candidate pair whose ends are still not connected is confirmed, within
+   the list: the sets of those that have such a pair travel there, once for each part they meet. Parts of long lists meet
+   two by two, but for those of the list's largest component among themselves.
 So each link that joins different components is found, hot lists are split, and tight groups cost a few pairs a document.
 
 A list of more than PART classes is posted again, twice over, under one more coordinate each (up to two times): what many
@@ -155,26 +156,58 @@ def forest(least: int):
     return run
 
 
-def crossing(least: int):
-    """mapInArrow over sorted (list, i, j, part, digest, component, matches): candidate pairs between components."""
+def _candidates(rows: list, i: int, j: int, least: int):
+    """(matches, x, y) of pairs between components in one group of rows (part, digest, component, matches, ...)."""
+    label: dict = {}
+    comp = np.array([label.setdefault(r[2], len(label)) for r in rows])
+    if len(label) < 2:
+        return
+    part = np.array([r[0] for r in rows])
+    sig = np.frombuffer(b"".join([r[3] for r in rows]), np.uint8).reshape(len(rows), -1)
+    for x in range(len(rows) - 1):
+        ok = comp[x + 1 :] != comp[x]
+        if i != j:
+            ok &= part[x + 1 :] != part[x]
+        at = x + 1 + np.flatnonzero(ok)
+        n = (sig[at] == sig[x]).sum(1)
+        for y in np.flatnonzero(n >= least).tolist():
+            yield int(n[y]), x, int(at[y])
+
+
+def involved(least: int):
+    """mapInArrow over sorted (list, i, j, part, digest, component, matches): the rows that have a candidate in another component."""
+
+    def run(batches):
+        for (name, i, j), rows in groups(batches, 3):
+            some = sorted({z for _, x, y in _candidates(rows, i, j, least) for z in (x, y)})
+            if some:
+                n = len(some)
+                cols = ([name] * n, [i] * n, [j] * n, *([rows[x][c] for x in some] for c in range(4)))
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["list", "i", "j", "part", "digest", "component", "matches"])
+
+    return run
+
+
+def joining(least: int, percent: int):
+    """mapInArrow over sorted (list, i, j, part, digest, component, matches, shingles): confirmed pairs that join components; pairs that others have joined are skipped."""
 
     def run(batches):
         for (_, i, j), rows in groups(batches, 3):
-            label: dict = {}
-            comp = np.array([label.setdefault(r[2], len(label)) for r in rows])
-            if len(label) < 2:
-                continue
-            part = np.array([r[0] for r in rows])
-            sig = np.frombuffer(b"".join([r[3] for r in rows]), np.uint8).reshape(len(rows), -1)
-            a, b = [], []
-            for x in range(len(rows) - 1):
-                ok = comp[x + 1 :] != comp[x]
-                if i != j:
-                    ok &= part[x + 1 :] != part[x]
-                at = x + 1 + np.flatnonzero(ok)
-                at = at[(sig[at] == sig[x]).sum(1) >= least]
-                a += [rows[x][1]] * len(at)
-                b += [rows[y][1] for y in at.tolist()]
+            sets, a, b = [np.array(r[4], np.int64) for r in rows], [], []
+            number: dict = {}
+            of = [number.setdefault(r[2], len(number)) for r in rows]
+            up = list(range(len(number)))
+            for _, x, y in sorted(_candidates(rows, i, j, least), reverse=True):
+                u, v = _find(up, of[x]), _find(up, of[y])
+                if u == v:
+                    continue
+                few, many = (sets[x], sets[y]) if len(sets[x]) < len(sets[y]) else (sets[y], sets[x])
+                both = int((many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few).sum())
+                if 100 * both >= percent * (len(few) + len(many) - both):
+                    up[max(u, v)] = min(u, v)
+                    a.append(rows[x][1])
+                    b.append(rows[y][1])
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
@@ -222,7 +255,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 s = shingler.set_of(text)
                 if xxhash.xxh3_128_digest(s.tobytes()) == digest:  # else another row of the same doc_id
                     digests.append(digest)
-                    sets.append(common.signed(s))
+                    sets.append(np.sort(common.signed(s)))
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["digest", "shingles"])
 
     few = wanted.count() <= SEND_IDS
@@ -277,8 +310,12 @@ def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     left = lists.join(open_lists, "list", "left_semi").select("list", "digest").join(labels.withColumnRenamed("node", "digest"), "digest", "left")
     blocks = halves(left.withColumn("component", F.coalesce("component", "digest"))).join(classes.select("digest", "matches"), "digest")
     keys = ["list", "i", "j"]
-    last = blocks.select(*keys, "part", "digest", "component", "matches").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(crossing(least), "a binary, b binary")
-    links = common.save(links.union(confirmed(last, sets, percent)), "links")
+    columns = [*keys, "part", "digest", "component", "matches"]
+    schema = "list long, i int, j int, part int, digest binary, component binary, matches binary"
+    open_rows = blocks.select(*columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(involved(least), schema)
+    with_sets = common.save(open_rows, "open").join(sets, "digest").select(*columns, "shingles")
+    last = with_sets.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(joining(least, percent), "a binary, b binary")
+    links = common.save(links.union(last), "links")
     labels = graph.components(links)
 
     smallest = classes.join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "doc", F.coalesce("component", "digest").alias("component"))
