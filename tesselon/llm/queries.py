@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from tesselon.llm import embedding_dedup, line_dedup, minhash, packing, substring_dedup, token_files
+from tesselon.llm import decontamination, embedding_dedup, langid, line_dedup, minhash, packing, substring_dedup, token_files
 
 
 def queries() -> dict:
     return {
         "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+        "op2_language_id": langid.op2_language_id,
         "op3_embedding_dedup": embedding_dedup.op3_embedding_dedup,
         "op4_minhash": minhash.op4_minhash,
         "op5_packing": packing.op5_packing,
         "op6_line_dedup": line_dedup.op6_line_dedup,
+        "op7_decontamination": decontamination.op7_decontamination,
         "op9_token_files": token_files.op9_token_files,
     }
 
