@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from tesselon.llm import decontamination, embedding_dedup, langid, line_dedup, minhash, packing, substring_dedup, token_files
+from tesselon.llm import (
+    decontamination,
+    embedding_dedup,
+    html_extraction,
+    langid,
+    line_dedup,
+    minhash,
+    packing,
+    quality,
+    substring_dedup,
+    token_files,
+)
 
 
 def queries() -> dict:
@@ -14,6 +25,7 @@ def queries() -> dict:
         "op5_packing": packing.op5_packing,
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_decontamination": decontamination.op7_decontamination,
+        "op8_html_extraction": html_extraction.op8_html_extraction,
         "op9_token_files": token_files.op9_token_files,
     }
 
