@@ -27,6 +27,7 @@ def queries() -> dict:
         "op7_decontamination": decontamination.op7_decontamination,
         "op8_html_extraction": html_extraction.op8_html_extraction,
         "op9_token_files": token_files.op9_token_files,
+        "op10_quality": quality.op10_quality,
     }
 
 
