@@ -32,10 +32,12 @@ def cell_id(level: int, lon: int, lat: int) -> int:
     return int(y / width(level)) * 2**level + int(x / width(level))
 
 
-def cell_id_column(level: int, lon: Column, lat: Column) -> Column:
+def cell_id_column(level: int | Column, lon: Column, lat: Column) -> Column:
     lon, lat = lon.cast("long"), lat.cast("long")
+    n = F.lit(2**level) if isinstance(level, int) else F.pow(F.lit(2.0), level)
+    w = F.lit(2.0 * HALF) / n
     x, y = F.pmod(lon + HALF, F.lit(2 * HALF)), F.least(lat + QUARTER, F.lit(2 * QUARTER - 1))
-    cell = F.floor(y / F.lit(width(level))) * 2**level + F.floor(x / F.lit(width(level)))
+    cell = F.floor(y / w) * n.cast("long") + F.floor(x / w)
     return F.when(lon.between(-HALF, HALF) & lat.between(-QUARTER, QUARTER), cell).otherwise(F.lit(-1)).cast("long")
 
 
@@ -67,19 +69,11 @@ def insert_level(box) -> tuple[int, int]:
 
 
 def insert_level_column(min_lon: Column, min_lat: Column, max_lon: Column, max_lat: Column) -> Column:
-    out = F.lit(None).cast("int")
-    for z in range(MAX_LEVEL + 1):  # the deepest is tested first
-        w = F.lit(width(z))
-        fits = F.greatest(F.ceil(max_lon / w) - F.floor(min_lon / w), F.ceil(max_lat / w) - F.floor(min_lat / w)) <= 2
-        out = F.when(fits, F.lit(z)).otherwise(out)
-    return out
-
+    def fits(z: Column) -> Column:
+        w = F.lit(2.0 * HALF) / F.pow(F.lit(2.0), z)
+        return F.greatest(F.ceil(max_lon / w) - F.floor(min_lon / w), F.ceil(max_lat / w) - F.floor(min_lat / w)) <= 2
 
-def insert_cell_column(level: Column, min_lon: Column, min_lat: Column) -> Column:
-    out = F.lit(None).cast("long")
-    for z in range(MAX_LEVEL + 1):
-        out = F.when(level == z, cell_id_column(z, min_lon, min_lat)).otherwise(out)
-    return out
+    return F.element_at(F.filter(F.array(*[F.lit(z) for z in range(MAX_LEVEL + 1)]), fits), -1)
 
 
 def ranges(level: int, box, enlarge: bool = True) -> list[tuple[int, int]]:
@@ -104,7 +98,7 @@ def ranges(level: int, box, enlarge: bool = True) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def pruned(level: Column, cell: Column, box, most: int = 64) -> Column:
+def pruned(level: Column, cell: Column, box, most: int = 8) -> Column:
     """A predicate that scans push down: the cells of each level that a box may touch; at levels of more than `most` rows one hull of them."""
     out = F.lit(False)
     for z in range(MAX_LEVEL + 1):
