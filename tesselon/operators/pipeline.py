@@ -18,8 +18,11 @@ from dataclasses import dataclass, field, replace
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tesselon.functions import filters, geo, timeline
 from tesselon.operators import views
@@ -330,12 +333,16 @@ class Builder:
         df = self.rows().select(*names, "value")
         key_schema = "".join(f"`{n}` {df.schema[n].dataType.simpleString()}, " for n in names)
 
+        kinds = [df.schema[n].dataType for n in names]
+
         def fold(batches):
             states: dict = {}
-            for pdf in batches:
-                for key, v in zip(pdf[names].itertuples(index=False, name=None) if names else [()] * len(pdf), pdf["value"], strict=True):
+            for batch in batches:
+                *keys, values = (c.to_pylist() for c in batch.columns)
+                for key, v in zip(zip(*keys, strict=True) if keys else [()] * len(values), values, strict=True):
                     states[key] = accumulate(states[key] if key in states else identity(), v)
-            yield pd.DataFrame([(*k, pickle.dumps(s)) for k, s in states.items()], columns=[*names, "state"])
+            columns = [pa.array([k[i] for k in states], to_arrow_type(kind)) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([pickle.dumps(x) for x in states.values()], pa.binary())], names=[*names, "state"])
 
         def merge(pdf: pd.DataFrame) -> pd.DataFrame:
             out = identity()
@@ -343,7 +350,7 @@ class Builder:
                 out = combine(out, pickle.loads(s))
             return pd.DataFrame([(*(pdf[n].iloc[0] for n in names), out)], columns=[*names, "result"])
 
-        parts = df.mapInPandas(fold, f"{key_schema}state binary")
+        parts = df.mapInArrow(fold, f"{key_schema}state binary")
         done = parts.groupBy(*names).applyInPandas(merge, f"{key_schema}result {kind}")
         if not names:
             empty = df.sparkSession.createDataFrame([(identity(),)], f"e {kind}")
@@ -353,10 +360,10 @@ class Builder:
     @contextmanager
     def within(self):
         """Jobs in this block are cancelled once the builder's timeout has passed."""
-        spark: SparkSession = self.store.versions.sparkSession
+        spark: SparkContext = self.store.versions.sparkSession.sparkContext
         tag = f"tesselon-{id(self)}-{threading.get_ident()}"
-        timer = threading.Timer(self.seconds, lambda: spark.interruptTag(tag)) if self.seconds else None
-        spark.addTag(tag)
+        timer = threading.Timer(self.seconds, lambda: spark.cancelJobsWithTag(tag)) if self.seconds else None
+        spark.addJobTag(tag)
         if timer:
             timer.start()
         try:
@@ -368,7 +375,7 @@ class Builder:
         finally:
             if timer:
                 timer.cancel()
-            spark.removeTag(tag)
+            spark.removeJobTag(tag)
 
 
 def _has_map(df: DataFrame, name: str) -> bool:

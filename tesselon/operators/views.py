@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from tesselon.functions.filters import Constant, Node, State
 from tesselon.operators.members import ENTITY, asof_join, modification_times
 
-HISTORY = Window.partitionBy(*ENTITY).orderBy("ts", "version")
+def history():
+    """The versions of one entity, in order."""
+    return Window.partitionBy(*ENTITY).orderBy("ts", "version")
 
 
 def instants_column(instants: list[datetime]):
@@ -39,7 +41,7 @@ def prefiltered(versions: DataFrame, flt: Node) -> DataFrame:
 
 def latest_at_time(versions: DataFrame) -> DataFrame:
     """Of versions with one time, the last; with valid_to: the time of the next one."""
-    return versions.withColumn("valid_to", F.lead("ts").over(HISTORY)).where("valid_to is null or valid_to > ts")
+    return versions.withColumn("valid_to", F.lead("ts").over(history())).where("valid_to is null or valid_to > ts")
 
 
 def snapshots(versions: DataFrame, instants: list[datetime], flt: Node | None = None, members: DataFrame | None = None, row_filter: bool = True) -> DataFrame:

@@ -112,7 +112,7 @@ query("contributor_id", f"{log_sql()} select user_id as contributor_id, count(*)
 
 def _folded(v: DataFrame) -> DataFrame:
     v = views.latest_at_time(v)
-    was = F.coalesce(F.lag("visible").over(views.HISTORY), F.lit(False))
+    was = F.coalesce(F.lag("visible").over(views.history()), F.lit(False))
     return v.withColumn("was", was).where("visible or was")
 
 
