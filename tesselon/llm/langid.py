@@ -151,9 +151,10 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     return Model([(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))])
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and score."""
+def identify(docs: DataFrame, model: Model, columns: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with two columns more, the language and how sure it is (in the place of columns so named)."""
     common.tune(docs.sparkSession)
+    docs = docs.drop(*columns)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights for each pair of languages
     names = docs.columns
     at = names.index("text")
@@ -163,9 +164,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             found = [sent.value.predict(t) for t in batch.column(at).to_pylist()]
             cols = [batch.column(k) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*names, *columns])
 
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.mapInArrow(run, f"{schema}, `{columns[0]}` string, `{columns[1]}` double")
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:

@@ -99,9 +99,10 @@ class Shard:
         """found, count, largest doc_id for each key hash."""
         slot = self.slots(h)
         found = slot >= 0
+        if not found.any():
+            return found, np.zeros(len(h), np.uint32), np.zeros(len(h), np.int64)
         safe = np.where(found, slot, 0)
-        if self.n:
-            found &= self.fingerprint[safe] == fingerprint
+        found &= self.fingerprint[safe] == fingerprint
         return found, self.count[safe], self.last[safe]
 
 
@@ -150,10 +151,11 @@ def rewrite(text: bytes | None, drop) -> tuple[bytes, int, int]:
     return (b"\n".join([x for x, g in zip(lines, gone, strict=True) if not g]) if any(gone) else text or b"", len(lines), sum(gone))
 
 
-def drop_lines(docs: DataFrame, least: int = 20, min_docs: int = 3, send_bytes: int = SEND_BYTES) -> DataFrame:
-    """docs with text rewritten (whole lines gone) and n_lines, n_dropped; all other columns as they are."""
+def drop_lines(docs: DataFrame, least: int = 20, min_docs: int = 3, send_bytes: int = SEND_BYTES, columns: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """docs with text rewritten (whole lines gone) and two columns more, lines before and lines dropped (in the place of columns so named); all others as they are."""
     spark = docs.sparkSession
     common.tune(spark)
+    docs = docs.drop(*columns)
     index, n_shards, size = build_index(docs, least, min_docs)
     names = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
@@ -168,7 +170,7 @@ def drop_lines(docs: DataFrame, least: int = 20, min_docs: int = 3, send_bytes:
             n_dropped.append(k)
         cols = [batch.column(k) for k in range(len(names))]
         cols[at_text] = pa.array(texts, pa.binary()).cast(pa.string())
-        return pa.RecordBatch.from_arrays([*cols, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*names, "n_lines", "n_dropped"])
+        return pa.RecordBatch.from_arrays([*cols, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*names, *columns])
 
     def hashed(lines):
         at, h, f = [], [], []
@@ -204,7 +206,7 @@ def drop_lines(docs: DataFrame, least: int = 20, min_docs: int = 3, send_bytes:
             for batch in batches:
                 yield rows(batch, [gone] * batch.num_rows)
 
-        return docs.mapInArrow(run, f"{schema}, n_lines long, n_dropped long")
+        return docs.mapInArrow(run, f"{schema}, `{columns[0]}` long, `{columns[1]}` long")
 
     def packs(batches):
         held: dict[int, list] = {}
@@ -255,7 +257,7 @@ def drop_lines(docs: DataFrame, least: int = 20, min_docs: int = 3, send_bytes:
 
             yield rows(batch, [gone_of(x) for x in batch.column(len(names)).to_pylist()])
 
-    return joined.mapInArrow(apply, f"{schema}, n_lines long, n_dropped long")
+    return joined.mapInArrow(apply, f"{schema}, `{columns[0]}` long, `{columns[1]}` long")
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
