@@ -1,13 +1,14 @@
 """Substring dedup by relative Lempel-Ziv parsing.
 
 The reference is the collection itself, cut into blocks at places that its content names: of the stretches of 8 words
-within each window of 50, the one with the least hash is the window's anchor, and all windows of one anchor in a row form
-a block (some 22 windows, over some 70 words). Blocks are indexed by their anchor, and by the hash of all their words.
+within each window of 50, the one with the least hash is the window's anchor; all windows in a row with one anchor, as
+far as they begin 21 or more words ahead of it, form a block, and those that begin nearer form another. A block is indexed
+by the words that all its windows hold (29 or 30 of them, with the anchor at one end), and by the hash of all its words.
 
 1. Factors of whole blocks: a block that also stands in an earlier document is a factor of all its words, with the
    earliest such document as its source.
-2. At the boundaries, where a match begins or ends within a block: for blocks with an anchor that other documents share
-   but with words that no earlier document has as a whole, each of their windows is looked up among such windows.
+2. At the boundaries, where a match begins or ends within a block: for blocks whose common words other documents share
+   but that no earlier document has as a whole, each of their windows is looked up among such windows.
    (Blocks that step 1 found are not needed as sources: the earliest block of the same words is one.)
 3. Per document the found windows are walked in order and greedily extended, as long as source and document go on in
    step, to factors (start, n_words, source, source_start). Their union is what the document repeats.
@@ -51,15 +52,21 @@ class Parser:
         return [common.signed(p.stretch(x, start, end)) for p, x in zip(self.powers, prefixes, strict=True)]
 
     def blocks(self, h: np.ndarray, prefixes) -> tuple[np.ndarray, ...]:
-        """anchor, first window, number of windows of every block."""
+        """key (hash of what all its windows hold), first window, number of windows of every block."""
         grams = self.powers[0].stretch(prefixes[0], at := np.arange(len(h) - self.anchor + 1), at + self.anchor)
-        low, width, want = grams, 1, self.window - self.anchor + 1
-        while 2 * width <= want:
-            low, width = np.minimum(low[: len(low) - width], low[width:]), 2 * width
-        if width < want:
-            low = np.minimum(low[: len(low) - (want - width)], low[want - width :])
-        first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-        return low[first], first, np.diff(np.append(first, len(low)))
+        place, width, want = at, 1, self.window - self.anchor + 1
+        while width < want:
+            step = min(width, want - width)
+            a, b = place[: len(place) - step], place[step:]
+            place, width = np.where(grams[a] <= grams[b], a, b), width + step
+        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        end, anchor = np.append(first[1:], len(place)), place[first]
+        half = (self.window - self.anchor) // 2
+        cut = np.clip(anchor - half + 1, first, end)  # windows from here on begin nearer to the anchor
+        ahead, near = cut > first, end > cut
+        left = self.powers[0].stretch(prefixes[0], anchor[ahead] - half, anchor[ahead] + self.anchor)
+        right = common.mix(self.powers[0].stretch(prefixes[0], anchor[near], anchor[near] + self.window - half + 1))
+        return np.concatenate([left, right]), np.concatenate([first[ahead], cut[near]]), np.concatenate([(cut - first)[ahead], (end - cut)[near]])
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -80,17 +87,17 @@ def factors(docs: DataFrame, window: int = 50) -> DataFrame:
                 if len(h) < window:
                     continue
                 prefixes = parser.prefixes(h)
-                anchor, first, count = parser.blocks(h, prefixes)
+                key, first, count = parser.blocks(h, prefixes)
                 one, two = parser.stretches(prefixes, first, first + count + window - 1)
-                for c, v in zip(cols, (np.full(len(first), doc), np.full(len(first), rid), common.signed(anchor), one, two, first.astype(np.int32), count.astype(np.int32)), strict=True):
+                for c, v in zip(cols, (np.full(len(first), doc), np.full(len(first), rid), common.signed(key), one, two, first.astype(np.int32), count.astype(np.int32)), strict=True):
                     c.append(v)
             if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["doc_id", "rid", "anchor", "one", "two", "first", "count"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["doc_id", "rid", "key", "one", "two", "first", "count"])
 
     usable = rows.where("doc_id is not null and text is not null")
-    blocks = common.save(usable.mapInArrow(parse, "doc_id long, rid long, anchor long, one long, two long, first int, count int"), "blocks", "lz4")
-    shared = blocks.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
-    met = common.save(blocks.join(shared, "anchor", "left_semi").drop("anchor"), "met-blocks", "lz4")
+    blocks = common.save(usable.mapInArrow(parse, "doc_id long, rid long, key long, one long, two long, first int, count int"), "blocks", "lz4")
+    shared = blocks.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key")
+    met = common.save(blocks.join(shared, "key", "left_semi").drop("key"), "met-blocks", "lz4")
     common.drop(blocks)
     sources = met.groupBy("one", "two").agg(F.min(F.struct("doc_id", "first")).alias("s"))
     judged = common.save(met.join(sources, ["one", "two"]).select(*ROW, "first", "count", F.col("s.doc_id").alias("source"), F.col("s.first").alias("source_start")), "judged-blocks", "lz4")
