@@ -88,20 +88,20 @@ def label_model(counts: dict[int, int]) -> tuple[float, np.ndarray, dict[int, fl
 
 
 class Features(dict):
-    """Buckets of a word and of its shape."""
+    """Buckets of a word (upper half) and of its shape (lower half)."""
 
-    def __missing__(self, word: bytes) -> tuple[int, int]:
+    def __missing__(self, word: bytes) -> int:
         shape = re.sub(rb"(.)\1+", rb"\1", re.sub(rb"[0-9]", b"9", re.sub(rb"[a-z\x80-\xff]", b"a", re.sub(rb"[A-Z]", b"A", word))))
-        x = self[word] = (xxhash.xxh3_64_intdigest(word.lower()) % BUCKETS, xxhash.xxh3_64_intdigest(b"\0" + shape) % BUCKETS)
+        x = self[word] = xxhash.xxh3_64_intdigest(word.lower()) % BUCKETS << 32 | xxhash.xxh3_64_intdigest(b"\0" + shape) % BUCKETS
         return x
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         if len(self) > common.CACHE_WORDS:
             self.clear()
         words = (text or "").encode().split()
-        at = np.array(list(map(self.__getitem__, words)), np.int64).reshape(-1, 2)
-        same = np.array([a == b for a, b in zip(words, words[1:], strict=False)], bool).sum() / max(1, len(words) - 1)
-        buckets, n = np.unique(at.ravel(), return_counts=True)
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        same = int((at[1:] == at[:-1]).sum()) / max(1, len(words) - 1)
+        buckets, n = np.unique(np.concatenate([at >> 32, at & 0xFFFFFFFF]), return_counts=True)
         v = np.sqrt(n / max(1, len(words)))
         v = v / max(1e-9, np.linalg.norm(v))
         return np.append(buckets, [BUCKETS, BUCKETS + 1, BUCKETS + 2]), np.append(v, [1.0, same, min(1.0, len(words) / 20)])
