@@ -141,3 +141,21 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
 
 def op3_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: All pairs of a label; the hashing above may miss 2 in 1000 of those right at the threshold.
+OP3_SQL = r"""
+with recursive unit as (
+  select row_number() over () as r, vec_id, label, embedding::double[] as v from embeddings
+), good as (
+  select *, sqrt(list_sum(list_transform(v, lambda x: x * x))) as n from unit
+  where label is not null and vec_id is not null and len(v) > 0 and list_count(v) = len(v) and len(list_filter(v, lambda x: not isfinite(x))) = 0
+), links as (
+  select a.r, b.r as s, a.vec_id, b.vec_id as other from good a join good b on a.label = b.label and a.r <> b.r and len(a.v) = len(b.v)
+  where a.n > 0 and b.n > 0 and list_inner_product(a.v, b.v) / (a.n * b.n) >= 0.98
+), reach as (
+  select r, r as s from unit union select reach.r, links.s from reach join links on links.r = reach.s
+), component as (select reach.r, min(u.vec_id) as c from reach join unit u on u.r = reach.s group by reach.r)
+select u.vec_id, count(l.s)::bigint as n_links, any_value(c.c) as component_id, u.vec_id = any_value(c.c) as kept
+from unit u join component c on c.r = u.r left join links l on l.r = u.r group by u.r, u.vec_id
+"""

@@ -337,3 +337,19 @@ def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 def op4_minhash(spark, sf_dir: str) -> DataFrame:
     return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: All pairs that share a shingle.
+OP4_SQL = r"""
+with recursive words as (
+  select row_number() over () as r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
+), shingle as (
+  select distinct r, array_to_string(w[i:i + 4], ' ') as g from (select r, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from words where len(w) > 0)
+), size as (select r, count(*) as n from shingle group by r),
+shared as (select a.r, b.r as s, count(*) as k from shingle a join shingle b on a.g = b.g and a.r < b.r group by a.r, b.r),
+link as (select shared.r, shared.s from shared join size x on x.r = shared.r join size y on y.r = shared.s where 100 * k >= 75 * (x.n + y.n - k)),
+links as (select r, s from link union all select s, r from link),
+reach as (select r, r as s from words union select reach.r, links.s from reach join links on links.r = reach.s)
+select w.doc_id, coalesce(any_value(size.n), 0)::bigint as n_shingles, min(o.doc_id) as component_id, w.doc_id = min(o.doc_id) as kept
+from words w join reach on reach.r = w.r join words o on o.r = reach.s left join size on size.r = w.r group by w.r, w.doc_id
+"""

@@ -34,5 +34,8 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_substring_dedup": substring_dedup.OP1_SQL,
+        "op3_embedding_dedup": embedding_dedup.OP3_SQL,
+        "op4_minhash": minhash.OP4_SQL,
         "op6_line_dedup": line_dedup.OP6_SQL,
+        "op8_html_extraction": html_extraction.OP8_SQL,
     }
