@@ -66,7 +66,8 @@ def test_factors_carry_their_source(documents):
 def test_whole_table_against_sql(spark):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from read_parquet('{sf}/documents.parquet')")
+    for t in ("documents", "embeddings", "pages"):
+        con.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
     for name, sql in queries.oracle_sql().items():
         mine = queries.queries()[name](spark, sf).toPandas()
         theirs = con.execute(sql).df()[list(mine.columns)]
