@@ -9,7 +9,8 @@ by the words that all its windows hold (29 or 30 of them, with the anchor at one
    earliest such document as its source.
 2. At the boundaries, where a match begins or ends within a block: for blocks whose common words other documents share
    but that no earlier document has as a whole, each of their windows is looked up among such windows.
-   (Blocks that step 1 found are not needed as sources: the earliest block of the same words is one.)
+   (Blocks that step 1 found are not needed as sources: the earliest block of the same words is one. Where all blocks of
+   the same common words are equal, step 1 has found all there is.)
 3. Per document the found windows are walked in order and greedily extended, as long as source and document go on in
    step, to factors (start, n_words, source, source_start). Their union is what the document repeats.
 
@@ -96,11 +97,12 @@ def factors(docs: DataFrame, window: int = 50) -> DataFrame:
 
     usable = rows.where("doc_id is not null and text is not null")
     blocks = common.save(usable.mapInArrow(parse, "doc_id long, rid long, key long, one long, two long, first int, count int"), "blocks", "lz4")
-    shared = blocks.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key")
-    met = common.save(blocks.join(shared, "key", "left_semi").drop("key"), "met-blocks", "lz4")
+    varied = (F.min("one") < F.max("one")) | (F.min("two") < F.max("two"))
+    shared = blocks.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), varied.alias("varied")).where("lo < hi").select("key", "varied")
+    met = common.save(blocks.join(shared, "key").drop("key"), "met-blocks", "lz4")
     common.drop(blocks)
     sources = met.groupBy("one", "two").agg(F.min(F.struct("doc_id", "first")).alias("s"))
-    judged = common.save(met.join(sources, ["one", "two"]).select(*ROW, "first", "count", F.col("s.doc_id").alias("source"), F.col("s.first").alias("source_start")), "judged-blocks", "lz4")
+    judged = common.save(met.join(sources, ["one", "two"]).select(*ROW, "first", "count", "varied", F.col("s.doc_id").alias("source"), F.col("s.first").alias("source_start")), "judged-blocks", "lz4")
     common.drop(met)
     whole = judged.where("source < doc_id").select(*ROW, F.col("first").alias("start"), (F.col("count") + window - 1).alias("n_words"), "source", "source_start")
 
@@ -117,7 +119,7 @@ def factors(docs: DataFrame, window: int = 50) -> DataFrame:
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["doc_id", "rid", "one", "two", "start"])
 
-    edges = judged.where("source = doc_id").groupBy(*ROW).agg(F.collect_list(F.struct("first", "count")).alias("at"))  # at most one document's blocks
+    edges = judged.where("source = doc_id and varied").groupBy(*ROW).agg(F.collect_list(F.struct("first", "count")).alias("at"))  # at most one document's blocks
     windows = usable.join(edges, [*ROW]).select("doc_id", "rid", "text", "at").mapInArrow(look, "doc_id long, rid long, one long, two long, start int")
     windows = common.save(windows, "windows", "lz4")
     first = windows.groupBy("one", "two").agg(F.min(F.struct("doc_id", "start")).alias("s"), F.max("doc_id").alias("hi")).where("s.doc_id < hi").select("one", "two", "s")
