@@ -99,9 +99,11 @@ def factors(docs: DataFrame, window: int = 50) -> DataFrame:
     blocks = common.save(usable.mapInArrow(parse, "doc_id long, rid long, key long, one long, two long, first int, count int"), "blocks", "lz4")
     varied = (F.min("one") < F.max("one")) | (F.min("two") < F.max("two"))
     shared = blocks.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), varied.alias("varied")).where("lo < hi").select("key", "varied")
+    # grouped tables are saved before they are joined: then Spark can split the partitions of very common keys
+    shared = common.save(shared, "shared-keys", "lz4")
     met = common.save(blocks.join(shared, "key").drop("key"), "met-blocks", "lz4")
     common.drop(blocks)
-    sources = met.groupBy("one", "two").agg(F.min(F.struct("doc_id", "first")).alias("s"))
+    sources = common.save(met.groupBy("one", "two").agg(F.min(F.struct("doc_id", "first")).alias("s")), "block-sources", "lz4")
     judged = common.save(met.join(sources, ["one", "two"]).select(*ROW, "first", "count", "varied", F.col("s.doc_id").alias("source"), F.col("s.first").alias("source_start")), "judged-blocks", "lz4")
     common.drop(met)
     whole = judged.where("source < doc_id").select(*ROW, F.col("first").alias("start"), (F.col("count") + window - 1).alias("n_words"), "source", "source_start")
@@ -123,6 +125,7 @@ def factors(docs: DataFrame, window: int = 50) -> DataFrame:
     windows = usable.join(edges, [*ROW]).select("doc_id", "rid", "text", "at").mapInArrow(look, "doc_id long, rid long, one long, two long, start int")
     windows = common.save(windows, "windows", "lz4")
     first = windows.groupBy("one", "two").agg(F.min(F.struct("doc_id", "start")).alias("s"), F.max("doc_id").alias("hi")).where("s.doc_id < hi").select("one", "two", "s")
+    first = common.save(first, "window-sources", "lz4")
     single = windows.join(first, ["one", "two"]).where("s.doc_id < doc_id").select(*ROW, "start", F.lit(window).alias("n_words"), F.col("s.doc_id").alias("source"), F.col("s.start").alias("source_start"))
     return whole.union(single).groupBy(*ROW).agg(F.collect_list(F.struct("start", "n_words", "source", "source_start")).alias("found"))
 
