@@ -219,7 +219,9 @@ def posting_lists(classes: DataFrame) -> DataFrame:
     post = classes.select("digest", F.posexplode("prefix").alias("coordinate", "value")).select("digest", "coordinate", F.xxhash64("coordinate", "value").alias("list"))
     out = None
     for again in range(3):
-        counted = post.join(post.groupBy("list").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "list")
+        # counts are saved before they are joined: then Spark can split the partitions of very long lists
+        sizes = common.save(post.groupBy("list").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "list-sizes")
+        counted = post.join(sizes, "list")
         if again < 2:
             hot = common.save(counted.where(F.col("m") > PART).drop("m"), "long-lists")
             counted = counted.where(F.col("m") <= PART)
@@ -235,6 +237,7 @@ def halves(lists: DataFrame) -> DataFrame:
     """list, i, j, part, digest, component: members of lists of several components, in parts that meet two by two. Parts of the largest component are numbered below 0 and meet only the others."""
     n = lists.groupBy("list", "component").agg(F.count(F.lit(1)).alias("n"))
     per_list = n.groupBy("list").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("n").alias("major"), (F.sum("n") - F.max("n")).alias("minor")).where("minor > 0")
+    per_list = common.save(per_list, "list-components")
     rows = lists.join(per_list, "list").withColumn("inside", F.col("component") == F.col("largest"))
     n_major, n_minor = (F.ceil(F.col(c) / PART).cast("int") for c in ("major", "minor"))
     at = F.xxhash64("digest", "list")
