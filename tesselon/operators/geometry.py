@@ -151,6 +151,26 @@ def clipped_length_column(coords: Column, box: tuple[float, float, float, float]
     return F.when(within, length_column(coords)).when(apart | (F.size(coords) < 2), F.lit(0.0)).otherwise(cut(coords))
 
 
+def touches_box_column(coords: Column, box: tuple[float, float, float, float], closed_areas: bool = True) -> Column:
+    """Whether lines (or closed rings, as areas) meet a box. A point inside settles it, boxes apart too; only the rest goes to Python."""
+    a, b, c, d = box
+    lons, lats = F.transform(coords, lambda p: p["lon"]), F.transform(coords, lambda p: p["lat"])
+    some = F.exists(coords, lambda p: p["lon"].between(a, c) & p["lat"].between(b, d))
+    apart = (F.array_max(lons) < a) | (F.array_min(lons) > c) | (F.array_max(lats) < b) | (F.array_min(lats) > d)
+
+    @F.pandas_udf("boolean")
+    def meets(lines: pd.Series) -> pd.Series:
+        def one(line) -> bool:
+            x = np.array([(p["lon"], p["lat"]) for p in line], float)
+            if len(geo.clip_line(x, box)):
+                return True
+            return closed_areas and len(x) > 3 and bool((x[0] == x[-1]).all()) and bool(geo.inside(np.array([(a, b)], float), [x])[0])
+
+        return lines.map(lambda line: line is not None and len(line) > 1 and one(line))
+
+    return F.when(some, True).when(F.coalesce(apart, F.lit(True)), False).otherwise(meets(coords))
+
+
 def overlapping_regions(df: DataFrame, regions: dict[str, tuple], name: str, side: str | None = None) -> DataFrame:
     """Each row once for every region it touches. Regions (boxes, or rings of polygons) come from the caller and are literals of the plan."""
     point = (lambda c: F.col(c)) if side is None else (lambda c: F.coalesce(F.col(f"after.{c}"), F.col(f"before.{c}")))

@@ -24,9 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tesselon.functions import filters, geo, timeline
+from tesselon.functions import filters, geo, grid, timeline
 from tesselon.operators import views
-from tesselon.operators.geometry import overlapping_regions
+from tesselon.operators.geometry import overlapping_regions, touches_box_column, way_coords
 from tesselon.operators.members import ENTITY
 
 NUMBERS = ("byte", "short", "integer", "long", "float", "double", "tinyint", "smallint", "int", "bigint")
@@ -162,11 +162,14 @@ class Builder:
     def rows(self) -> DataFrame:
         """The view's rows after the steps: key columns, `value` if mapped."""
         store = self.store
-        view = views.snapshots if self.kind == "snapshots" else views.contributions
         versions = store.versions.where(F.lit(False)) if self.empty else store.versions
-        df = view(versions, list(self._instants()), self.flt, store.members)
-        if self.box is not None:
-            df = df.where(self._touches(df))
+        if self.kind == "snapshots":
+            df = views.snapshots(versions, list(self._instants()), self.flt, store.members)
+            if self.box is not None:
+                df = df if store.members is None else way_coords(df, store.members, "snapshot_ts")
+                df = df.where(F.coalesce(self._inside(df), F.lit(False)))
+        else:
+            df = views.contributions(versions, list(self._instants()), self.flt, store.members, inside=None if self.box is None else self._inside)
         carried: list[str] = []
         for step in self.steps:
             if step[0] == "map":
@@ -190,18 +193,20 @@ class Builder:
                 df = self._python(df, step[1], step[2])
         return df
 
-    def _touches(self, df: DataFrame) -> Column:
-        points = [(F.col("lon_e7"), F.col("lat_e7"))] if self.kind == "snapshots" else [(F.col(f"{s}.lon_e7"), F.col(f"{s}.lat_e7")) for s in ("before", "after")]
+    def _inside(self, df: DataFrame) -> Column:
+        """Whether states lie in the area of interest: points by their place; ways, where their nodes are known, if any part of the line (or of its area) does. Polygons are tested at points and nodes."""
+        lon, lat = F.col("lon_e7"), F.col("lat_e7")
         a, b, c, d = self.box
+        # across the antimeridian the box has two parts
+        boxes = [self.box] if a <= c else [(a, b, grid.HALF, d), (-grid.HALF, b, c, d)]
         out = F.lit(False)
-        for lon, lat in points:
-            if a <= c:
-                here = lon.between(a, c) & lat.between(b, d)
-            else:  # across the antimeridian
-                here = ((lon >= a) | (lon <= c)) & lat.between(b, d)
-            for rings in self.polygon or ():
-                here &= inside_polygon(lon, lat, rings)
-            out |= F.coalesce(here, F.lit(False))
+        for w, s, e, n in boxes:
+            here = lon.between(w, e) & lat.between(s, n)
+            if "coords" in df.columns:
+                here = F.when(F.size("coords") > 0, touches_box_column(F.col("coords"), tuple(x / grid.UNIT for x in (w, s, e, n)))).otherwise(here)
+            out |= here
+        for rings in self.polygon or ():
+            out &= inside_polygon(lon, lat, rings) if "coords" not in df.columns else F.when(F.size("coords") > 0, any_inside_polygon(F.col("coords"), rings)).otherwise(inside_polygon(lon, lat, rings))
         return out
 
     def _python(self, df: DataFrame, f: Callable, kind: str) -> DataFrame:
@@ -390,11 +395,25 @@ def inside_polygon(lon: Column, lat: Column, rings) -> Column:
 
     @F.pandas_udf("boolean")
     def test(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series(geo.inside(np.stack([x.astype(float), y.astype(float)], axis=1), shapes))
+        points = np.stack([x.astype(float), y.astype(float)], axis=1)
+        return pd.Series(geo.inside(np.nan_to_num(points), shapes) & ~np.isnan(points).any(axis=1))
 
     return test(lon, lat)
 
 
+def any_inside_polygon(coords: Column, rings) -> Column:
+    """Whether any point of lines lies in a polygon (in units of the grid); in Arrow batches."""
+    import numpy as np
+
+    shapes = [np.array(r, float) / grid.UNIT for r in rings]
+
+    @F.pandas_udf("boolean")
+    def test(lines: pd.Series) -> pd.Series:
+        return lines.map(lambda c: c is not None and len(c) > 0 and bool(geo.inside(np.array([(p["lon"], p["lat"]) for p in c], float), shapes).any()))
+
+    return test(coords)
+
+
 def nest(rows: list, names: list[str]) -> dict:
     """A flat keyed result as nested dictionaries."""
     out: dict = {}

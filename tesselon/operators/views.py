@@ -6,12 +6,14 @@ list of instants is a literal that rows are matched with in place, not a join.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselon.functions.filters import Constant, Node, State
+from tesselon.operators.geometry import way_coords
 from tesselon.operators.members import ENTITY, asof_join, modification_times
 
 def history():
@@ -76,37 +78,58 @@ def squashed(times: DataFrame) -> DataFrame:
     return times.withColumn("__next", following).where("__next is null or __next <> changeset_id").drop("__next")
 
 
-#: What a contribution shows of the states before and after.
+#: What a contribution shows of the states before and after; with members also `coords`, the places of a way's nodes then.
 SHOWN = ("version", "tags", "lon_e7", "lat_e7", "members")
 
 
-def contributions(versions: DataFrame, instants: list[datetime] | None = None, flt: Node | None = None, members: DataFrame | None = None, row_filter: bool = True) -> DataFrame:
+def contributions(
+    versions: DataFrame,
+    instants: list[datetime] | None = None,
+    flt: Node | None = None,
+    members: DataFrame | None = None,
+    row_filter: bool = True,
+    inside: Callable[[DataFrame], Column] | None = None,
+) -> DataFrame:
     """The change log: ts, changeset_id, contributor_id, creation, deletion, tag_change, geometry_change, before, after.
 
     Runs of versions that are deleted or that the filter refuses count as one end; then changesets are squashed; then the
-    state at each time is compared with the state emitted before. Only times in [first, last) of the instants are given
-    out, but all earlier ones count for the state before.
+    state at each time is compared with the state emitted before. `inside` says of states whether they lie in the area of
+    interest: moving in is a creation, moving out a deletion. Only times in [first, last) of the instants are given out,
+    but all earlier ones count for the state before.
     """
     flt = flt or Constant(True)
     # the type is a version's for good, so histories of other types may go; versions that do not match must stay
     v = latest_at_time(prefiltered(versions, flt))
     v = v.withColumn("alive", F.col("visible") & flt.version(State.of(v.columns)))
+    shown = list(SHOWN)
     if members is None:
-        rows = v.select(*ENTITY, "ts", "alive", *SHOWN, "changeset_id", "user_id", F.lit(True).alias("own"))
+        rows = v.select(*ENTITY, "ts", "alive", *shown, "changeset_id", "user_id", F.lit(True).alias("own"))
     else:
-        state = v.select(*ENTITY, "ts", "alive", *SHOWN)
+        state = v.select(*ENTITY, "ts", "alive", *shown)
         rows = asof_join(modification_times(versions, members), state, ENTITY, "ts", "version", "s_").where("s_version is not null")
-        rows = rows.select(*ENTITY, "ts", F.col("s_alive").alias("alive"), *[F.col(f"s_{c}").alias(c) for c in SHOWN], "changeset_id", "user_id", "own")
+        rows = rows.select(*ENTITY, "ts", F.col("s_alive").alias("alive"), *[F.col(f"s_{c}").alias(c) for c in shown], "changeset_id", "user_id", "own")
+        rows = way_coords(rows, members)
+        shown.append("coords")
     w = Window.partitionBy(*ENTITY).orderBy("ts")
     rows = rows.withColumn("was", F.coalesce(F.lag("alive").over(w), F.lit(False))).where("alive or was").drop("was")
     rows = squashed(rows)
-    shown = F.struct(*SHOWN)
-    rows = rows.withColumn("before_alive", F.coalesce(F.lag("alive").over(w), F.lit(False))).withColumn("before", F.lag(shown).over(w))
+    if inside is not None:
+        rows = rows.withColumn("alive", F.col("alive") & F.coalesce(inside(rows), F.lit(False)))
+    state = F.struct(*shown)
+    rows = rows.withColumn("before_alive", F.coalesce(F.lag("alive").over(w), F.lit(False))).withColumn("before", F.lag(state).over(w))
     rows = rows.where("alive or before_alive")
-    place = lambda side: F.struct(F.col(f"{side}.lon_e7"), F.col(f"{side}.lat_e7"), F.col(f"{side}.members"))
-    tags = lambda c: F.array_sort(F.map_entries(F.coalesce(c, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))))
-    rows = rows.withColumn("after", shown)
+
+    def place(side: str) -> Column:
+        members_of = F.col(f"{side}.members") if members is None else F.when(F.col("osm_type") == "relation", F.col(f"{side}.members"))
+        return F.struct(F.col(f"{side}.lon_e7"), F.col(f"{side}.lat_e7"), members_of, *([F.col(f"{side}.coords")] if members is not None else []))
+
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    tags = lambda side: F.array_sort(F.map_entries(F.coalesce(F.col(f"{side}.tags"), none)))
+    rows = rows.withColumn("after", state)
     both = F.col("alive") & F.col("before_alive")
+    moved = ~place("before").eqNullSafe(place("after"))
+    if members is not None:  # members of relations are not built here: a change by a member counts as one of the geometry
+        moved |= (F.col("osm_type") == "relation") & ~F.col("own")
     rows = rows.select(
         *ENTITY,
         "ts",
@@ -114,8 +137,8 @@ def contributions(versions: DataFrame, instants: list[datetime] | None = None, f
         F.coalesce("user_id", F.lit(-1)).alias("contributor_id"),
         (F.col("alive") & ~F.col("before_alive")).alias("creation"),
         (~F.col("alive")).alias("deletion"),
-        (both & (tags(F.col("before.tags")) != tags(F.col("after.tags")))).alias("tag_change"),
-        (both & (~place("before").eqNullSafe(place("after")) | ~F.col("own"))).alias("geometry_change"),
+        (both & (tags("before") != tags("after"))).alias("tag_change"),
+        (both & moved).alias("geometry_change"),
         "before",
         "after",
     )

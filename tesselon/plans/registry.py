@@ -291,8 +291,11 @@ query("grid_bbox_ranges", f"select level::int as level, least(row_number() over
 query("grid_pruned_scan", f"{BOXES_SQL} select osm_id, changeset_id from boxes where a <= {BOX[2]} and c >= {BOX[0]} and b <= {BOX[3]} and e >= {BOX[1]}")(
     lambda s, d: store.read_store(s, _stored(s, d), BOX).select("osm_id", "changeset_id")
 )
+# after folding and squashing, states outside the box count as dead
+AREA_LOG_SQL = log_sql().replace("em as (select *,", f"sa as (select * replace (alive and lon_e7 between {BOX[0]} and {BOX[2]} and lat_e7 between {BOX[1]} and {BOX[3]} as alive) from sq),\nem as (select *,").replace("as b_lat from sq", "as b_lat from sa") + f" select {LOG_COLUMNS} from ct where {WINDOW}"
 query("aoi_bbox", snapshot_sql(f"lon_e7 between {BOX[0]} and {BOX[2]} and lat_e7 between {BOX[1]} and {BOX[3]}"))(lambda s, d: snapshots(s, d).area_of_interest(BOX).aggregate_by_timestamp().count())
 query("aoi_bbox_intersection", snapshot_sql("lon_e7 between 0 and 350000000 and lat_e7 between -50000000 and 100000000"))(lambda s, d: snapshots(s, d).area_of_interest(BOX).area_of_interest((0, -900000000, 1800000000, 100000000)).aggregate_by_timestamp().count())
+query("aoi_contributions", AREA_LOG_SQL)(lambda s, d: log(contributions(s, d).area_of_interest(BOX).rows()))
 TRIANGLE = [[(-1000000000, -500000000), (1000000000, -500000000), (0, 500000000), (-1000000000, -500000000)]]
 query("aoi_polygon", snapshot_sql("lat_e7 >= -500000000 and lat_e7 <= 500000000 and lat_e7 + 500000000 <= lon_e7 + 1000000000 and lat_e7 + 500000000 <= 1000000000 - lon_e7"))(lambda s, d: snapshots(s, d).area_of_interest(TRIANGLE).aggregate_by_timestamp().count())
 query("aoi_empty", snapshot_sql("false"))(lambda s, d: snapshots(s, d).area_of_interest((0, 0, 10, 10)).area_of_interest((100, 100, 110, 110)).aggregate_by_timestamp().count())

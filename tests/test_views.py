@@ -160,3 +160,27 @@ def test_areas_of_interest(table):
     assert ids(b.area_of_interest((1700000000, -10, -1700000000, 10))) == [3]
     assert ids(b.area_of_interest([[(0, 0), (100, 0), (0, 100), (0, 0)]])) == [1, 2]
     assert {r.region: r.result for r in b.aggregate_by_geometry({"a": (0, 0, 100, 100), "b": [[(0, 0), (9, 0), (9, 9), (0, 9), (0, 0)]], "c": (1, 1, 2, 2)}).count().collect()} == {"a": 2, "b": 1, "c": 0}
+
+
+def test_moving_into_an_area_is_a_creation(table):
+    df = table(version(1, 1, 1, lon=50, lat=5), version(1, 2, 2, lon=5, lat=5), version(1, 3, 3, lon=6, lat=5), version(1, 4, 4, lon=60, lat=5), version(1, 5, 5, lon=61, lat=5), version(1, 6, 6, lon=1, lat=1))
+    rows = Store(df).contributions().timestamps("2020-01-01", "2020-01-20").area_of_interest((0, 0, 10, 10)).rows().collect()
+    assert sorted((r.ts.day, r.creation, r.deletion, r.geometry_change) for r in rows) == [(2, True, False, False), (3, False, False, True), (4, False, True, False), (6, True, False, False)]
+
+
+def test_ways_in_an_area(table):
+    unit = 10_000_000
+    nodes = table(version(1, 1, 1, lon=0, lat=0), version(2, 1, 1, lon=10 * unit, lat=10 * unit), version(2, 2, 5, lon=0, lat=10 * unit), version(3, 1, 1, lon=50 * unit, lat=0))
+    ways = table(version(8, 1, 2, kind="way", refs=[1, 2]), version(9, 1, 2, kind="way", refs=[3, 3]))
+    box = (4 * unit, 4 * unit, 6 * unit, 6 * unit)
+    store = Store(ways, nodes)
+    got = sorted((r.snapshot_ts.day, r.osm_id) for r in store.snapshots().timestamps([at(3), at(6)]).area_of_interest(box).rows().collect())
+    assert got == [(3, 8)]
+    rows = store.contributions().timestamps([at(1), at(9)]).area_of_interest(box).rows().collect()
+    assert sorted((r.osm_id, r.ts.day, r.creation, r.deletion) for r in rows) == [(8, 2, True, False), (8, 5, False, True)]
+
+
+def test_a_member_change_without_a_move_changes_nothing(table):
+    nodes = table(version(1, 1, 1), version(1, 2, 4, tags={"x": "y"}), version(2, 1, 1))
+    ways = table(version(9, 1, 2, kind="way", refs=[1, 2]))
+    assert log(ways, nodes=nodes) == [(9, 2, ("creation",)), (9, 4, ())]
