@@ -193,6 +193,10 @@ class Builder:
                 df = self._python(df, step[1], step[2])
         return df
 
+    def ordered(self) -> DataFrame:
+        """The rows in their natural order: by type, id and time."""
+        return self.rows().orderBy(F.expr("array_position(array('node', 'way', 'relation'), osm_type)"), "osm_id", "snapshot_ts" if self.kind == "snapshots" else "ts")
+
     def _inside(self, df: DataFrame) -> Column:
         """Whether states lie in the area of interest: points by their place; ways, where their nodes are known, if any part of the line (or of its area) does. Polygons are tested at points and nodes."""
         lon, lat = F.col("lon_e7"), F.col("lat_e7")

@@ -115,3 +115,11 @@ def test_stream_into_a_store(spark, tmp_path):
     q.awaitTermination()
     assert spark.table("w").agg(F.sum("edits"), F.sum("deletions")).first()[:] == (6, 3)
     assert os.path.isdir(out)
+
+
+def test_rows_of_a_database(spark):
+    from tesselon.sources import jdbc
+
+    rows = spark.createDataFrame([("way", 1, 1, True, datetime(2020, 1, 1), 2, 3, None, None, '{"a": "b"}', '[{"type": "node", "id": 5, "role": ""}]')], "osm_type string, osm_id long, version int, visible boolean, ts timestamp_ntz, changeset_id long, user_id int, lon_e7 int, lat_e7 int, tags string, members string")
+    r = jdbc.from_text(rows).first()
+    assert r.tags == {"a": "b"} and r.members[0].id == 5
