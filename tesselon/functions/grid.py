@@ -112,9 +112,7 @@ def pruned(level: Column, cell: Column, box, most: int = 8) -> Column:
     return out
 
 
-def neighbours(level: int, cell: int) -> list[int]:
-    """The cell and the up to eight cells around it, row by row from the south-west; columns wrap around, rows end at the poles."""
-    n = 2**level
-    y, x = divmod(cell, n)
-    rows = [r for r in (y - 1, y, y + 1) if 0 <= r < max(1, n // 2)]
-    return list(dict.fromkeys(r * n + (x + k) % n for r in rows for k in (-1, 0, 1)))
+def neighbours(level: int, cell: int) -> list[tuple[int, int]]:
+    """Id ranges of a cell and the cells around it; (-1, -1) is among them at the grid's edge."""
+    a, b, c, d = cell_box(level, cell)
+    return ranges(level, (a - 1, b - 1, c + 1, d + 1), enlarge=False)
