@@ -370,7 +370,18 @@ query("filter_geom_length", f"{SEGMENTS_SQL} select osm_id from len where length
     lambda s, d: (lambda m: m.where(filters.parse("length:(20000..90000)").row(filters.State.of(m.columns))).select("osm_id"))(P.lines(s, d).withColumn("length", geo.length_column(F.col("coords"))).withColumn("osm_type", F.lit("way")).withColumn("tags", F.create_map(F.lit("a"), F.lit("b"))))
 )
 CLIP = (8.2, 49.2, 8.7, 49.7)
-query("aoi_clip_length", None)(lambda s, d: P.lines(s, d).select("osm_id", band(geometry.clipped_length_column(F.col("coords"), CLIP)).alias("length")))
+CLIP_SQL = f"""with {P.POINTS_SQL}, s as (select osm_id, lon as x, lat as y, lead(lon) over w - lon as dx, lead(lat) over w - lat as dy from points window w as (partition by osm_id order by i)),
+t as (select *, case when dx = 0 then case when x between {CLIP[0]} and {CLIP[2]} then 0 else 2 end else least(({CLIP[0]} - x) / dx, ({CLIP[2]} - x) / dx) end as ax, case when dx = 0 then 1 else greatest(({CLIP[0]} - x) / dx, ({CLIP[2]} - x) / dx) end as bx,
+  case when dy = 0 then case when y between {CLIP[1]} and {CLIP[3]} then 0 else 2 end else least(({CLIP[1]} - y) / dy, ({CLIP[3]} - y) / dy) end as ay, case when dy = 0 then 1 else greatest(({CLIP[1]} - y) / dy, ({CLIP[3]} - y) / dy) end as by_ from s where dx is not null),
+c as (select *, greatest(0, ax, ay) as t0, least(1, bx, by_) as t1 from t),
+g as (select osm_id, radians((t1 - t0) * dx) as dl, atan({LENGTH_SHARE} * tan(radians(y + t0 * dy))) as y0, atan({LENGTH_SHARE} * tan(radians(y + t1 * dy))) as y1 from c where t0 < t1),
+l as (select osm_id, sum(sqrt(pow(dl * cos((y0 + y1) / 2), 2) + pow(y1 - y0, 2))) * {geo.RADIUS_MEAN} as length from g group by osm_id)
+select osm_id, round(coalesce(length, 0), 2) as length from (select distinct osm_id from points) left join l using (osm_id)"""
+query("aoi_clip_length", CLIP_SQL)(lambda s, d: P.lines(s, d).select("osm_id", band(geometry.clipped_length_column(F.col("coords"), CLIP)).alias("length")))
 query("geo_squareness", None)(lambda s, d: rings(s, d).select("osm_id", band(geometry.squareness_column(F.col("coords")), 6).alias("squareness")))
 query("multipolygon_assembly", None)(lambda s, d: geometry.multipolygons(rings(s, d).withColumn("role", F.when(F.col("osm_id") % 3 == 0, "inner").otherwise("outer")).withColumn("relation", F.floor(F.col("osm_id") / 8)), ["relation"]))
-query("way_geometry_at_time", None)(lambda s, d: geometry.way_coords(P.ways(s, d), P.nodes(s, d)).groupBy(geometry.way_geometry_column(F.col("coords"), F.col("tags")).alias("geometry")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("coords")).alias("points")))
+WAY_GEOMETRY_SQL = f"""with {P.VERSIONS_SQL}, nodes as (select * from v where osm_type = 'node' and visible),
+r as (select osm_id, ts, unnest(case when event_id % 2 = 0 then [event_id * 7 % 50 * 3, event_id * 11 % 50 * 3, event_id * 13 % 50 * 3] else [event_id * 7 % 50 * 3, event_id * 11 % 50 * 3] end) as m from v where osm_type = 'way'),
+p as (select r.osm_id, r.ts, count(n.osm_id) as k from r left join nodes n on n.osm_id = r.m and n.ts <= r.ts and (n.valid_to is null or r.ts < n.valid_to) group by all)
+select case when k = 0 then null when k = 1 then 'point' else 'line' end as geometry, count(*) as n, sum(k)::bigint as points from p group by 1"""
+query("way_geometry_at_time", WAY_GEOMETRY_SQL)(lambda s, d: geometry.way_coords(P.ways(s, d), P.nodes(s, d)).groupBy(geometry.way_geometry_column(F.col("coords"), F.col("tags")).alias("geometry")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("coords")).alias("points")))
