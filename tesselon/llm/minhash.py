@@ -38,7 +38,7 @@ COORDINATES = 256
 PREFIX = 10
 PART = 512
 #: Ids up to which the classes to be confirmed are sent to the scan of texts instead of shuffling the texts.
-SEND_IDS = 1_000_000
+SEND_IDS = 500_000
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
