@@ -1,8 +1,8 @@
 """Benchmark decontamination by random-walk embedding of edit distance (CGK) and bit-sampling hashing.
 
 A document is contaminated by an item of m words if some window of m of its words (the whole document, if it is shorter)
-is within floor(tolerance * m) word edits of the item. Words are the parts between white space, lower-cased, without
-punctuation at their ends; what is left empty is no word.
+is within floor(tolerance * m) word edits of the item. Words are lower-cased and parted by white space and by the marks
+in MARKS.
 
 Windows of every item length slide over the whole text. With e edits a window keeps at least m - e of the item's words
 and m - 2 - 3 e of its runs of three; windows with fewer words and runs that the benchmark has cannot match and are not
@@ -21,6 +21,8 @@ An empty benchmark or documents table gives no rows (or removes none); extra col
 
 from __future__ import annotations
 
+from itertools import repeat
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,35 +31,18 @@ from tesselon.llm import common
 
 BLOCK = 20_000
 TOLERANCE = 0.2
-WALKS, TABLES_OF_WALK, SAMPLES = 8, 4, 4
+WALKS, TABLES_OF_WALK, SAMPLES = 6, 6, 3
 #: Text that is searched at a time: equal windows in it are looked up once.
-LOT_BYTES = 8 << 20
+LOT_BYTES = 16 << 20
 SEED = 5
-STRIP = b".,;:!?\"'()[]{}<>|*#%&$-_/\\"
-
-
-class Vocabulary(dict):
-    """Numbers of words: 0 for those the benchmark does not have, -1 for parts that are no word."""
-
-    def __init__(self):
-        super().__init__()
-        self.words: dict[bytes, int] = {}
-
-    @staticmethod
-    def clean(part: bytes) -> bytes:
-        return part.decode().lower().encode().strip(STRIP)
+MARKS = b".,;:!?\"'()[]{}<>|*#%&$-_/\\"
+BLANKS = bytes.maketrans(MARKS, b" " * len(MARKS))
 
-    def __missing__(self, part: bytes) -> int:
-        word = self.clean(part)
-        n = self[part] = self.words.get(word, 0) if word else -1
-        return n
 
-    def of(self, text: bytes | None) -> np.ndarray:
-        if len(self) > common.CACHE_WORDS:
-            self.clear()
-        parts = (text or b"").split()
-        ids = np.fromiter(map(self.__getitem__, parts), np.int32, len(parts))
-        return ids[ids >= 0] if len(ids) and ids.min() < 0 else ids
+def words_of(text: bytes | None) -> list[bytes]:
+    text = text or b""
+    lower = text.lower() if text.isascii() else text.decode().lower().encode()
+    return lower.translate(BLANKS).split()
 
 
 def edits(a: list[int], b: list[int]) -> int:
@@ -118,12 +103,12 @@ class Index:
     """The tables of a block of items."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], tolerance: float = TOLERANCE):
-        self.tolerance, self.vocabulary = tolerance, Vocabulary()
+        self.tolerance = tolerance
+        self.numbers: dict[bytes, int] = {}  # of the benchmark's words, from 1
         self.items: list[tuple[int | None, list[int]]] = []
         for item, text in items:
-            words = [w for x in (text or "").encode().split() if (w := Vocabulary.clean(x))]
-            if words:
-                self.items.append((item, [self.vocabulary.words.setdefault(w, len(self.vocabulary.words) + 1) for w in words]))
+            if words := words_of((text or "").encode()):
+                self.items.append((item, [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words]))
         self.lengths = sorted({len(w) for _, w in self.items})
         self.runs = np.unique(np.concatenate([self.runs_of(np.array(w, np.int64)) for _, w in self.items])) if self.items else np.zeros(0, np.uint64)
         self.tables: dict[int, dict[int, list[int]]] = {m: {} for m in self.lengths}
@@ -143,7 +128,8 @@ class Index:
 
     def windows(self, text: bytes | None):
         """(length, starts, windows) that may match; words past the end of a short document are -1."""
-        ids = self.vocabulary.of(text)
+        words = words_of(text)
+        ids = np.fromiter(map(self.numbers.get, words, repeat(0)), np.int32, len(words))
         if not len(ids) or not self.lengths:
             return
         known = np.concatenate([[0], np.cumsum(ids > 0)])

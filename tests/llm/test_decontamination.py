@@ -19,7 +19,7 @@ def distance(a, b):
 
 def brute(docs, items):
     out = set()
-    clean = lambda t: [w for x in (t or "").split() if (w := x.lower().strip(D.STRIP.decode()))]
+    clean = lambda t: "".join(" " if c in D.MARKS.decode() else c for c in (t or "").lower()).split()
     for d, t in docs:
         words = clean(t)
         for k, it in items:
