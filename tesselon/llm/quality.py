@@ -6,21 +6,30 @@ good documents and each labeller's chance of every vote given good or bad. The p
 label; a linear scorer over hashed words and word shapes is fitted by logistic loss to the posterior labels of a sample
 of at most `sample` documents, chosen by a hash of the id, and scores every document.
 
+The labeller of toxic text knows some English words and, of every language with MIN_TOXIC labelled toxic documents, stems
+(pieces of words) learned from the labels: those that stand in toxic documents far more often than in others, until every
+toxic document of the sample holds one, and the share of words with a stem that tells toxic documents from all others best. At
+most LEARNED documents of each language and label are learned from, whole, chosen by a hash of the id; a third is held out.
+
 Rows: null or empty text gets the votes of an empty text (bad by its length). A null doc_id is scored, never sampled.
 Repeated rows are scored each. An empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselon.llm import common
+from tesselon.llm.langid import held_out
 
 BUCKETS = 1 << 18
 SAMPLE = 4000
@@ -32,10 +41,118 @@ ROUNDS, EPOCHS, RATE, SEED = 60, 6, 4.0, 3
 SYMBOLS = np.frombuffer(rb"#$%&*=@^_~<>|{}\[]", np.uint8)
 # Words that no clean text is made of.
 RUDE = frozenset(b"clown disgusting dumb idiot idiots loser losers moron morons pathetic scum stupid trash worthless".split())
+#: Documents learned from of each language, at most, by toxic; toxic ones that are needed to learn at all; letters of a stem.
+LEARNED, MIN_TOXIC, STEM = {0: 600, 1: 200}, 10, range(4, 10)
+#: Share of the toxic documents that a stem must stand in, how many times more common there than elsewhere, and stems at most.
+SEEN, TIMES, STEMS = 0.1, 5, 32
+#: Words that a text counts as longer than it is, so that one stem by chance in a short text is no proof.
+SMOOTH = 20
 LABELLERS = ("length", "symbols", "case", "repeats", "lines", "marks", "word_length", "rude")
 
 
-def votes(text: str | None) -> list[int]:
+class Stems(dict):
+    """Toxic stems by language with the share of words that decides: languages by number of those whose stems a word holds."""
+
+    def __init__(self, learned: dict[str, tuple[list[str], float]] | None = None):
+        super().__init__()
+        self.learned = {k: v for k, v in (learned or {}).items() if v[0]}
+        self.found = [re.compile("|".join(map(re.escape, stems))).search for stems, _ in self.learned.values()]
+
+    def __reduce__(self):
+        return Stems, (self.learned,)
+
+    def __missing__(self, word: bytes) -> int:
+        lower = word.decode(errors="ignore").lower()
+        x = self[word] = sum(1 << k for k, search in enumerate(self.found) if search(lower))
+        return x
+
+    def toxic(self, words: list[bytes]) -> bool:
+        if not self.learned:
+            return False
+        if len(self) > common.CACHE_WORDS:
+            self.clear()
+        held = Counter(filter(None, map(self.__getitem__, words)))
+        return any(sum(n for x, n in held.items() if x >> k & 1) / (len(words) + SMOOTH) > least for k, (_, least) in enumerate(self.learned.values()))
+
+
+def _pieces(word: str) -> set[str]:
+    word = word.strip(".,!?#$%&*|")
+    return {word[i : i + n] for n in STEM for i in range(len(word) - n + 1)}
+
+
+def learn_stems(toxic: list[str], other: list[str], foreign: list[str] = ()) -> tuple[list[str], float]:
+    """Stems and the share of words holding one above which a text is toxic; foreign: texts of other languages that are not toxic."""
+    bags = [Counter(t.lower().split()) for t in toxic]
+    pieces: dict[str, set[str]] = {}
+    rate, held = Counter(), []
+    for bag in bags:
+        seen = Counter()
+        for w, n in bag.items():
+            for s in pieces.get(w) or pieces.setdefault(w, _pieces(w)):
+                seen[s] += n
+        held.append(seen.keys())
+        for s, n in seen.items():
+            rate[s] += n / bag.total() / len(toxic)
+    count = Counter(s for seen in held for s in seen)
+    kept = {s for s, n in count.items() if n >= max(2, SEEN * len(toxic))}
+    beside, pieces = Counter(), {}
+    others = [Counter(t.lower().split()) for t in other]
+    for bag in others:
+        for w, n in bag.items():
+            if w not in pieces:
+                pieces[w] = kept & _pieces(w)
+            for s in pieces[w]:
+                beside[s] += n / bag.total() / len(others)
+    value = {s: math.log(rate[s] / (beside[s] + 1e-4)) for s in kept if rate[s] > TIMES * beside[s]}
+    left, stems = [value.keys() & seen for seen in held], []
+    while left and len(stems) < STEMS:
+        here = Counter(s for seen in left for s in seen)
+        best = max(here, key=lambda s: (value[s] * here[s], len(s), s), default=None)
+        if best is None or here[best] < 2:
+            break
+        stems.append(best)
+        left = [seen for seen in left if best not in seen]
+    if not stems:
+        return [], 1.0
+    search = re.compile("|".join(map(re.escape, stems))).search
+    has: dict[str, bool] = {}
+    hit = lambda w: has[w] if w in has else has.setdefault(w, search(w) is not None)
+    share = lambda bag: sum(n for w, n in bag.items() if hit(w)) / (bag.total() + SMOOTH)
+    marks = sorted([(share(bag), 1) for bag in bags] + [(share(bag), 0) for bag in others] + [(share(Counter(t.lower().split())), 0) for t in foreign])
+    wrong = sum(1 - y for _, y in marks)  # all called toxic
+    least, fewest = marks[0][0] - 1.0, wrong
+    for (x, y), (following, _) in zip(marks, [*marks[1:], (1.0, 0)], strict=True):
+        wrong += 1 if y else -1
+        if following > x and wrong < fewest:
+            least, fewest = (x + following) / 2, wrong
+    return (stems, least) if least > 0 else ([], 1.0)
+
+
+def fit_stems(docs: DataFrame, labels: DataFrame) -> Stems:
+    """Stems of every language with enough labelled toxic documents that are not held out."""
+    known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    tongue = F.coalesce("lang", F.lit("")) if "lang" in docs.columns else F.lit("")
+    group = docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]") & ~held_out()).select("doc_id", tongue.alias("lang"), "text")
+    ids = group.select("doc_id", "lang").join(known, "doc_id").distinct()
+    counts = {(r["lang"], r["toxic"]): r["n"] for r in ids.groupBy("lang", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows per language
+    counts = {k: n for k, n in counts.items() if counts.get((k[0], 1), 0) >= MIN_TOXIC}
+    if not counts:
+        return Stems()
+    # as in langid.fit: a share by a hash of the id that leaves about twice as many rows as are wanted, then the first of them
+    share = F.create_map(*[x for (lang, y), n in counts.items() for x in (F.lit(f"{y}{lang}"), F.lit(min(1.0, 2.0 * LEARNED[y] / n + 50 / n)))])
+    some = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.concat("toxic", "lang")] * (1 << 20))
+    first = Window.partitionBy("lang", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
+    most = F.when(F.col("toxic") == 1, LEARNED[1]).otherwise(LEARNED[0])
+    some = some.withColumn("n", F.row_number().over(first)).where(F.col("n") <= most).drop("n")
+    rows = group.join(F.broadcast(some), ["doc_id", "lang"]).select("doc_id", "lang", "toxic", "text").orderBy("doc_id", "text").collect()  # bounded by LEARNED of each language
+    by: dict[tuple[str, int], list[str]] = {}
+    for r in rows:
+        by.setdefault((r["lang"], r["toxic"]), []).append(r["text"])
+    known = sorted({lang for lang, _ in by})
+    return Stems({lang: learn_stems(by[lang, 1], by.get((lang, 0), []), [t for x in known if x != lang for t in by.get((x, 0), [])]) for lang in known if (lang, 1) in by})
+
+
+def votes(text: str | None, stems: Stems | None = None) -> list[int]:
     """One vote per labeller: 1 good, 2 bad, 0 nothing."""
     raw = (text or "").encode()
     words = raw.split()
@@ -58,7 +175,7 @@ def votes(text: str | None) -> list[int]:
         bad(1 - len(set(lines)) / len(lines), 0.4) if len(lines) >= 4 else 0,
         bad(int(count[33]) / n, 0.3) if n >= 5 else 0,
         1 if 3 <= letters / n <= 10 else 2 if letters / n < 1.5 or letters / n > 20 else 0,
-        2 if rude >= 2 else 0,
+        2 if rude >= 2 or stems is not None and stems.toxic(words) else 0,
     ]
 
 
@@ -95,7 +212,7 @@ class Features(dict):
         x = self[word] = xxhash.xxh3_64_intdigest(word.lower()) % BUCKETS << 32 | xxhash.xxh3_64_intdigest(b"\0" + shape) % BUCKETS
         return x
 
-    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    def of(self, text: str | None, rude: bool) -> tuple[np.ndarray, np.ndarray]:
         if len(self) > common.CACHE_WORDS:
             self.clear()
         words = (text or "").encode().split()
@@ -104,12 +221,12 @@ class Features(dict):
         buckets, n = np.unique(np.concatenate([at >> 32, at & 0xFFFFFFFF]), return_counts=True)
         v = np.sqrt(n / max(1, len(words)))
         v = v / max(1e-9, np.linalg.norm(v))
-        return np.append(buckets, [BUCKETS, BUCKETS + 1, BUCKETS + 2]), np.append(v, [1.0, same, min(1.0, len(words) / 20)])
+        return np.append(buckets, [BUCKETS, BUCKETS + 1, BUCKETS + 2, BUCKETS + 3]), np.append(v, [1.0, same, min(1.0, len(words) / 20), float(rude)])
 
 
-def train(rows: list[tuple[str | None, float]]) -> np.ndarray:
-    w, features, rng = np.zeros(BUCKETS + 3), Features(), np.random.default_rng(SEED)
-    xs = [(*features.of(t), y) for t, y in rows]
+def train(rows: list[tuple[str | None, bool, float]]) -> np.ndarray:
+    w, features, rng = np.zeros(BUCKETS + 4), Features(), np.random.default_rng(SEED)
+    xs = [(*features.of(t, rude), y) for t, rude, y in rows]
     for epoch in range(EPOCHS):
         for i in rng.permutation(len(xs)):
             at, v, y = xs[i]
@@ -118,14 +235,15 @@ def train(rows: list[tuple[str | None, float]]) -> np.ndarray:
     return w.astype(np.float32)
 
 
-def score_documents(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def score_documents(docs: DataFrame, sample: int = SAMPLE, labels: DataFrame | None = None) -> DataFrame:
     """One row per document: doc_id, votes (array of 0, 1, 2), posterior, score (0 to 1), keep (score of at least 0.5)."""
     spark = docs.sparkSession
     common.tune(spark)
+    stems = fit_stems(docs, labels) if labels is not None else Stems()
 
     def count(batches):
         for batch in batches:
-            p, n = np.unique([pattern(votes(t)) for t in batch.column(0).to_pylist()], return_counts=True)
+            p, n = np.unique([pattern(votes(t, stems)) for t in batch.column(0).to_pylist()], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(n, pa.int64())], names=["pattern", "n"])
 
     counts = {r["pattern"]: r["n"] for r in docs.select("text").mapInArrow(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()}  # at most 3^labellers rows
@@ -133,17 +251,18 @@ def score_documents(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     total = sum(counts.values())
     some = docs.where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(min(1.0, 1.2 * sample / max(1, total)) * (1 << 20)) + 1))
     rows = some.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect()  # bounded by sample
-    w = train([(r["text"], posterior[pattern(votes(r["text"]))]) for r in rows])
+    cast = [votes(r["text"], stems) for r in rows]
+    w = train([(r["text"], v[-1] == 2, posterior[pattern(v)]) for r, v in zip(rows, cast, strict=True)])
     sent = spark.sparkContext.broadcast((w, posterior))  # a fixed number of weights, at most 3^labellers posteriors
 
     def run(batches):
         features, (w, posterior) = Features(), sent.value
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            cast = [votes(t) for t in texts]
+            cast = [votes(t, stems) for t in texts]
             score = []
-            for t in texts:
-                at, v = features.of(t)
+            for t, vote in zip(texts, cast, strict=True):
+                at, v = features.of(t, vote[-1] == 2)
                 score.append(float(1 / (1 + np.exp(-np.clip(w[at] @ v, -30, 30)))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cast, pa.list_(pa.int32())), pa.array([posterior[pattern(v)] for v in cast], pa.float64()), pa.array(score, pa.float64()), pa.array([s >= 0.5 for s in score], pa.bool_())], names=["doc_id", "votes", "posterior", "score", "keep"])
 
@@ -151,5 +270,9 @@ def score_documents(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:
-    out = score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    try:
+        labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    except AnalysisException:  # a corpus without labels
+        labels = None
+    out = score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels=labels)
     return out.select("doc_id", F.concat_ws("", "votes").alias("votes"), "posterior", "score", "keep")

@@ -27,3 +27,27 @@ def test_edges(documents):
     by = {r.doc_id: r for r in got}
     assert by[1].keep and not by[100].keep and by[None].keep and by[201].votes[0] == 2
     assert Q.score_documents(documents((1, "a")).limit(0)).count() == 0
+
+
+def test_toxic_of_every_language_held_out(spark):
+    """Recall on labelled documents that no stem was learned from, by language; false alarms of the labeller on the others."""
+    from tesselon.llm.langid import held_out
+
+    rows = {r.doc_id: r for r in Q.op10_quality(spark, SF).collect()}
+    docs = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").where(held_out()).collect()}
+    labels = [r for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r.doc_id in docs]
+    for lang in ("en", "de", "fr", "es"):
+        toxic = [rows[r.doc_id] for r in labels if r.toxic == 1 and docs[r.doc_id] == lang]
+        clean = [rows[r.doc_id] for r in labels if (r.quality, r.toxic) == (1, 0) and docs[r.doc_id] == lang]
+        found, alarms, gone = (sum(x) / len(y) for x, y in (([r.votes[-1] == "2" for r in toxic], toxic), ([r.votes[-1] == "2" for r in clean], clean), ([not r.keep for r in toxic], toxic)))
+        print(lang, len(toxic), found, gone, len(clean), alarms)
+        assert found >= 0.85 and gone >= 0.85 and alarms <= 0.02
+
+
+def test_learns_stems():
+    words = lambda k, more: " ".join([f"word{(k * 7 + i) % 90}" for i in range(40)] + more)
+    toxic = [words(k, [f"abgrümpel{k % 3}", "x"]) for k in range(20)]
+    stems, least = Q.learn_stems(toxic, [words(k, []) for k in range(60)])
+    found = Q.Stems({"xx": (stems, least)})
+    assert all(found.toxic(t.encode().split()) for t in toxic) and not found.toxic(words(3, []).encode().split())
+    assert Q.votes(toxic[0], found)[-1] == 2 and Q.votes(toxic[0])[-1] == 0
