@@ -288,6 +288,10 @@ RANGES = [(z, lo, hi) for z in range(15) for lo, hi in grid.ranges(z, BOX)[:40]]
 query("grid_bbox_ranges", f"select level::int as level, least(row_number() over (partition by level order by y), 40)::bigint as i, (y * (1 << level) + greatest(x1 - 1, 0))::bigint as low, (y * (1 << level) + x2)::bigint as high from (select *, unnest(range(greatest(y1 - 1, 0), y2 + 1)) as y from (select level, floor(({BOX[0]}::bigint + 1800000000) / w)::bigint as x1, floor(({BOX[2]}::bigint + 1800000000) / w)::bigint as x2, floor(({BOX[1]}::bigint + 900000000) / w)::bigint as y1, floor(({BOX[3]}::bigint + 900000000) / w)::bigint as y2 from (select z as level, 3600000000.0 / (1 << z) as w from range(0, 15) t(z)))) qualify row_number() over (partition by level order by y) <= 40")(
     lambda s, d: s.createDataFrame([(z, i + 1, lo, hi) for z in range(15) for i, (lo, hi) in enumerate(grid.ranges(z, BOX)[:40])], "level int, i long, low long, high long")
 )
+# every range of every level; grid_bbox_ranges and its SQL give the first 40 of each
+query("grid_bbox_ranges_all", f"select level::int as level, row_number() over (partition by level order by y)::bigint as i, (y * (1 << level) + greatest(x1 - 1, 0))::bigint as low, (y * (1 << level) + x2)::bigint as high from (select *, unnest(range(greatest(y1 - 1, 0), y2 + 1)) as y from (select level, floor(({BOX[0]}::bigint + 1800000000) / w)::bigint as x1, floor(({BOX[2]}::bigint + 1800000000) / w)::bigint as x2, floor(({BOX[1]}::bigint + 900000000) / w)::bigint as y1, floor(({BOX[3]}::bigint + 900000000) / w)::bigint as y2 from (select z as level, 3600000000.0 / (1 << z) as w from range(0, 15) t(z))))")(
+    lambda s, d: s.createDataFrame([(z, i + 1, lo, hi) for z in range(15) for i, (lo, hi) in enumerate(grid.ranges(z, BOX))], "level int, i long, low long, high long")
+)
 query("grid_pruned_scan", f"{BOXES_SQL} select osm_id, changeset_id from boxes where a <= {BOX[2]} and c >= {BOX[0]} and b <= {BOX[3]} and e >= {BOX[1]}")(
     lambda s, d: store.read_store(s, _stored(s, d), BOX).select("osm_id", "changeset_id")
 )
