@@ -11,16 +11,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in an Arrow batch; with whole texts of some 100 KB a batch stays near 20 MB.
-BATCH_ROWS = 200
+#: Rows in an Arrow batch, and bytes: however long texts are, a batch ends with the row that passes them.
+BATCH_ROWS, BATCH_BYTES = 200, 4 << 20
 #: Entries a worker's word cache may hold before it starts anew.
 CACHE_WORDS = 100_000
 
 
 def tune(spark: SparkSession) -> None:
-    """Keep Arrow batches small: texts are long."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Keep Arrow batches small, since texts are long. The session's own limits stay where they are lower."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(str(spark.conf.get(name)).rstrip("bB")) <= most:
+            spark.conf.set(name, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:

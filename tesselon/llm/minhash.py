@@ -1,30 +1,37 @@
 """MinHash near-dedup by an inverted join on signature coordinates.
 
 Documents with equal shingle sets form a class; classes are compared, copies never expand. A signature has COORDINATES
-minima. Classes are posted under each pair of coordinate and value, for a prefix of the coordinates: a pair of similarity
-s shares none of p coordinates with probability (1-s)^p, 1e-6 for 0.75 and 10. In each posting list collisions are
-counted over the whole signature (as bytes), and pairs at or above a match threshold are candidates: the threshold lies
-3.8 standard deviations below the mean at the least similarity (a pair right there is missed once in 10,000).
-
-Candidates are merged with skips, since only connection counts:
-1. Within parts of at most some PART classes of a list, the pairs of a spanning forest with the most matches are taken,
-   all others skipped. They are confirmed on the full sets, list by list of the first coordinate, then those of the other
-   coordinates whose ends are not yet connected (of several between two components, the one with the most matches).
-2. In lists where candidates were skipped, every candidate pair whose ends are still not connected is confirmed, within
-   the list: the sets of those that have such a pair travel there, once for each part they meet. Parts of long lists meet
-   two by two, but for those of the list's largest component among themselves.
-So each link that joins different components is found, hot lists are split, and tight groups cost a few pairs a document.
-
-A list of more than PART classes is posted again, twice over, under one more coordinate each (up to two times): what many
-documents share by a common passage falls apart so, while a pair at the least similarity stays together in at least one of
-its ten lists but for 2 in 100,000 cases.
+minima. Of these the first POSTED are posted: a class stands in the list of each of its coordinate-value pairs.
+
+* Prefix. A pair at the least similarity agrees in T or more of the POSTED coordinates (all but one pair in 100,000
+  right there). Each class orders its lists from the shortest to the longest and stays in the first POSTED - T + 1 alone:
+  two classes that agree in T coordinates meet in one of these at least, whatever is left out. So what many documents
+  share by a common line or passage makes no candidates, as such a class has rarer lists enough.
+* Counts. Within a list collisions are counted over the whole signature (as bytes); pairs at or above a match threshold
+  are candidates: 3.8 standard deviations below the mean at the least similarity (a pair right there is missed once in
+  10,000).
+* Skips, since only connection counts:
+  1. Lists are cut into parts of some PART classes. Within a part the pairs of a spanning forest with the most matches are
+     taken, all others skipped. They are confirmed on the full sets, list by list of the first coordinate, then those of
+     the other coordinates whose ends are not yet connected (of several between two components, the one with the most
+     matches).
+  2. Lists that still hold several components are cut into blocks anew, those of the list's largest component apart, and
+     blocks meet two by two (but for two of the largest component). A block is one row, so that what meets is rows of
+     blocks, not of members. Every candidate pair between components is taken in the first list that it shares, and
+     confirmed on the full sets unless others have joined its components within the two blocks.
+So each candidate that joins different components is confirmed, at any length of a list, hot lists are split, and tight
+groups cost a few pairs a document.
 
 Rows: null text, text without words: empty set, no links. A null doc_id: its own component (null), never linked, kept.
-Rows that repeat a doc_id each get their row. Empty tables stay empty. Extra columns are ignored (`keep_one` keeps them).
+Rows that repeat a doc_id each get their row. Empty tables stay empty. Extra columns are ignored (`keep_one` keeps them,
+whatever their names). Texts of any length count whole; blocks are bounded by the shingles of their members too. Ties: of
+equal counts of matches any pair may be taken, which changes no component; the least doc_id of a component is kept.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -35,8 +42,10 @@ from tesselon.llm import common, graph
 
 SHINGLE = 5
 COORDINATES = 256
-PREFIX = 10
+POSTED = 32
 PART = 512
+#: Members of a block, and shingles of all of them together, about.
+BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
 #: Ids up to which the classes to be confirmed are sent to the scan of texts instead of shuffling the texts.
 SEND_IDS = 500_000
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -48,6 +57,16 @@ def threshold(percent: int) -> int:
     return int(COORDINATES * (s + (1 - s) / 256) - 3.8 * (COORDINATES * s * (1 - s)) ** 0.5)
 
 
+def agreeing(percent: int) -> int:
+    """T: the most that all but one in 100,000 pairs at that similarity agree in, of the POSTED coordinates."""
+    s, below = percent / 100, 0.0
+    for t in range(POSTED):
+        below += math.comb(POSTED, t) * s**t * (1 - s) ** (POSTED - t)
+        if below > 1e-5:
+            return max(1, t)
+    return POSTED
+
+
 def _coefficients() -> tuple[np.ndarray, np.ndarray]:
     k = np.arange(1, COORDINATES + 1, dtype=np.uint64)
     a, b = common.mix(k * np.uint64(0xD1342543DE82EF95)), common.mix(k + np.uint64(0x632BE59BD9B4E019))
@@ -76,25 +95,25 @@ class Shingler:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest (16 bytes of the set; null if empty), prefix array<int>, matches binary (a byte per coordinate)."""
+    """doc_id, text_key, n_shingles, digest (16 bytes of the set; null if empty), posted (32-bit minima), matches (a byte per coordinate)."""
 
     def run(batches):
         shingler = Shingler()
         for batch in batches:
-            n, digest, prefix, matches = [], [], [], []
+            n, digest, posted, matches = [], [], [], []
             for text in common.raw(batch.column(1)):
                 s = shingler.set_of(text)
                 n.append(len(s))
                 if not len(s):
-                    digest.append(None), prefix.append(None), matches.append(None)
+                    digest.append(None), posted.append(None), matches.append(None)
                     continue
                 m = shingler.minima(s)
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()))
-                prefix.append(m[:PREFIX].view(np.int32))
+                posted.append(m[:POSTED].view(np.int32))
                 matches.append((m * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(prefix, pa.list_(pa.int32())), pa.array(matches, pa.binary())], names=["doc_id", "n_shingles", "digest", "prefix", "matches"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(posted, pa.list_(pa.int32())), pa.array(matches, pa.binary())], names=["doc_id", "text_key", "n_shingles", "digest", "posted", "matches"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, prefix array<int>, matches binary")
+    return docs.select("doc_id", "text", text_key("text").alias("text_key")).mapInArrow(run, "doc_id long, text_key binary, n_shingles long, digest binary, posted array<int>, matches binary")
 
 
 def groups(batches, n_keys: int):
@@ -156,95 +175,138 @@ def forest(least: int):
     return run
 
 
-def _candidates(rows: list, i: int, j: int, least: int):
-    """(matches, x, y) of pairs between components in one group of rows (part, digest, component, matches, ...)."""
+#: A member in a block: digest, component, the coordinates it kept (bits), the posted minima, a byte per coordinate.
+MEMBER = np.dtype([("digest", "V16"), ("component", "V16"), ("kept", "<u4"), ("posted", "<u4", POSTED), ("matches", "u1", COORDINATES)])
+
+
+def packed(batches):
+    """mapInArrow over sorted (list, part, coordinate, digest, component, kept, posted, matches): a row (list, part, coordinate, members) for each block."""
+    for (name, part, coordinate), rows in groups(batches, 3):
+        out = np.zeros(len(rows), MEMBER)
+        for k, (digest, component, kept, posted, matches) in enumerate(rows):
+            out[k] = (digest, component, kept & 0xFFFFFFFF, np.array(posted, np.int32).view(np.uint32), np.frombuffer(matches, np.uint8))
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((name, part, coordinate, out.tobytes()), kinds, strict=True)], names=["list", "part", "coordinate", "members"])
+
+
+def _candidates(a: np.ndarray, b: np.ndarray, same: bool, coordinate: int, least: int):
+    """(matches, x, y): x in a and y in b (same: one block) of different components whose first common list is that of the coordinate, with enough matches."""
     label: dict = {}
-    comp = np.array([label.setdefault(r[2], len(label)) for r in rows])
-    if len(label) < 2:
-        return
-    part = np.array([r[0] for r in rows])
-    sig = np.frombuffer(b"".join([r[3] for r in rows]), np.uint8).reshape(len(rows), -1)
-    for x in range(len(rows) - 1):
-        ok = comp[x + 1 :] != comp[x]
-        if i != j:
-            ok &= part[x + 1 :] != part[x]
-        at = x + 1 + np.flatnonzero(ok)
-        n = (sig[at] == sig[x]).sum(1)
-        for y in np.flatnonzero(n >= least).tolist():
-            yield int(n[y]), x, int(at[y])
+    of_a, of_b = (np.array([label.setdefault(bytes(c), len(label)) for c in m["component"]]) for m in (a, b))
+    bit = np.uint32(1) << np.arange(POSTED, dtype=np.uint32)
+    in_list = (b["kept"][:, None] & bit) > 0
+    for x in range(len(a)):
+        ok = of_b != of_a[x]
+        if same:
+            ok[: x + 1] = False
+        at = np.flatnonzero(ok)
+        if not len(at):
+            continue
+        common_lists = (b["posted"][at] == a["posted"][x]) & in_list[at] & ((a["kept"][x] & bit) > 0)
+        at = at[common_lists.argmax(1) == coordinate]
+        n = (b["matches"][at] == a["matches"][x]).sum(1)
+        for k in np.flatnonzero(n >= least).tolist():
+            yield int(n[k]), x, int(at[k])
+
+
+INVOLVED = "list long, i int, j int, part int, coordinate int, digest binary, member binary"
 
 
 def involved(least: int):
-    """mapInArrow over sorted (list, i, j, part, digest, component, matches): the rows that have a candidate in another component."""
+    """mapInArrow over (list, i, j, coordinate, members of block i, of block j): the members that have a candidate there."""
 
     def run(batches):
-        for (name, i, j), rows in groups(batches, 3):
-            some = sorted({z for _, x, y in _candidates(rows, i, j, least) for z in (x, y)})
-            if some:
-                n = len(some)
-                cols = ([name] * n, [i] * n, [j] * n, *([rows[x][c] for x in some] for c in range(4)))
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["list", "i", "j", "part", "digest", "component", "matches"])
+        for batch in batches:
+            for name, i, j, coordinate, one, two in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                a, b = np.frombuffer(one, MEMBER), np.frombuffer(two, MEMBER)
+                some: dict[tuple, bytes] = {}
+                for _, x, y in _candidates(a, b, i == j, coordinate, least):
+                    some[i, x] = a[x].tobytes()
+                    some[j, y] = b[y].tobytes()
+                if some:
+                    n = len(some)
+                    cols = ([name] * n, [i] * n, [j] * n, [part for part, _ in some], [coordinate] * n, [m[:16] for m in some.values()], list(some.values()))
+                    kinds = [pa.int64(), *[pa.int32()] * 4, pa.binary(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["list", "i", "j", "part", "coordinate", "digest", "member"])
 
     return run
 
 
 def joining(least: int, percent: int):
-    """mapInArrow over sorted (list, i, j, part, digest, component, matches, shingles): confirmed pairs that join components; pairs that others have joined are skipped."""
+    """mapInArrow over sorted (list, i, j, coordinate, part, member, shingles): confirmed pairs that join components; pairs that others have joined are skipped."""
 
     def run(batches):
-        for (_, i, j), rows in groups(batches, 3):
-            sets, a, b = [np.array(r[4], np.int64) for r in rows], [], []
+        for (_, i, j, coordinate), rows in groups(batches, 4):
+            sides = [[r for r in rows if r[0] == part] for part in dict.fromkeys((i, j))]
+            members = [np.frombuffer(b"".join([r[1] for r in side]), MEMBER) for side in sides]
+            sets = [[np.array(r[2], np.int64) for r in side] for side in sides]
             number: dict = {}
-            of = [number.setdefault(r[2], len(number)) for r in rows]
-            up = list(range(len(number)))
-            for _, x, y in sorted(_candidates(rows, i, j, least), reverse=True):
-                u, v = _find(up, of[x]), _find(up, of[y])
+            of = [[number.setdefault(bytes(c), len(number)) for c in m["component"]] for m in members]
+            up, a, b = list(range(len(number))), [], []
+            for _, x, y in sorted(_candidates(members[0], members[-1], i == j, coordinate, least), reverse=True):
+                u, v = _find(up, of[0][x]), _find(up, of[-1][y])
                 if u == v:
                     continue
-                few, many = (sets[x], sets[y]) if len(sets[x]) < len(sets[y]) else (sets[y], sets[x])
+                few, many = sorted((sets[0][x], sets[-1][y]), key=len)
                 both = int((many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few).sum())
                 if 100 * both >= percent * (len(few) + len(many) - both):
                     up[max(u, v)] = min(u, v)
-                    a.append(rows[x][1])
-                    b.append(rows[y][1])
+                    a.append(members[0]["digest"][x].tobytes())
+                    b.append(members[-1]["digest"][y].tobytes())
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
     return run
 
 
-def posting_lists(classes: DataFrame) -> DataFrame:
-    """coordinate, list, digest, parts, part: classes under their coordinates, lists of one left out, long lists posted again."""
-    post = classes.select("digest", F.posexplode("prefix").alias("coordinate", "value")).select("digest", "coordinate", F.xxhash64("coordinate", "value").alias("list"))
-    out = None
-    for again in range(3):
-        # counts are saved before they are joined: then Spark can split the partitions of very long lists
-        sizes = common.save(post.groupBy("list").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "list-sizes")
-        counted = post.join(sizes, "list")
-        if again < 2:
-            hot = common.save(counted.where(F.col("m") > PART).drop("m"), "long-lists")
-            counted = counted.where(F.col("m") <= PART)
-            place = F.lit(1 + PREFIX + 2 * PREFIX * again) + 2 * F.col("coordinate")
-            more = hot.join(classes.select("digest", "matches"), "digest").withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
-            post = more.select("digest", "coordinate", F.xxhash64("list", "side", F.substring(F.col("matches"), place + F.col("side"), F.lit(1))).alias("list"))
-        out = counted if out is None else out.union(counted.select(*out.columns))
+def posting_lists(classes: DataFrame, percent: int) -> DataFrame:
+    """Saved coordinate, list, digest, kept (bits of the coordinates whose lists the class stays in), parts, part: each class in its shortest lists, lists of one left out."""
+    prefix = POSTED - agreeing(percent) + 1
+    post = classes.select("digest", F.posexplode("posted").alias("coordinate", "value")).select("digest", "coordinate", F.xxhash64("coordinate", "value").alias("list"))
+    # counts are saved before they are joined: then Spark can split the partitions of very long lists
+    sizes = common.save(post.groupBy("list").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "list-sizes")
+    shared = post.join(sizes, "list").groupBy("digest").agg(F.collect_list(F.struct("m", "list", "coordinate")).alias("l"))  # POSTED at most
+    # a list that is not shared is shorter than all others and holds no pair
+    shared = shared.withColumn("l", F.slice(F.array_sort("l"), 1, F.greatest(F.lit(0), F.lit(prefix - POSTED) + F.size("l"))))
+    kept = F.aggregate("l", F.lit(0), lambda s, x: s.bitwiseOR(F.call_function("shiftleft", F.lit(1), x["coordinate"])))
+    short = common.save(shared.select("digest", kept.alias("kept"), F.explode("l").alias("x")).select("digest", "kept", "x.list", "x.coordinate"), "short-lists")
+    common.drop(sizes)
+    left = common.save(short.groupBy("list").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "list-sizes")
     parts = F.ceil(F.col("m") / PART).cast("int")
-    return out.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("digest", "coordinate"), F.col("parts")).cast("int")).drop("m")
-
-
-def halves(lists: DataFrame) -> DataFrame:
-    """list, i, j, part, digest, component: members of lists of several components, in parts that meet two by two. Parts of the largest component are numbered below 0 and meet only the others."""
-    n = lists.groupBy("list", "component").agg(F.count(F.lit(1)).alias("n"))
-    per_list = n.groupBy("list").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("n").alias("major"), (F.sum("n") - F.max("n")).alias("minor")).where("minor > 0")
+    out = short.join(left, "list").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("digest", "coordinate"), F.col("parts")).cast("int"))
+    out = common.save(out.select("coordinate", "list", "digest", "kept", "parts", "part"), "lists")
+    common.drop(short)
+    common.drop(left)
+    return out
+
+
+def blocks(lists: DataFrame, classes: DataFrame) -> DataFrame:
+    """Saved list, part, coordinate, members: blocks of lists of several components; parts of a list's largest component are numbered below 0."""
+    lists = common.save(lists.join(classes.select("digest", "n_shingles", "posted", "matches"), "digest"), "open-lists")
+    n = lists.groupBy("list", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"))
+    size = lambda c: F.greatest(F.ceil(F.col(f"{c}.n") / BLOCK), F.ceil(F.col(f"{c}.w") / BLOCK_SHINGLES)).cast("int")
+    per_list = n.groupBy("list").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.max(F.struct("n", "component", "w")).alias("major"), F.struct((F.sum("n") - F.max("n")).alias("n"), F.sum("w").alias("w")).alias("minor"))
+    per_list = per_list.where("minor.n > 0").select("list", "largest", size("major").alias("n_major"), size("minor").alias("n_minor"))
     per_list = common.save(per_list, "list-components")
-    rows = lists.join(per_list, "list").withColumn("inside", F.col("component") == F.col("largest"))
-    n_major, n_minor = (F.ceil(F.col(c) / PART).cast("int") for c in ("major", "minor"))
     at = F.xxhash64("digest", "list")
-    part = F.when(F.col("inside"), -1 - F.pmod(at, n_major)).otherwise(F.pmod(at, n_minor)).cast("int")
-    others = F.sequence(F.when(F.col("inside"), F.lit(0)).otherwise(-n_major), n_minor - 1)
-    rows = rows.withColumn("part", part).withColumn("other", F.explode(others))
-    return rows.select("list", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "digest", "component")
+    part = F.when(F.col("component") == F.col("largest"), -1 - F.pmod(at, F.col("n_major"))).otherwise(F.pmod(at, F.col("n_minor"))).cast("int")
+    rows = lists.join(per_list, "list").select("list", part.alias("part"), "coordinate", "digest", "component", "kept", "posted", "matches")
+    keys = ["list", "part", "coordinate"]
+    out = common.save(rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(packed, "list long, part int, coordinate int, members binary"), "blocks", "lz4")
+    common.drop(lists)
+    return out
+
+
+def last_links(lists: DataFrame, classes: DataFrame, sets: DataFrame, least: int, percent: int) -> DataFrame:
+    """Pairs (a, b) that join components of lists(coordinate, list, digest, kept, component), confirmed."""
+    packs = blocks(lists, classes)
+    one = packs.select("list", F.col("part").alias("i"), "coordinate", F.col("members").alias("one"))
+    two = packs.select("list", F.col("part").alias("j"), F.col("members").alias("two"))
+    met = one.join(two, "list").where("i <= j and j >= 0").select("list", "i", "j", "coordinate", "one", "two")
+    some = common.save(met.mapInArrow(involved(least), INVOLVED), "involved")
+    keys = ["list", "i", "j", "coordinate"]
+    rows = some.join(sets, "digest").select(*keys, "part", "member", "shingles")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(joining(least, percent), "a binary, b binary")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -283,13 +345,18 @@ def _moved(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
-    spark = docs.sparkSession
-    common.tune(spark)
+    return _grouped(docs, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _grouped(docs: DataFrame, percent: int) -> DataFrame:
+    """near_groups with text_key and a column more, group: what the rows of a component have in common; null of an empty set."""
+    common.tune(docs.sparkSession)
     least = threshold(percent)
     signed = common.save(signatures(docs), "signatures")
-    classes = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("prefix").alias("prefix"), F.first("matches").alias("matches"))
+    one = lambda c: F.first(c).alias(c)
+    classes = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc"), one("n_shingles"), one("posted"), one("matches"))
     classes = common.save(classes, "classes")
-    lists = common.save(posting_lists(classes), "lists")
+    lists = posting_lists(classes, percent)
     keys = ["coordinate", "list", "part"]
     with_matches = lists.join(classes.select("digest", "matches"), "digest").select(*keys, "digest", "matches")
     trees = with_matches.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(forest(least), "coordinate int, list long, a binary, b binary, n int, more boolean")
@@ -310,32 +377,41 @@ def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     labels = graph.components(links)
 
     open_lists = trees.where("more").select("list").union(lists.where("parts > 1").select("list")).distinct()
-    left = lists.join(open_lists, "list", "left_semi").select("list", "digest").join(labels.withColumnRenamed("node", "digest"), "digest", "left")
-    blocks = halves(left.withColumn("component", F.coalesce("component", "digest"))).join(classes.select("digest", "matches"), "digest")
-    keys = ["list", "i", "j"]
-    columns = [*keys, "part", "digest", "component", "matches"]
-    schema = "list long, i int, j int, part int, digest binary, component binary, matches binary"
-    open_rows = blocks.select(*columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(involved(least), schema)
-    with_sets = common.save(open_rows, "open").join(sets, "digest").select(*columns, "shingles")
-    last = with_sets.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(joining(least, percent), "a binary, b binary")
-    links = common.save(links.union(last), "links")
+    left = lists.join(open_lists, "list", "left_semi").join(labels.withColumnRenamed("node", "digest"), "digest", "left")
+    left = left.select("coordinate", "list", "digest", "kept", F.coalesce("component", "digest").alias("component"))
+    links = common.save(links.union(last_links(left, classes, sets, least, percent)), "links")
     labels = graph.components(links)
 
     smallest = classes.join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "doc", F.coalesce("component", "digest").alias("component"))
     smallest = common.save(smallest, "class-components")
     least_doc = smallest.groupBy("component").agg(F.min("doc").alias("component_id"))
-    of_class = smallest.join(least_doc, "component").select("digest", F.col("component_id").alias("c"))
-    out = signed.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
+    of_class = smallest.join(least_doc, "component").select("digest", F.col("component_id").alias("c"), F.col("component").alias("group"))
+    out = signed.select("doc_id", "text_key", "n_shingles", "digest").join(of_class, "digest", "left")
     component = F.when(F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("c", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), "text_key", "group")
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def text_key(column: str):
+    """128 bits that tell the texts of one doc_id apart; null of null."""
+    return F.unhex(F.md5(F.encode(column, "UTF-8")))
 
 
 def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """docs without those that have a near-duplicate of a smaller doc_id in their component; of rows repeating a kept doc_id one (the least text) stays."""
-    gone = near_groups(docs, percent).where("not kept").select("doc_id").distinct()
-    one = Window.partitionBy("doc_id").orderBy("text")
-    left = docs.join(gone, "doc_id", "left_anti")
-    return left.withColumn("__n", F.row_number().over(one)).where("__n = 1 or doc_id is null").drop("__n").select(*docs.columns)
+    """docs without those that have a near-duplicate of a smaller doc_id in their component.
+
+    Rows that repeat a doc_id are judged each by its own text; of those in one component (or of equal texts without words)
+    one stays. All rows of a null doc_id stay.
+    """
+    judged = _grouped(docs.select("doc_id", "text"), percent).where("kept and doc_id is not null").select("doc_id", "text_key", "group").distinct()
+    names = [f"column{k}" for k in range(len(docs.columns))]  # inner names, so that none can clash
+    doc, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    rows = docs.toDF(*names)
+    known = rows.where(F.col(doc).isNotNull()).withColumn("key", text_key(text))
+    known = known.join(judged, (F.col(doc) == F.col("doc_id")) & F.col("key").eqNullSafe(F.col("text_key")))
+    one = Window.partitionBy("doc_id", F.coalesce("group", "key")).orderBy("key")
+    known = known.withColumn("place", F.row_number().over(one)).where("place = 1")
+    return known.select(*names).union(rows.where(F.col(doc).isNull())).toDF(*docs.columns)
 
 
 def op4_minhash(spark, sf_dir: str) -> DataFrame:
