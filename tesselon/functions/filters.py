@@ -74,6 +74,10 @@ class Node:
         """Tag keys that all that passes has."""
         return frozenset()
 
+    def metrics(self) -> frozenset[str]:
+        """What of a geometry must be known: `geometry` (its type) and metrics."""
+        return frozenset()
+
     def terms(self) -> list[list[Node]]:
         return [[self]]
 
@@ -162,6 +166,9 @@ class Geometry(Node):
     def types(self):
         return frozenset({"point": ("node",), "line": ("way",), "polygon": ("way", "relation"), "other": ("relation",)}[self.name])
 
+    def metrics(self):
+        return frozenset(("geometry",))
+
     def __str__(self):
         return f"geometry:{self.name}"
 
@@ -202,6 +209,9 @@ class Measure(Node):
     def version(self, s):
         return F.lit(True)
 
+    def metrics(self):
+        return frozenset() if self.what in ("changeset", "contributor") else frozenset((self.what,))
+
     def _hit(self, s):
         column = getattr(s, self.what)
         if column is None:
@@ -249,6 +259,9 @@ class And(Node):
     def keys(self):
         return self.a.keys() | self.b.keys()
 
+    def metrics(self):
+        return self.a.metrics() | self.b.metrics()
+
     def terms(self):
         a, b = self.a.terms(), self.b.terms()
         if len(a) * len(b) > MOST_TERMS:
@@ -282,6 +295,9 @@ class Or(Node):
     def keys(self):
         return self.a.keys() & self.b.keys()
 
+    def metrics(self):
+        return self.a.metrics() | self.b.metrics()
+
     def terms(self):
         out = self.a.terms() + self.b.terms()
         if len(out) > MOST_TERMS:

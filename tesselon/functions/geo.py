@@ -173,6 +173,123 @@ def clip_line(line: np.ndarray, box) -> list[np.ndarray]:
     return [p for p in out if len(np.unique(p, axis=0)) > 1]
 
 
+def _cuts(a: np.ndarray, b: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Places t in [0, 1] of a segment at which it meets edges (n, 2, 2), with those of their ends that lie on it; sorted, 0 and 1 among them."""
+    d, e, w = b - a, edges[:, 1] - edges[:, 0], edges[:, 0] - a
+    cross = d[0] * e[:, 1] - d[1] * e[:, 0]
+    found = [0.0, 1.0]
+    some = cross != 0
+    if some.any():
+        t = (w[some, 0] * e[some, 1] - w[some, 1] * e[some, 0]) / cross[some]
+        u = (w[some, 0] * d[1] - w[some, 1] * d[0]) / cross[some]
+        found += t[(t > 0) & (t < 1) & (u >= 0) & (u <= 1)].tolist()
+    size = float(d @ d)
+    if size and not some.all():  # edges along the segment
+        along = ~some & (np.abs(w[:, 0] * d[1] - w[:, 1] * d[0]) <= 1e-12 * size**0.5)
+        t = ((edges[along] - a) @ d / size).ravel()
+        found += t[(t > 0) & (t < 1)].tolist()
+    return np.unique(found)
+
+
+def _edges(rings: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([np.stack([r[:-1], r[1:]], axis=1) for r in rings if len(r) > 1]) if any(len(r) > 1 for r in rings) else np.zeros((0, 2, 2))
+
+
+def _near(a: np.ndarray, b: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Edges whose box meets that of a segment."""
+    lo, hi = np.minimum(a, b), np.maximum(a, b)
+    return edges[(edges.max(1) >= lo).all(1) & (edges.min(1) <= hi).all(1)]
+
+
+def line_in_polygon(line: np.ndarray, rings: list[np.ndarray]) -> list[np.ndarray]:
+    """Parts of a line in the polygon of these rings; edges of the polygon belong to it."""
+    edges, out, part = _edges(rings), [], []
+    for a, b in zip(line, line[1:], strict=False):
+        t = _cuts(a, b, _near(a, b, edges))
+        within = inside(a + (b - a) * ((t[1:] + t[:-1]) / 2)[:, None], rings)
+        for lo, hi, ok in zip(t, t[1:], within, strict=False):
+            start, end = a + (b - a) * lo if lo else a, a + (b - a) * hi if hi < 1 else b
+            if not ok:
+                part = []
+            elif part and (part[-1] == start).all():
+                part.append(end)
+            else:
+                part = [start, end]
+                out.append(part)
+    return [np.array(p) for p in out]
+
+
+def _oriented(rings: list[np.ndarray]) -> list[np.ndarray]:
+    """Rings with the polygon's inside to their right: turned where the place just right of the first long edge lies outside."""
+    out = []
+    for r in rings:
+        steps = np.hypot(*np.diff(r, axis=0).T)
+        k = int(steps.argmax())
+        (x1, y1), (x2, y2) = r[k], r[k + 1]
+        shift = 1e-7 * np.array([y2 - y1, x1 - x2])
+        out.append(r if inside(((r[k] + r[k + 1]) / 2 + shift)[None], rings)[0] else r[::-1])
+    return out
+
+
+def polygon_in_polygon(polygon: list[np.ndarray], region: list[np.ndarray]) -> list[list[np.ndarray]]:
+    """The common part of two polygons (rings each: outer and holes), as polygons (outer first, clockwise; holes the other way).
+
+    The edges of each are cut where they meet the other; those that lie in the other (of edges both have, once, if the
+    insides are on the same side) are strung together to rings, sharpest turn to the inside first.
+    """
+    sides = [_oriented([r for r in rings if len(r) > 3 and ring_area(r)]) for rings in (polygon, region)]
+    if not sides[0] or not sides[1]:
+        return []
+    key = lambda p: (round(float(p[0]), 10), round(float(p[1]), 10))
+    follow: dict[tuple, list[tuple]] = {}
+    seen = set()
+    for mine, other in (sides, sides[::-1]):
+        edges = _edges(other)
+        for ring in mine:
+            for a, b in zip(ring, ring[1:], strict=False):
+                t = _cuts(a, b, _near(a, b, edges))
+                points = [a, *(a + (b - a) * x for x in t[1:-1]), b]
+                d = b - a
+                shift = 1e-7 * np.array([d[1], -d[0]]) * np.diff(t)[:, None]
+                middles = a + d * ((t[1:] + t[:-1]) / 2)[:, None]
+                # in the closed other, and the strip to the right in it too: so of edges both have, those of one direction
+                ok = inside(middles, other) & inside(middles + shift, other)
+                for p, q, yes in zip(points, points[1:], ok, strict=False):
+                    edge = key(p), key(q)
+                    if yes and edge[0] != edge[1] and edge not in seen:
+                        seen.add(edge)
+                        follow.setdefault(edge[0], []).append(edge[1])
+    rings = []
+    while follow:
+        start = next(iter(follow))
+        path = [start]
+        while True:
+            here = path[-1]
+            nexts = follow.get(here)
+            if not nexts:
+                path = []
+                break
+            pick = 0
+            if len(nexts) > 1 and len(path) > 1:
+                back = math.atan2(path[-2][1] - here[1], path[-2][0] - here[0])
+                turn = [(math.atan2(q[1] - here[1], q[0] - here[0]) - back) % (2 * math.pi) for q in nexts]
+                pick = turn.index(min(turn))  # the first to the right of where it came from, counter-clockwise from there
+            q = nexts.pop(pick)
+            if not nexts:
+                del follow[here]
+            if q == start:
+                break
+            path.append(q)
+        if len(path) > 2:
+            rings.append(np.array([*path, path[0]]))
+    outers = [[r] for r in rings if ring_area(r) > 0]
+    for hole in (r for r in rings if ring_area(r) < 0):
+        home = [o for o in outers if inside(hole, o[:1]).all()]
+        if home:
+            min(home, key=lambda o: ring_area(o[0])).append(hole)
+    return outers
+
+
 def clip_ring(ring: np.ndarray, convex: np.ndarray) -> np.ndarray:
     """A ring cut to a convex ring (counter-clockwise or not), by Sutherland-Hodgman; empty if nothing is left."""
     edge = convex[:-1] if (convex[0] == convex[-1]).all() else convex

@@ -112,6 +112,12 @@ def pruned(level: Column, cell: Column, box, most: int = 8) -> Column:
     return out
 
 
+def touching(box) -> Column:
+    """A predicate that scans push down: histories, by level, cell_id and their boxes, that may touch a box."""
+    lon = (F.col("min_lon") <= box[2]) & (F.col("max_lon") >= box[0]) if box[0] <= box[2] else (F.col("min_lon") <= box[2]) | (F.col("max_lon") >= box[0])
+    return pruned(F.col("level"), F.col("cell_id"), box) & lon & (F.col("min_lat") <= box[3]) & (F.col("max_lat") >= box[1])
+
+
 def neighbours(level: int, cell: int) -> list[tuple[int, int]]:
     """Id ranges of a cell and the cells around it; (-1, -1) is among them at the grid's edge."""
     a, b, c, d = cell_box(level, cell)

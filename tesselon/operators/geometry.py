@@ -16,16 +16,20 @@ from tesselon.operators.members import ENTITY, asof_join
 COORDS = "array<struct<lon: double, lat: double>>"
 
 
-def way_coords(ways: DataFrame, nodes: DataFrame, ts: str = "ts") -> DataFrame:
-    """ways (each row at its own time `ts`) with coords: its nodes' places then, in order; nodes missing or deleted are left out."""
-    keyed = ways.withColumn("__row", F.monotonically_increasing_id())
-    refs = keyed.where(F.size("members") > 0).select("__row", F.col(ts).alias("ts"), F.posexplode("members").alias("pos", "m"))
-    refs = refs.select("__row", "ts", "pos", F.lit("node").alias("osm_type"), F.col("m.id").alias("osm_id"))
-    at = asof_join(refs, nodes.select(*ENTITY, "ts", "version", "visible", "lon_e7", "lat_e7"), ENTITY)
+def way_coords(ways: DataFrame, nodes: DataFrame, ts: str = "ts", of: str | None = None) -> DataFrame:
+    """ways (each row at its own time `ts`) with coords: its nodes' places then, in order; nodes missing or deleted are left out. of: the type whose rows alone have coords."""
+    mine = F.size("members") > 0
+    if of:
+        mine &= F.col("osm_type") == of
+    refs = ways.where(mine).select(F.col("osm_type").alias("w_type"), F.col("osm_id").alias("w_id"), F.col(ts).alias("ts"), F.posexplode("members").alias("pos", "m"))
+    refs = refs.where("m.type = 'node'").select("w_type", "w_id", "ts", "pos", F.lit("node").alias("osm_type"), F.col("m.id").alias("osm_id"))
+    at = asof_join(refs, nodes.where("osm_type = 'node'").select(*ENTITY, "ts", "version", "visible", "lon_e7", "lat_e7"), ENTITY)
     at = at.where("m_visible and m_lon_e7 is not null")
     point = F.struct("pos", (F.col("m_lon_e7") / 1e7).alias("lon"), (F.col("m_lat_e7") / 1e7).alias("lat"))
-    lines = at.groupBy("__row").agg(F.transform(F.array_sort(F.collect_list(point)), lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"))).alias("coords"))
-    return keyed.join(lines, "__row", "left").withColumn("coords", F.coalesce("coords", F.array().cast(COORDS))).drop("__row")
+    # a set: rows of the same way and time, of which there may be several, have the same places
+    lines = at.groupBy("w_type", "w_id", "ts").agg(F.transform(F.array_sort(F.collect_set(point)), lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"))).alias("coords"))
+    lines = lines.select(F.col("w_type").alias("osm_type"), F.col("w_id").alias("osm_id"), F.col("ts").alias(ts), "coords")
+    return ways.join(lines, [*ENTITY, ts], "left").withColumn("coords", F.coalesce("coords", F.array().cast(COORDS)))
 
 
 def way_geometry_column(coords: Column, tags: Column, compat: bool = True) -> Column:
@@ -149,42 +153,3 @@ def clipped_length_column(coords: Column, box: tuple[float, float, float, float]
     from tesselon.functions.geo import length_column
 
     return F.when(within, length_column(coords)).when(apart | (F.size(coords) < 2), F.lit(0.0)).otherwise(cut(coords))
-
-
-def touches_box_column(coords: Column, box: tuple[float, float, float, float], closed_areas: bool = True) -> Column:
-    """Whether lines (or closed rings, as areas) meet a box. A point inside settles it, boxes apart too; only the rest goes to Python."""
-    a, b, c, d = box
-    lons, lats = F.transform(coords, lambda p: p["lon"]), F.transform(coords, lambda p: p["lat"])
-    some = F.exists(coords, lambda p: p["lon"].between(a, c) & p["lat"].between(b, d))
-    apart = (F.array_max(lons) < a) | (F.array_min(lons) > c) | (F.array_max(lats) < b) | (F.array_min(lats) > d)
-
-    @F.pandas_udf("boolean")
-    def meets(lines: pd.Series) -> pd.Series:
-        def one(line) -> bool:
-            x = np.array([(p["lon"], p["lat"]) for p in line], float)
-            if len(geo.clip_line(x, box)):
-                return True
-            return closed_areas and len(x) > 3 and bool((x[0] == x[-1]).all()) and bool(geo.inside(np.array([(a, b)], float), [x])[0])
-
-        return lines.map(lambda line: line is not None and len(line) > 1 and one(line))
-
-    return F.when(some, True).when(F.coalesce(apart, F.lit(True)), False).otherwise(meets(coords))
-
-
-def overlapping_regions(df: DataFrame, regions: dict[str, tuple], name: str, side: str | None = None) -> DataFrame:
-    """Each row once for every region it touches. Regions (boxes, or rings of polygons) come from the caller and are literals of the plan."""
-    point = (lambda c: F.col(c)) if side is None else (lambda c: F.coalesce(F.col(f"after.{c}"), F.col(f"before.{c}")))
-    lon, lat = point("lon_e7"), point("lat_e7")
-    polygons = {n: r for n, r in regions.items() if not isinstance(r[0], (int, float))}
-    boxes = {n: (min(x for x, _ in r[0]), min(y for _, y in r[0]), max(x for x, _ in r[0]), max(y for _, y in r[0])) if n in polygons else r for n, r in regions.items()}
-    listed = F.array(*[F.struct(F.lit(n).alias("n"), *[F.lit(int(v)).alias(k) for k, v in zip("abcd", b, strict=True)]) for n, b in boxes.items()])
-    hit = F.filter(listed, lambda r: (lon >= r["a"]) & (lon <= r["c"]) & (lat >= r["b"]) & (lat <= r["d"]))
-    out = df.withColumn(name, F.explode(F.transform(hit, lambda r: r["n"])))
-    if polygons:
-        from tesselon.operators.pipeline import inside_polygon
-
-        exact = F.lit(True)
-        for n, rings in polygons.items():
-            exact &= (F.col(name) != n) | inside_polygon(lon, lat, rings)
-        out = out.where(exact)
-    return out

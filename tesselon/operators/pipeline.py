@@ -4,12 +4,14 @@
         .aggregate_by_timestamp().sum()
 
 `map` takes a Column over the view's columns (or over `value`, once mapped); `flat_map` a Column of arrays; `where` a
-predicate, at its place in the chain. Textual filters hold from wherever they stand for the whole chain. Terminals give a
+predicate, at its place in the chain. `geometries()` adds a column `shape` to snapshots, and to both sides of contributions:
+cut to the area of interest and to the regions of `aggregate_by_geometry`; `metric` gives its figures. Textual filters hold from wherever they stand for the whole chain. Terminals give a
 DataFrame: one row with `result`, or one row per key. Each call gives a new builder.
 """
 
 from __future__ import annotations
 
+import json
 import pickle
 import threading
 from collections.abc import Callable, Iterable
@@ -23,12 +25,14 @@ from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
-from tesselon.functions import filters, geo, grid, timeline
-from tesselon.operators import views
-from tesselon.operators.geometry import overlapping_regions, touches_box_column, way_coords
+from tesselon.functions import filters, grid, timeline
+from tesselon.operators import shapes, views
 from tesselon.operators.members import ENTITY
 
+#: Accuracy of sketched quantiles: ranks are off by 1 / SKETCH at most.
+SKETCH = 10_000
 NUMBERS = ("byte", "short", "integer", "long", "float", "double", "tinyint", "smallint", "int", "bigint")
 
 
@@ -81,6 +85,8 @@ class Builder:
     grouped: bool = False
     mapped: bool = False
     seconds: float | None = field(default=None)
+    shaped: bool = False
+    rules: shapes.AreaRules | None = None
 
     # -- settings
 
@@ -104,8 +110,21 @@ class Builder:
         return replace(self, flt=node if isinstance(self.flt, filters.Constant) and self.flt.value else filters.And(self.flt, node))
 
     def timeout(self, seconds: float | None) -> Builder:
+        """Terminals then run at once, and fail with TimeoutError if they take longer."""
         return replace(self, seconds=seconds)
 
+    def geometries(self) -> Builder:
+        """Rows have shapes (clipped ones, within an area of interest; whole ones are in `full_shape` there)."""
+        return replace(self, shaped=True)
+
+    def area_rules(self, rules: shapes.AreaRules) -> Builder:
+        """Other rules for what closed ways and relations are areas."""
+        return replace(self, rules=rules)
+
+    def metric(self, name: str, side: str = "after") -> Column:
+        """A metric of the rows' shapes (see shapes.METRICS), for maps and keys; of contributions, of one side."""
+        return shapes.metric(F.col("shape") if self.kind == "snapshots" else F.col(f"{side}.shape"), name)
+
     # -- steps
 
     def map(self, value: Column) -> Builder:
@@ -149,10 +168,10 @@ class Builder:
         return replace(self, keys=(*self.keys, Key(name, key, tuple(shown), "timestamp_ntz")), steps=(*self.steps, ("key", name, key)))
 
     def aggregate_by_geometry(self, regions: dict[str, tuple], name: str = "region") -> Builder:
-        """By regions (name -> box or polygon rings, as in area_of_interest); a row counts in each it touches."""
+        """By regions (name -> box or polygon rings, as in area_of_interest); a row counts in each it touches, with its shape cut to it."""
         if self.mapped or self.grouped:
             raise ValueError("aggregate by geometry before mapping or grouping: rows are split first")
-        return replace(self, keys=(*self.keys, Key(name, F.col(name), tuple(regions))), steps=(*self.steps, ("regions", name, regions)))
+        return replace(self, shaped=True, keys=(*self.keys, Key(name, F.col(name), tuple(regions))), steps=(*self.steps, ("regions", name, regions)))
 
     # -- evaluation
 
@@ -162,14 +181,16 @@ class Builder:
     def rows(self) -> DataFrame:
         """The view's rows after the steps: key columns, `value` if mapped."""
         store = self.store
-        versions = store.versions.where(F.lit(False)) if self.empty else store.versions
+        versions = store.versions.where(F.lit(False)) if self.empty else self._pruned(store.versions)
+        times = list(self._instants())
         if self.kind == "snapshots":
-            df = views.snapshots(versions, list(self._instants()), self.flt, store.members)
+            df = views.snapshots(versions, times, self.flt, store.members, shaped=self.shaped or self.box is not None, rules=self.rules)
             if self.box is not None:
-                df = df if store.members is None else way_coords(df, store.members, "snapshot_ts")
-                df = df.where(F.coalesce(self._inside(df), F.lit(False)))
+                df = self._clip(df.withColumn("full_shape", F.col("shape"))).where("shape is not null")
+                df = df if self.shaped else df.drop("shape", "full_shape")
         else:
-            df = views.contributions(versions, list(self._instants()), self.flt, store.members, inside=None if self.box is None else self._inside)
+            clip = None if self.box is None else self._clip
+            df = views.contributions(versions, times, self.flt, store.members, clip=clip, shaped=self.shaped, rules=self.rules)
         carried: list[str] = []
         for step in self.steps:
             if step[0] == "map":
@@ -182,13 +203,13 @@ class Builder:
                 df = df.withColumn(step[1], step[2])
                 carried.append(step[1])
             elif step[0] == "regions":
-                side = None if self.kind == "snapshots" else "after"
-                df = overlapping_regions(df, step[2], step[1], side)
+                df = shapes.split_by_regions(df, step[2], step[1], () if self.kind == "snapshots" else ("before", "after"))
                 carried.append(step[1])
             elif step[0] == "group":
                 order = "snapshot_ts" if self.kind == "snapshots" else "ts"
-                rest = [c for c in df.columns if c not in ENTITY]
-                df = df.groupBy(*ENTITY).agg(F.array_sort(F.collect_list(F.struct(order, *[c for c in rest if c != order and not _has_map(df, c)]))).alias("rows"))
+                rest = [c for c in df.columns if c not in ENTITY and c != order]
+                earlier = lambda a, b: F.when(a[order] < b[order], -1).when(a[order] > b[order], 1).otherwise(0)  # noqa: B023, E731
+                df = df.groupBy(*ENTITY).agg(F.array_sort(F.collect_list(F.struct(order, *rest)), earlier).alias("rows"))
             else:
                 df = self._python(df, step[1], step[2])
         return df
@@ -197,37 +218,25 @@ class Builder:
         """The rows in their natural order: by type, id and time."""
         return self.rows().orderBy(F.expr("array_position(array('node', 'way', 'relation'), osm_type)"), "osm_id", "snapshot_ts" if self.kind == "snapshots" else "ts")
 
-    def _inside(self, df: DataFrame) -> Column:
-        """Whether states lie in the area of interest: points by their place; ways, where their nodes are known, if any part of the line (or of its area) does. Polygons are tested at points and nodes."""
-        lon, lat = F.col("lon_e7"), F.col("lat_e7")
-        a, b, c, d = self.box
-        # across the antimeridian the box has two parts
-        boxes = [self.box] if a <= c else [(a, b, grid.HALF, d), (-grid.HALF, b, c, d)]
-        out = F.lit(False)
-        for w, s, e, n in boxes:
-            here = lon.between(w, e) & lat.between(s, n)
-            if "coords" in df.columns:
-                here = F.when(F.size("coords") > 0, touches_box_column(F.col("coords"), tuple(x / grid.UNIT for x in (w, s, e, n)))).otherwise(here)
-            out |= here
-        for rings in self.polygon or ():
-            out &= inside_polygon(lon, lat, rings) if "coords" not in df.columns else F.when(F.size("coords") > 0, any_inside_polygon(F.col("coords"), rings)).otherwise(inside_polygon(lon, lat, rings))
-        return out
-
-    def _python(self, df: DataFrame, f: Callable, kind: str) -> DataFrame:
-        source = "value" if "value" in df.columns else None
+    def _pruned(self, versions: DataFrame) -> DataFrame:
+        """Of a table filed by the grid, the histories that the area of interest may touch: cells and boxes reach the scan. Histories without a place stay."""
+        if self.box is None or not {"level", "cell_id", "min_lon", "min_lat", "max_lon", "max_lat"} <= set(versions.columns):
+            return versions
+        return versions.where(grid.touching(self.box) | F.col("min_lon").isNull())
 
-        @F.pandas_udf(kind)
-        def call(x: pd.Series) -> pd.Series:
-            return x.map(f)
+    def _clip(self, df: DataFrame) -> DataFrame:
+        return shapes.clip_to_area(df, self.box, self.polygon or ())
 
-        if source:
-            return df.withColumn("value", call(F.col("value")))
+    def _python(self, df: DataFrame, f: Callable, kind: str) -> DataFrame:
+        of = F.col("value") if "value" in df.columns else F.struct(*df.columns)
+        plain = python_value(df.schema["value"].dataType if "value" in df.columns else df.schema)
+        out = to_arrow_type(DataType.fromDDL(kind))
 
-        @F.pandas_udf(kind)
-        def call_row(x: pd.DataFrame) -> pd.Series:
-            return pd.Series([f(r) for r in x.to_dict("records")])
+        @F.arrow_udf(kind)
+        def call(x: pa.Array) -> pa.Array:
+            return pa.array([f(plain(v)) for v in x.to_pylist()], out)
 
-        return df.withColumn("value", call_row(F.struct(*[c for c in df.columns if not _has_map(df, c)])))
+        return df.withColumn("value", call(of))
 
     # -- terminals
 
@@ -237,28 +246,44 @@ class Builder:
         names = [k.name for k in self.keys]
         if not names:
             out = df.agg(column(None).alias("result"))
-            return out if empty is None else out.select(F.coalesce("result", empty).alias("result"))
-        found = df.groupBy(*names).agg(column(None).alias("result"), F.lit(True).alias("__found"))
-        declared = {k.name: df.sparkSession.createDataFrame([(x,) for x in k.declared], f"{k.name} {k.kind or found.schema[k.name].dataType.simpleString()}") for k in self.keys if k.declared}
+            return self._run(out if empty is None else out.select(F.coalesce("result", empty).alias("result")))
+        found = df.groupBy(*names).agg(column(None).alias("result"))
+        return self._run(self._filled(found, empty))
+
+    def _filled(self, found: DataFrame, empty: Column | None) -> DataFrame:
+        """Groups with the keys that have none: the declared ones; of several keys every level with every level of the others."""
+        names = [k.name for k in self.keys]
+        found = found.withColumn("found__", F.lit(True))
+        spark = found.sparkSession
+        declared = {k.name: spark.createDataFrame([(x,) for x in k.declared], f"`{k.name}` {k.kind or found.schema[k.name].dataType.simpleString()}") for k in self.keys if k.declared}
+        # levels and cells come from the same groups: as all columns are used on each side, Spark plans them once and reuses their exchange
+        whole = F.struct(*found.columns)
         if len(names) == 1:  # declared keys join the groups as rows without a result
-            if declared:
-                more = declared[names[0]].select(names[0], F.lit(None).cast(found.schema["result"].dataType).alias("result"), F.lit(False).alias("__found"))
-                found = found.union(more).groupBy(*names).agg(F.first("result", ignorenulls=True).alias("result"), F.max("__found").alias("__found"))
             out = found
+            if declared:
+                more = declared[names[0]].select(names[0], F.lit(None).cast(found.schema["result"].dataType).alias("result"), F.lit(False).alias("found__"))
+                out = found.union(more).groupBy(*names).agg(F.first("result", ignorenulls=True).alias("result"), F.max("found__").alias("found__"))
         else:
             full = None
             for n in names:
-                levels = found.select(n).union(declared[n]) if n in declared else found.select(n)
-                levels = levels.distinct().select(F.col(n).alias(f"__{n}"))
+                levels = found.groupBy(n).agg(F.count(whole).alias("n")).where("n > 0").select(n)
+                levels = (levels.union(declared[n]).distinct() if n in declared else levels).select(F.col(n).alias(f"level__{n}"))
                 full = levels if full is None else full.crossJoin(levels)  # the result itself: every key of a level with every key of the others
-            cells = found.select(*names, "result", "__found")
             on = F.lit(True)
             for n in names:
-                on &= F.col(f"__{n}").eqNullSafe(F.col(n))
-            out = full.join(cells, on, "left").select(*[F.col(f"__{n}").alias(n) for n in names], "result", F.coalesce("__found", F.lit(False)).alias("__found"))
-        result = F.when(F.col("__found"), F.col("result")) if empty is None else F.when(F.col("__found"), F.coalesce("result", empty)).otherwise(empty)
+                on &= F.col(f"level__{n}").eqNullSafe(F.col(n))
+            out = full.join(found, on, "left").select(*[F.col(f"level__{n}").alias(n) for n in names], "result", F.coalesce("found__", F.lit(False)).alias("found__"))
+        result = F.when(F.col("found__"), F.col("result")) if empty is None else F.when(F.col("found__"), F.coalesce("result", empty)).otherwise(empty)
         return out.select(*names, result.alias("result")).orderBy(*names)
 
+    def _run(self, df: DataFrame) -> DataFrame:
+        """A terminal's result; under a timeout it is computed here and now."""
+        if not self.seconds:
+            return df
+        with self.within():
+            rows = df.toArrow()
+        return df.sparkSession.createDataFrame(rows, df.schema)
+
     def _value(self, f: Column | None) -> Builder:
         return self if f is None else self.map(f)
 
@@ -297,19 +322,22 @@ class Builder:
     def count_uniq(self, f: Column | None = None) -> DataFrame:
         return self._value(f).aggregate(lambda _: F.count_distinct(F.struct("value")), F.lit(0).cast("long"))
 
-    def quantile(self, q: float = 0.5, f: Column | None = None) -> DataFrame:
-        """Exact, interpolated; NaN over nothing."""
+    def quantile(self, q: float = 0.5, f: Column | None = None, exact: bool = True) -> DataFrame:
+        """Exact and interpolated, or from a sketch of bounded size (exact keeps a count for each distinct value of a key); NaN over nothing."""
         b = self._value(f)
         b._numeric()
-        return b.aggregate(lambda _: F.percentile("value", F.lit(q)), F.lit(float("nan")))
+        of = F.percentile("value", F.lit(q)) if exact else F.percentile_approx(F.col("value").cast("double"), F.lit(q), F.lit(SKETCH))
+        return b.aggregate(lambda _: of, F.lit(float("nan")))
 
-    def median(self, f: Column | None = None) -> DataFrame:
-        return self.quantile(0.5, f)
+    def median(self, f: Column | None = None, exact: bool = True) -> DataFrame:
+        return self.quantile(0.5, f, exact)
 
-    def quantiles(self, qs: list[float], f: Column | None = None) -> DataFrame:
+    def quantiles(self, qs: list[float], f: Column | None = None, exact: bool = True) -> DataFrame:
         b = self._value(f)
         b._numeric()
-        return b.aggregate(lambda _: F.percentile("value", F.array(*map(F.lit, qs))), F.array(*[F.lit(float("nan"))] * len(qs)))
+        wanted = F.array(*map(F.lit, qs))
+        of = F.percentile("value", wanted) if exact else F.percentile_approx(F.col("value").cast("double"), wanted, F.lit(SKETCH))
+        return b.aggregate(lambda _: of, F.array(*[F.lit(float("nan"))] * len(qs)))
 
     def quantile_function(self, f: Column | None = None) -> Callable[[float], float]:
         """q -> value, estimated from a sketch of bounded size; the sketch stays a column until it is asked."""
@@ -330,10 +358,12 @@ class Builder:
 
     def stream(self):
         """The rows one after the other, a partition at a time."""
-        return self.rows().toLocalIterator()
+        with self.within():
+            yield from self.rows().toLocalIterator()
 
     def for_each(self, f: Callable) -> None:
-        self.rows().foreach(f)
+        with self.within():
+            self.rows().foreach(f)
 
     def reduce(self, identity: Callable, accumulate: Callable, combine: Callable | None = None, kind: str = "double") -> DataFrame:
         """A reduction of the user: each batch of a task is folded by key, and the folded states are combined by key in a tree of two levels."""
@@ -363,8 +393,10 @@ class Builder:
         done = parts.groupBy(*names).applyInPandas(merge, f"{key_schema}result {kind}")
         if not names:
             empty = df.sparkSession.createDataFrame([(identity(),)], f"e {kind}")
-            return empty.join(done, F.lit(True), "left").select(F.coalesce("result", "e").alias("result"))
-        return done.orderBy(*names)
+            return self._run(empty.join(done, F.lit(True), "left").select(F.coalesce("result", "e").alias("result")))
+        # the identity as a literal of the plan, whatever its type
+        literal = F.from_json(F.lit(json.dumps({"e": identity()}, default=str)), f"e {kind}")["e"]
+        return self._run(self._filled(done, literal))
 
     @contextmanager
     def within(self):
@@ -387,35 +419,18 @@ class Builder:
             spark.removeJobTag(tag)
 
 
-def _has_map(df: DataFrame, name: str) -> bool:
-    return "map<" in df.schema[name].dataType.simpleString()
-
-
-def inside_polygon(lon: Column, lat: Column, rings) -> Column:
-    """Whether points lie in a polygon; in Arrow batches."""
-    import numpy as np
-
-    shapes = [np.array(r, float) for r in rings]
-
-    @F.pandas_udf("boolean")
-    def test(x: pd.Series, y: pd.Series) -> pd.Series:
-        points = np.stack([x.astype(float), y.astype(float)], axis=1)
-        return pd.Series(geo.inside(np.nan_to_num(points), shapes) & ~np.isnan(points).any(axis=1))
-
-    return test(lon, lat)
-
-
-def any_inside_polygon(coords: Column, rings) -> Column:
-    """Whether any point of lines lies in a polygon (in units of the grid); in Arrow batches."""
-    import numpy as np
-
-    shapes = [np.array(r, float) / grid.UNIT for r in rings]
-
-    @F.pandas_udf("boolean")
-    def test(lines: pd.Series) -> pd.Series:
-        return lines.map(lambda c: c is not None and len(c) > 0 and bool(geo.inside(np.array([(p["lon"], p["lat"]) for p in c], float), shapes).any()))
-
-    return test(coords)
+def python_value(kind: DataType) -> Callable:
+    """A function from what Arrow gives for a value of that type to plain Python: maps as dictionaries, at any depth."""
+    if isinstance(kind, MapType):
+        key, value = python_value(kind.keyType), python_value(kind.valueType)
+        return lambda x: None if x is None else {key(k): value(v) for k, v in x}
+    if isinstance(kind, ArrayType):
+        item = python_value(kind.elementType)
+        return lambda x: None if x is None else [item(v) for v in x]
+    if isinstance(kind, StructType):
+        parts = {f.name: python_value(f.dataType) for f in kind.fields}
+        return lambda x: None if x is None else {n: part(x[n]) for n, part in parts.items()}
+    return lambda x: x
 
 
 def nest(rows: list, names: list[str]) -> dict:

@@ -7,15 +7,17 @@ list of instants is a literal that rows are matched with in place, not a join.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselon.functions.filters import Constant, Node, State
-from tesselon.operators.geometry import way_coords
+from tesselon.operators import shapes
 from tesselon.operators.members import ENTITY, asof_join, modification_times
 
+
 def history():
     """The versions of one entity, in order."""
     return Window.partitionBy(*ENTITY).orderBy("ts", "version")
@@ -46,24 +48,47 @@ def latest_at_time(versions: DataFrame) -> DataFrame:
     return versions.withColumn("valid_to", F.lead("ts").over(history())).where("valid_to is null or valid_to > ts")
 
 
-def snapshots(versions: DataFrame, instants: list[datetime], flt: Node | None = None, members: DataFrame | None = None, row_filter: bool = True) -> DataFrame:
+def measured(s: State, flt: Node, shape: Column, known: list[str] = ()) -> State:
+    """The state with the metrics that a filter names, of a shape; those in `known` are columns already."""
+    return replace(s, **{m: shapes.metric(shape, m) for m in flt.metrics() if m not in known})
+
+
+def snapshots(
+    versions: DataFrame,
+    instants: list[datetime],
+    flt: Node | None = None,
+    members: DataFrame | None = None,
+    row_filter: bool = True,
+    shaped: bool = False,
+    rules: shapes.AreaRules | None = None,
+) -> DataFrame:
     """A row for each instant and entity: snapshot_ts, last_contribution_ts and the columns of the version valid then.
 
-    Deleted versions, ways and relations without members, and what the filter refuses have no row.
+    Deleted versions, ways and relations without members, and what the filter refuses have no row. With `shaped`, or where the
+    filter asks for geometries, there is a column `shape` (see shapes); without members' versions the types of geometries are
+    those that the entities' types suggest.
     """
     flt = flt or Constant(True)
     v = latest_at_time(prefiltered(versions, flt))
     s = State.of(v.columns)
     alive = F.col("visible") & ((F.col("osm_type") == "node") | F.col("members").isNull() | (F.size("members") > 0))
     v = v.where(alive & flt.version(s))
-    if row_filter:
+    unknown = flt.metrics() - set(v.columns)
+    by_shape = bool(unknown if members is not None else unknown - {"geometry"})
+    if row_filter and not by_shape:
         v = v.where(flt.row(s))
     valid = F.filter(instants_column(instants), lambda t: (t >= F.col("ts")) & (F.col("valid_to").isNull() | (t < F.col("valid_to"))))
-    out = v.withColumn("snapshot_ts", F.explode(valid))
+    known = v.columns
+    out = v.withColumn("snapshot_ts", F.explode(valid)).drop("valid_to")
+    if shaped or by_shape:
+        out = shapes.with_shapes(out, members, "snapshot_ts", rules)
+        if row_filter and by_shape:
+            known = [*known, *(["geometry"] if members is None else [])]
+            out = out.where(flt.row(measured(s, flt, F.col("shape"), known)))
     if members is None:
-        return out.withColumn("last_contribution_ts", F.col("ts")).drop("valid_to")
+        return out.withColumn("last_contribution_ts", F.col("ts"))
     times = modification_times(versions, members).select(*ENTITY, F.col("ts").alias("mod_ts"), F.lit(0).alias("version"))
-    return _last_change(out.drop("valid_to"), times)
+    return _last_change(out, times)
 
 
 def _last_change(rows: DataFrame, times: DataFrame) -> DataFrame:
@@ -78,7 +103,7 @@ def squashed(times: DataFrame) -> DataFrame:
     return times.withColumn("__next", following).where("__next is null or __next <> changeset_id").drop("__next")
 
 
-#: What a contribution shows of the states before and after; with members also `coords`, the places of a way's nodes then.
+#: What a contribution shows of the states before and after; with members or where shapes are asked for also `shape`.
 SHOWN = ("version", "tags", "lon_e7", "lat_e7", "members")
 
 
@@ -88,14 +113,16 @@ def contributions(
     flt: Node | None = None,
     members: DataFrame | None = None,
     row_filter: bool = True,
-    inside: Callable[[DataFrame], Column] | None = None,
+    clip: Callable[[DataFrame], DataFrame] | None = None,
+    shaped: bool = False,
+    rules: shapes.AreaRules | None = None,
 ) -> DataFrame:
     """The change log: ts, changeset_id, contributor_id, creation, deletion, tag_change, geometry_change, before, after.
 
     Runs of versions that are deleted or that the filter refuses count as one end; then changesets are squashed; then the
-    state at each time is compared with the state emitted before. `inside` says of states whether they lie in the area of
-    interest: moving in is a creation, moving out a deletion. Only times in [first, last) of the instants are given out,
-    but all earlier ones count for the state before.
+    state at each time is compared with the state emitted before. `clip` cuts the column `shape` of the states to the area of
+    interest (null for none): moving in is a creation, moving out a deletion; `full_shape` keeps them whole, and filters
+    judge by it. Only times in [first, last) of the instants are given out, but all earlier ones count for the state before.
     """
     flt = flt or Constant(True)
     # the type is a version's for good, so histories of other types may go; versions that do not match must stay
@@ -103,33 +130,37 @@ def contributions(
     v = v.withColumn("alive", F.col("visible") & flt.version(State.of(v.columns)))
     shown = list(SHOWN)
     if members is None:
-        rows = v.select(*ENTITY, "ts", "alive", *shown, "changeset_id", "user_id", F.lit(True).alias("own"))
+        rows = v.select(*ENTITY, "ts", "alive", *shown, "changeset_id", "user_id")
     else:
         state = v.select(*ENTITY, "ts", "alive", *shown)
         rows = asof_join(modification_times(versions, members), state, ENTITY, "ts", "version", "s_").where("s_version is not null")
-        rows = rows.select(*ENTITY, "ts", F.col("s_alive").alias("alive"), *[F.col(f"s_{c}").alias(c) for c in shown], "changeset_id", "user_id", "own")
-        rows = way_coords(rows, members)
-        shown.append("coords")
+        rows = rows.select(*ENTITY, "ts", F.col("s_alive").alias("alive"), *[F.col(f"s_{c}").alias(c) for c in shown], "changeset_id", "user_id")
+    shaped = shaped or members is not None or clip is not None or bool(flt.metrics() - {"geometry"})
+    if shaped:
+        rows = shapes.with_shapes(rows, members, "ts", rules)
+        shown.append("shape")
     w = Window.partitionBy(*ENTITY).orderBy("ts")
     rows = rows.withColumn("was", F.coalesce(F.lag("alive").over(w), F.lit(False))).where("alive or was").drop("was")
     rows = squashed(rows)
-    if inside is not None:
-        rows = rows.withColumn("alive", F.col("alive") & F.coalesce(inside(rows), F.lit(False)))
+    whole = "shape"
+    if clip is not None:
+        whole = "full_shape"
+        shown.append(whole)
+        rows = clip(rows.withColumn(whole, F.col("shape")))
+        rows = rows.withColumn("alive", F.col("alive") & F.col("shape").isNotNull())
     state = F.struct(*shown)
     rows = rows.withColumn("before_alive", F.coalesce(F.lag("alive").over(w), F.lit(False))).withColumn("before", F.lag(state).over(w))
     rows = rows.where("alive or before_alive")
 
     def place(side: str) -> Column:
-        members_of = F.col(f"{side}.members") if members is None else F.when(F.col("osm_type") == "relation", F.col(f"{side}.members"))
-        return F.struct(F.col(f"{side}.lon_e7"), F.col(f"{side}.lat_e7"), members_of, *([F.col(f"{side}.coords")] if members is not None else []))
+        if members is not None:
+            return F.col(f"{side}.shape")
+        return F.struct(F.col(f"{side}.lon_e7"), F.col(f"{side}.lat_e7"), F.col(f"{side}.members"))
 
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     tags = lambda side: F.array_sort(F.map_entries(F.coalesce(F.col(f"{side}.tags"), none)))
     rows = rows.withColumn("after", state)
     both = F.col("alive") & F.col("before_alive")
-    moved = ~place("before").eqNullSafe(place("after"))
-    if members is not None:  # members of relations are not built here: a change by a member counts as one of the geometry
-        moved |= (F.col("osm_type") == "relation") & ~F.col("own")
     rows = rows.select(
         *ENTITY,
         "ts",
@@ -138,14 +169,17 @@ def contributions(
         (F.col("alive") & ~F.col("before_alive")).alias("creation"),
         (~F.col("alive")).alias("deletion"),
         (both & (tags("before") != tags("after"))).alias("tag_change"),
-        (both & moved).alias("geometry_change"),
+        (both & ~place("before").eqNullSafe(place("after"))).alias("geometry_change"),
         "before",
         "after",
     )
     if row_filter and not isinstance(flt, Constant):
-        a = State(F.col("osm_type"), F.col("osm_id"), F.col("before.tags"), F.col("before.members"), changeset=F.col("changeset_id"), contributor=F.col("contributor_id"))
-        b = State(F.col("osm_type"), F.col("osm_id"), F.col("after.tags"), F.col("after.members"), changeset=F.col("changeset_id"), contributor=F.col("contributor_id"))
-        rows = rows.where(flt.contribution(a, b, F.col("creation"), F.col("deletion")))
+
+        def side(name: str) -> State:
+            s = State(F.col("osm_type"), F.col("osm_id"), F.col(f"{name}.tags"), F.col(f"{name}.members"), changeset=F.col("changeset_id"), contributor=F.col("contributor_id"))
+            return measured(s, flt, F.col(f"{name}.{whole}"), ["geometry"] if members is None else []) if shaped else s
+
+        rows = rows.where(flt.contribution(side("before"), side("after"), F.col("creation"), F.col("deletion")))
     if instants:
         rows = rows.where((F.col("ts") >= F.lit(instants[0]).cast("timestamp_ntz")) & (F.col("ts") < F.lit(instants[-1]).cast("timestamp_ntz")))
     return rows

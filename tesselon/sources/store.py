@@ -33,12 +33,16 @@ def filed(boxes: DataFrame) -> DataFrame:
 
 
 def histories(versions: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """Versions with their history's statistics: the box of all visible versions (of all their nodes' visible versions, for ways), all tag keys, level and cell."""
+    """Versions with their history's statistics: the box of all visible versions (of the visible versions of all nodes of ways, and of relations with their ways), all tag keys, level and cell. What has no place has neither box nor cell."""
     own = versions.where("visible and lon_e7 is not null").select(*ENTITY, "lon_e7", "lat_e7")
     if nodes is not None:
-        refs = versions.where("members is not null").select(*ENTITY, F.explode("members").alias("m")).where("m.type = 'node'").select(*ENTITY, F.col("m.id").alias("node")).distinct()
-        places = nodes.where("visible and lon_e7 is not null").select(F.col("osm_id").alias("node"), "lon_e7", "lat_e7")
-        own = own.union(refs.join(places, "node").select(*ENTITY, "lon_e7", "lat_e7"))
+        refs = versions.where("members is not null").select(*ENTITY, F.explode("members").alias("m"))
+        to_nodes = refs.where("m.type = 'node'").select(*ENTITY, F.col("m.id").alias("node")).distinct()
+        ways = to_nodes.where("osm_type = 'way'").select(F.col("osm_id").alias("way"), "node")
+        # relations reach as far as the ways that are ever their members
+        through = refs.where("m.type = 'way'").select(*ENTITY, F.col("m.id").alias("way")).distinct().join(ways, "way").select(*ENTITY, "node").distinct()
+        places = nodes.where("osm_type = 'node' and visible and lon_e7 is not null").select(F.col("osm_id").alias("node"), "lon_e7", "lat_e7")
+        own = own.union(to_nodes.union(through).join(places, "node").select(*ENTITY, "lon_e7", "lat_e7"))
     box = own.groupBy(*ENTITY).agg(F.min("lon_e7").alias("min_lon"), F.min("lat_e7").alias("min_lat"), F.max("lon_e7").alias("max_lon"), F.max("lat_e7").alias("max_lat"))
     keys = versions.select(*ENTITY, F.explode(F.map_keys("tags")).alias("key")).groupBy(*ENTITY).agg(F.array_sort(F.collect_set("key")).alias("tag_keys"))
     return filed(versions.join(box, ENTITY, "left")).join(keys, ENTITY, "left").withColumn("tag_keys", F.coalesce("tag_keys", F.array().cast("array<string>")))
@@ -54,12 +58,15 @@ def read_store(spark: SparkSession, path: str, box=None) -> DataFrame:
     table = spark.read.parquet(path)
     if box is None:
         return table
-    touch = (F.col("min_lon") <= box[2]) & (F.col("max_lon") >= box[0]) if box[0] <= box[2] else (F.col("min_lon") <= box[2]) | (F.col("max_lon") >= box[0])
-    return table.where(grid.pruned(F.col("level"), F.col("cell_id"), box) & touch & (F.col("min_lat") <= box[3]) & (F.col("max_lat") >= box[1]))
+    return table.where(grid.touching(box))
 
 
 def open_store(spark: SparkSession, path: str, prefix: str = "") -> Store:
-    """Tables <prefix_>versions, <prefix_>nodes (if there) and <prefix_>metadata (if there) under a folder; a missing versions table fails at once."""
+    """Tables <prefix_>versions, <prefix_>nodes (if there) and <prefix_>metadata (if there) under a folder; a missing versions table fails at once.
+
+    Members are looked up among the ways of the one and the nodes of the other; without a table of nodes only if the versions
+    hold some member list (one row tells).
+    """
     name = lambda t: f"{path}/{prefix + '_' if prefix else ''}{t}"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
 
@@ -69,8 +76,13 @@ def open_store(spark: SparkSession, path: str, prefix: str = "") -> Store:
 
     if not there("versions"):
         raise FileNotFoundError(f"there is no table {name('versions')}")
-    optional = {t: spark.read.parquet(name(t)) if there(t) else None for t in ("nodes", "metadata")}
-    return Store(spark.read.parquet(name("versions")), optional["nodes"], optional["metadata"])
+    versions = spark.read.parquet(name("versions"))
+    members, columns = None, model.VERSION_COLUMNS
+    if there("nodes"):
+        members = versions.where("osm_type = 'way'").select(*columns).unionByName(spark.read.parquet(name("nodes")).select(*columns))
+    elif not versions.where("osm_type <> 'node' and members is not null").limit(1).isEmpty():
+        members = versions.where("osm_type <> 'relation'").select(*columns)
+    return Store(versions, members, spark.read.parquet(name("metadata")) if there("metadata") else None)
 
 
 def empty_versions(spark: SparkSession) -> DataFrame:
