@@ -113,7 +113,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 matches.append((m * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(posted, pa.list_(pa.int32())), pa.array(matches, pa.binary())], names=["doc_id", "text_key", "n_shingles", "digest", "posted", "matches"])
 
-    return docs.select("doc_id", "text", text_key("text").alias("text_key")).mapInArrow(run, "doc_id long, text_key binary, n_shingles long, digest binary, posted array<int>, matches binary")
+    return docs.select("doc_id", "text", text_key("text").alias("text_key")).mapInArrow(common.lean(run), "doc_id long, text_key binary, n_shingles long, digest binary, posted array<int>, matches binary")
 
 
 def groups(batches, n_keys: int):
@@ -292,7 +292,7 @@ def blocks(lists: DataFrame, classes: DataFrame) -> DataFrame:
     part = F.when(F.col("component") == F.col("largest"), -1 - F.pmod(at, F.col("n_major"))).otherwise(F.pmod(at, F.col("n_minor"))).cast("int")
     rows = lists.join(per_list, "list").select("list", part.alias("part"), "coordinate", "digest", "component", "kept", "posted", "matches")
     keys = ["list", "part", "coordinate"]
-    out = common.save(rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(packed, "list long, part int, coordinate int, members binary"), "blocks", "lz4")
+    out = common.save(rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(common.lean(packed), "list long, part int, coordinate int, members binary"), "blocks", "lz4")
     common.drop(lists)
     return out
 
@@ -303,10 +303,10 @@ def last_links(lists: DataFrame, classes: DataFrame, sets: DataFrame, least: int
     one = packs.select("list", F.col("part").alias("i"), "coordinate", F.col("members").alias("one"))
     two = packs.select("list", F.col("part").alias("j"), F.col("members").alias("two"))
     met = one.join(two, "list").where("i <= j and j >= 0").select("list", "i", "j", "coordinate", "one", "two")
-    some = common.save(met.mapInArrow(involved(least), INVOLVED), "involved")
+    some = common.save(met.mapInArrow(common.lean(involved(least)), INVOLVED), "involved")
     keys = ["list", "i", "j", "coordinate"]
     rows = some.join(sets, "digest").select(*keys, "part", "member", "shingles")
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(joining(least, percent), "a binary, b binary")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(common.lean(joining(least, percent)), "a binary, b binary")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -325,7 +325,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     few = wanted.count() <= SEND_IDS
     texts = docs.select(F.col("doc_id").alias("doc"), "text").join(F.broadcast(wanted) if few else wanted, "doc").select("digest", "text")
-    return common.save(texts.mapInArrow(run, "digest binary, shingles array<long>"), "shingle-sets", "lz4")
+    return common.save(texts.mapInArrow(common.lean(run), "digest binary, shingles array<long>"), "shingle-sets", "lz4")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -359,7 +359,7 @@ def _grouped(docs: DataFrame, percent: int) -> DataFrame:
     lists = posting_lists(classes, percent)
     keys = ["coordinate", "list", "part"]
     with_matches = lists.join(classes.select("digest", "matches"), "digest").select(*keys, "digest", "matches")
-    trees = with_matches.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(forest(least), "coordinate int, list long, a binary, b binary, n int, more boolean")
+    trees = with_matches.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(common.lean(forest(least)), "coordinate int, list long, a binary, b binary, n int, more boolean")
     trees = common.save(trees, "forest")
     pairs = trees.select("coordinate", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n")
 

@@ -67,7 +67,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, longest: int = 2048, end
                         cols, size = [[] for _ in range(8)], 0
         yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(common.lean(run, "encoders"), SCHEMA)
 
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:

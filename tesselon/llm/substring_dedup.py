@@ -96,7 +96,7 @@ def factors(docs: DataFrame, window: int = 50) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["doc_id", "rid", "key", "one", "two", "first", "count"])
 
     usable = rows.where("doc_id is not null and text is not null")
-    blocks = common.save(usable.mapInArrow(parse, "doc_id long, rid long, key long, one long, two long, first int, count int"), "blocks", "lz4")
+    blocks = common.save(usable.mapInArrow(common.lean(parse), "doc_id long, rid long, key long, one long, two long, first int, count int"), "blocks", "lz4")
     varied = (F.min("one") < F.max("one")) | (F.min("two") < F.max("two"))
     shared = blocks.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), varied.alias("varied")).where("lo < hi").select("key", "varied")
     # grouped tables are saved before they are joined: then Spark can split the partitions of very common keys
@@ -122,7 +122,7 @@ def factors(docs: DataFrame, window: int = 50) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["doc_id", "rid", "one", "two", "start"])
 
     edges = judged.where("source = doc_id and varied").groupBy(*ROW).agg(F.collect_list(F.struct("first", "count")).alias("at"))  # at most one document's blocks
-    windows = usable.join(edges, [*ROW]).select("doc_id", "rid", "text", "at").mapInArrow(look, "doc_id long, rid long, one long, two long, start int")
+    windows = usable.join(edges, [*ROW]).select("doc_id", "rid", "text", "at").mapInArrow(common.lean(look), "doc_id long, rid long, one long, two long, start int")
     windows = common.save(windows, "windows", "lz4")
     first = windows.groupBy("one", "two").agg(F.min(F.struct("doc_id", "start")).alias("s"), F.max("doc_id").alias("hi")).where("s.doc_id < hi").select("one", "two", "s")
     first = common.save(first, "window-sources", "lz4")
@@ -163,7 +163,7 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
 
     found = factors(docs, window)
     joined = _identified(docs).join(found, [*ROW], "left").select("doc_id", "text", "found")
-    return joined.mapInArrow(cut, "doc_id long, kept_text string, n_words long, n_removed long, spans array<struct<start: int, n_words: int, source: long, source_start: int>>")
+    return joined.mapInArrow(common.lean(cut), "doc_id long, kept_text string, n_words long, n_removed long, spans array<struct<start: int, n_words: int, source: long, source_start: int>>")
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:

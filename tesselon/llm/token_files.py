@@ -5,11 +5,13 @@ which ids go on and a rank directory over the bitmap (ones before every 512th bi
 level is a rank and any single id is read without decoding its neighbours.
 
 A file is a Parquet table of segments (part, segment, before, n_docs, n_tokens, payload); a payload is one segment of
-whole documents in the layout of `Segment`. Parts are ranges of doc_id in ascending order, `before` counts the ids
+whole documents in the layout of `Segment`. Payloads are not compressed again, so `token_at` reads one id from the bytes of
+its segment's page as they lie in the file. Parts are ranges of doc_id in ascending order, `before` counts the ids
 of the part ahead of the segment, and part totals (one row per part) give the place of the part itself.
 
 Rows: null or empty text is the end id alone. Null doc_ids come first. Rows that repeat a doc_id follow each other,
-ordered by text. An empty table gives an empty file. Further columns are ignored.
+ordered by text (equal texts in any order: their ids are the same). A text of any length stays in one segment, whose
+counts are 64 bits wide. An empty table gives an empty file. Further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -133,15 +135,33 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
             yield flush()
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, SEGMENTS).write.option("compression", "zstd").parquet(path)
+    ordered.mapInArrow(common.lean(run, "encoders"), SEGMENTS).write.option("compression", "uncompressed").parquet(path)
+
+
+def _bases(segments: DataFrame) -> tuple[dict[int, int], int]:
+    """Ids ahead of each part of a token file, and of all: a row for each part."""
+    base, total = {}, 0
+    for part, n in sorted(map(tuple, segments.groupBy("part").agg(F.sum("n_tokens")).collect())):
+        base[part], total = total, total + n
+    return base, total
+
+
+def token_at(spark: SparkSession, path: str, i: int) -> int:
+    """The i-th id of a token file alone: one segment is read, none of its blocks is decoded."""
+    segments = spark.read.schema(SEGMENTS).parquet(path)
+    base, total = _bases(segments)
+    if not 0 <= i < total:
+        raise IndexError(i)
+    part = max((p for p, b in base.items() if b <= i), key=lambda p: (base[p], p))
+    at = i - base[part]
+    row = segments.where((F.col("part") == part) & (F.col("before") <= at) & (F.col("before") + F.col("n_tokens") > at)).select("before", "payload").first()
+    return Segment(bytes(row["payload"]))[at - row["before"]]
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """One row per document of a token file: doc_id, start (ids before it in the file), n_tokens, ids (little-endian unsigned 32-bit)."""
     segments = spark.read.schema(SEGMENTS).parquet(path)
-    base, total = {}, 0
-    for part, n in sorted(map(tuple, segments.groupBy("part").agg(F.sum("n_tokens")).collect())):  # a row for each part of the file
-        base[part], total = total, total + n
+    base, _ = _bases(segments)
 
     def run(batches):
         for batch in batches:
@@ -158,7 +178,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids"],
                 )
 
-    return segments.select("part", "before", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return segments.select("part", "before", "payload").mapInArrow(common.lean(run, "encoders"), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op9_token_files(spark, sf_dir: str) -> DataFrame:

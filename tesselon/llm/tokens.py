@@ -1,9 +1,14 @@
 """Whole texts to token ids with a vocabulary file of a public tokenizer.
 
-The vocabulary lowers case, drops white space, and no token crosses white space, so the ids of a text are the ids of its
-lower-cased words one after the other. Each word is encoded by the tokenizers library once and remembered. A text that
-holds a special token's opening or one of the four separators which only some libraries count as white space is encoded
-whole.
+Where a vocabulary drops white space and no token crosses it, the ids of a text are the ids of its words one after the
+other: each word is encoded by the tokenizers library once and remembered. Whether a vocabulary is of this kind is probed
+when it is loaded; with any other, and for texts that hold a special token's opening or one of the four separators which
+only some libraries count as white space, whole texts go to the library.
+
+Where a vocabulary also lowers case, texts of Latin-1 characters alone are lowered first: no two of these compose to
+another, so composing and lowering may change places there (elsewhere they may not, and words are taken as they are
+written). Words of Latin-1 letters, and such words with one full stop or comma after them, skip the library's normalising
+and splitting, which would leave them as they are but for their case; this too is probed.
 """
 
 from __future__ import annotations
@@ -12,8 +17,15 @@ import os
 import re
 from array import array
 
+from tesselon.llm import common
+
 ODD = re.compile(rb"[\x1c-\x1f]|<\|")
-CACHE_WORDS = 1_000_000
+BEYOND_LATIN_1 = re.compile(rb"[\xc4-\xff]")
+#: Words remembered by a worker, at most, and bytes of the longest of them: some 90 MB together. A word is remembered from the
+#: second time on that a word of its hash (of SEEN) is met.
+CACHE_WORDS, LONGEST, SEEN = 450_000, 64, 1 << 22
+# Texts by which a vocabulary is probed: what may be cut at white space must give the same ids whole and in words.
+PROBES = ("a b", "The end. Of it,\tall\n\nof  it", "don't we'll I'm 's", "x1 2y 33", "\u00e9t\u00e9 STRASSE stra\u00dfe", "(so) -- it; \"is\" #1", " leading and trailing ", "\u4f60\u597d \u0416\u0416 \u0130. A\u030a b")
 
 
 def default_path() -> str:
@@ -39,38 +51,48 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.model, self.letters = self.tok.model, byte_letters()
         self.known: dict[bytes, bytes] = {}
-        probe = [b"thandor", "étude".encode(), "straße".encode(), "überñ".encode()]
-        self.direct = all(self.word(w) == self.whole(w.decode()) for w in probe)
+        self.seen = bytearray(SEEN)
+        self.cut = all(self.whole(t) == b"".join(map(self.whole, t.split())) for t in PROBES)
+        self.lowers = self.cut and all(self.whole(t) == self.whole(t.lower()) for t in (*PROBES[:7], "".join(map(chr, range(0xA0, 0x100)))))
+        self.marks = {m: self.whole(m) for m in (".", ",")}
+        self.direct = all(self.word(w) == self.whole(w) for w in ("thandor", "étude", "straße", "ÜberÑ", "ÿª", "WORD"))
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def word(self, word: bytes) -> bytes:
-        """A lower-case word of Latin-1 letters: normalising and splitting would leave it as it is, so the model has it at once."""
-        return array("I", [x.id for x in self.model.tokenize(word.decode("latin-1").translate(self.letters))]).tobytes()
+    def word(self, word: str) -> bytes:
+        """A word of Latin-1 letters, straight from the model."""
+        return array("I", [x.id for x in self.model.tokenize(word.lower().encode().decode("latin-1").translate(self.letters))]).tobytes()
 
     def learn(self, word: bytes) -> bytes:
-        known, text = self.known, word.decode()
-        if word[-1:] in (b".", b",") and text[:-1].isalpha():  # letters and one mark after them are parted anyway
-            ids = (known.get(word[:-1]) or self.learn(word[:-1])) + (known.get(word[-1:]) or self.learn(word[-1:]))
-        elif self.direct and text.isalpha() and max(text) < "\u0100":
-            ids = self.word(text.lower().encode())
+        text = word.decode()
+        letters = text[:-1] if text[-1] in self.marks else text
+        if self.direct and letters.isalpha() and max(letters) < "\u0100":
+            ids = self.word(letters)
+            if len(letters) < len(text):
+                ids += self.marks[text[-1]]
         else:
             ids = self.whole(text)
-        known[word] = ids
+        at = hash(word) % SEEN
+        if not self.seen[at]:
+            self.seen[at] = 1
+        elif len(word) <= LONGEST:
+            self.known[word] = ids
         return ids
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         known, out = self.known, []
-        if len(known) > CACHE_WORDS:
-            known.clear()
         for t in texts:
             if not t:
                 out.append(b"")
-            elif ODD.search(t):
+            elif not self.cut or ODD.search(t):
                 out.append(self.whole(t.decode()))
             else:
-                words = t.lower().split()
+                if len(known) > CACHE_WORDS:
+                    known.clear()
+                if self.lowers and not BEYOND_LATIN_1.search(t):
+                    t = t.lower() if t.isascii() else t.decode().lower().encode()
+                words = t.split()
                 ids = list(map(known.get, words))
                 if None in ids:
                     ids = [i if i is not None else known.get(w) or self.learn(w) for i, w in zip(ids, words, strict=True)]
@@ -78,11 +100,9 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One encoder for each worker process and vocabulary."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """One encoder for each worker process and vocabulary, as long as its tasks follow each other."""
+    known = common.worker_cache("encoders")
+    if path not in known:
+        known[path] = Encoder(path)
+    return known[path]
