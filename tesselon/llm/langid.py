@@ -9,7 +9,9 @@ as shares of the text; the whole text counts. Machines are trained here, on a sa
 each language, chosen by a hash of the id from the rows that may be learned from.
 
 Rows: null text and text without a letter are `und` with score 0. A null doc_id is not learned from and not held out.
-Repeated rows are predicted each. With no row to learn from, everything is `und`. Extra columns are ignored.
+Repeated rows are predicted each. With no row to learn from, everything is `und`. Extra columns stay as they are. Texts of
+any length are predicted whole; short texts are learned from where a language has too few longer ones. Ties between
+languages go to the larger sum of margins, then to the first by name.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselon.llm import common
@@ -25,8 +27,11 @@ from tesselon.llm import common
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
 MULTIPLY = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
-#: Texts of each language that a model is fitted on, at most, and bytes of the features of one of them.
-PER_LANGUAGE = 400
+#: Texts of each language that a model is fitted on, at most, and bytes of all of them (a longer first text is taken alone).
+PER_LANGUAGE, LANGUAGE_BYTES = 400, 8 << 20
+#: Score below which a text of so many letters is in none of the learned languages (see `is_rejected`). Texts in other
+#: languages and scripts score 0.44 to 0.61 on a model of sf0.01; of the 10,000 texts of sf0.1 none is rejected.
+LEAST_SCORE, LEAST_LETTERS = 0.5, 40
 EPOCHS, COST, SEED = 12, 4.0, 11
 LETTER = regex.compile(r"\p{L}")
 OTHER = regex.compile(r"[^\p{L}]+")
@@ -138,19 +143,30 @@ def held_out():
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """A model of at most per_language whole texts of each language."""
-    usable = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 20))
+    """A model of at most per_language whole texts of each language, of LANGUAGE_BYTES together."""
+    usable = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
     if not counts:
         return Model([])
     # of each language a share by a hash of the id that leaves about twice as many rows as are wanted; then the first of them
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 2.0 * per_language / n + 50 / n)))])
-    some = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).select("doc_id", "lang", "text")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    rows = some.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language).select("lang", "text", "doc_id").collect()  # bounded by per_language
+    some = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    first = Window.partitionBy("lang").orderBy(F.length("text") <= 20, F.xxhash64("doc_id"), "doc_id", "text")
+    rows = some.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language)
+    size = F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("n"))
+    rows = rows.withColumn("size", size).where((F.col("n") == 1) | (F.col("size") <= LANGUAGE_BYTES)).select("lang", "text", "doc_id").collect()  # bounded by both
     return Model([(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))])
 
 
+def is_rejected(model: Model, text: str, lang: str, score: str) -> Column:
+    """Whether a text is in none of the model's languages: it has no letter, or enough of them and the machines are not sure of
+    any language. A model without languages rejects only what has no letter."""
+    if not model.languages:
+        return ~F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+    letters = F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
+    return (F.col(lang) == "und") | ((F.col(score) < LEAST_SCORE) & (letters >= LEAST_LETTERS))
+
+
 def identify(docs: DataFrame, model: Model, columns: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """docs with two columns more, the language and how sure it is (in the place of columns so named)."""
     common.tune(docs.sparkSession)
@@ -166,7 +182,7 @@ def identify(docs: DataFrame, model: Model, columns: tuple[str, str] = ("lang_pr
             cols = [batch.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*names, *columns])
 
-    return docs.mapInArrow(run, f"{schema}, `{columns[0]}` string, `{columns[1]}` double")
+    return docs.mapInArrow(common.lean(run), f"{schema}, `{columns[0]}` string, `{columns[1]}` double")
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:

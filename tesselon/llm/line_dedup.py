@@ -4,11 +4,13 @@ A line's key is the line without white space at both ends, A-Z lower-cased. Keys
 documents are indexed: shards by the key's hash, in each shard a minimal perfect hash whose slot leads to compact
 arrays with the key's fingerprint (64 bits, from a second hash), document count and largest doc_id. Documents probe
 these arrays line by line; lines are never joined. Where the whole index is small (its size is checked) every task gets
-it and documents are rewritten in one pass; beyond that, packs of line hashes travel to the shard they belong to and
-what is to be dropped comes back to the document.
+it and documents are rewritten in one pass; beyond that, packs of line hashes travel to the shard they belong to, which
+goes there once for each of SALTS, and what is to be dropped comes back to the document. Keys of one 64-bit hash stand in
+the shard's list of collisions.
 
 Rows: a null or empty text is one empty line. Rows that repeat a doc_id count as one document. Rows with a null doc_id
-count for nothing and keep all their lines. Extra columns are kept by `drop_lines` as they are. Empty tables stay empty.
+count for nothing and keep all their lines. Extra columns are kept by `drop_lines` as they are, whatever their names.
+Empty tables stay empty. Texts of any length are split whole. Ties: of equal lines in the largest doc_id all stay.
 """
 
 from __future__ import annotations
@@ -27,9 +29,13 @@ from tesselon.llm import common
 SPACE = b" \t\n\x0b\x0c\r"
 #: Bytes of the whole index up to which it is sent to every task.
 SEND_BYTES = 48 << 20
-#: Keys a shard is meant to hold, and line hashes a pack holds.
+#: Keys a shard is meant to hold, line hashes that a pack holds and that a task holds before it sends packs, and the
+#: numbers that the packs of one shard are dealt to, so that no task gets all lines of a common one.
 SHARD_KEYS = 50_000
-PACK = 4096
+PACK, HELD = 4096, 1_000_000
+SALTS = 8
+#: Shards whose numbers are sent to every task to leave out packs of shards that hold nothing.
+SEND_SHARDS = 100_000
 GAMMA = 2.0
 
 
@@ -53,25 +59,28 @@ def as_signed(h: int) -> int:
 
 
 def build_shard(h: np.ndarray, fingerprint: np.ndarray, count: np.ndarray, last: np.ndarray) -> bytes:
-    """Minimal perfect hash over distinct h (uint64) and its arrays. Keys that meet on one level's bit array go on to the next."""
-    levels, left, level = [], h, 0
+    """Minimal perfect hash over distinct h (uint64) and its arrays; of several keys of one h the first, the others in a list after it. Keys that meet on one level's bit array go on to the next."""
+    _, first = np.unique(h, return_index=True)
+    more = np.setdiff1d(np.arange(len(h)), first)
+    arrays = lambda at: fingerprint[at].astype("<u8").tobytes() + last[at].astype("<i8").tobytes() + np.minimum(count[at], 0xFFFFFFFF).astype("<u4").tobytes()
+    levels, left, level = [], h[first], 0
     while len(left):
         m = max(64, int(len(left) * GAMMA) + 63 & ~63)
         at = (common.mix(left ^ np.uint64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) % np.uint64(m)).astype(np.int64)
         hits = np.bincount(at, minlength=m)
         levels.append(np.packbits(hits == 1, bitorder="little"))
         left, level = left[hits[at] > 1], level + 1
-    shard = struct.pack("<II", len(h), len(levels)) + b"".join(struct.pack("<I", 8 * len(b)) + b.tobytes() for b in levels)
-    slots = Shard(shard + bytes(20 * len(h))).slots(h)
-    order = np.empty(len(h), np.int64)
-    order[slots] = np.arange(len(h))
-    return shard + fingerprint[order].astype("<u8").tobytes() + last[order].astype("<i8").tobytes() + np.minimum(count[order], 0xFFFFFFFF).astype("<u4").tobytes()
+    shard = struct.pack("<III", len(first), len(more), len(levels)) + b"".join(struct.pack("<I", 8 * len(b)) + b.tobytes() for b in levels)
+    slots = Shard(shard + bytes(20 * len(first) + 28 * len(more))).slots(h[first])
+    order = np.empty(len(first), np.int64)
+    order[slots] = first
+    return shard + arrays(order) + h[more].astype("<u8").tobytes() + arrays(more)
 
 
 class Shard:
     def __init__(self, data: bytes):
-        self.n, n_levels = struct.unpack_from("<II", data)
-        at, self.levels, before = 8, [], 0
+        self.n, n_more, n_levels = struct.unpack_from("<III", data)
+        at, self.levels, before = 12, [], 0
         for _ in range(n_levels):
             (m,) = struct.unpack_from("<I", data, at)
             bits = np.frombuffer(data, np.uint8, m // 8, at + 4)
@@ -82,6 +91,9 @@ class Shard:
         self.fingerprint = np.frombuffer(data, "<u8", self.n, at)
         self.last = np.frombuffer(data, "<i8", self.n, at + 8 * self.n)
         self.count = np.frombuffer(data, "<u4", self.n, at + 16 * self.n)
+        at += 20 * self.n
+        h, f, last = (np.frombuffer(data, kind, n_more, at + 8 * k * n_more).tolist() for k, kind in enumerate(("<u8", "<u8", "<i8")))
+        self.more = dict(zip(zip(h, f, strict=True), zip(np.frombuffer(data, "<u4", n_more, at + 24 * n_more).tolist(), last, strict=True), strict=True))
 
     def slots(self, h: np.ndarray) -> np.ndarray:
         """A slot for each hash; -1 where no key can be."""
@@ -99,11 +111,16 @@ class Shard:
         """found, count, largest doc_id for each key hash."""
         slot = self.slots(h)
         found = slot >= 0
-        if not found.any():
-            return found, np.zeros(len(h), np.uint32), np.zeros(len(h), np.int64)
+        if not self.n or not found.any():
+            return np.zeros(len(h), bool), np.zeros(len(h), np.uint32), np.zeros(len(h), np.int64)
         safe = np.where(found, slot, 0)
         found &= self.fingerprint[safe] == fingerprint
-        return found, self.count[safe], self.last[safe]
+        count, last = self.count[safe], self.last[safe]
+        if self.more:
+            for k in np.flatnonzero(~found).tolist():
+                if (x := self.more.get((int(h[k]), int(fingerprint[k])))) is not None:
+                    found[k], (count[k], last[k]) = True, x
+        return found, count, last
 
 
 def shard_of(h: np.ndarray, n: int) -> np.ndarray:
@@ -124,7 +141,7 @@ def postings(docs: DataFrame, least: int) -> DataFrame:
                     d.append(doc)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (h, f, d)], names=["h", "f", "doc_id"])
 
-    return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, "h long, f long, doc_id long").distinct()
+    return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(common.lean(run), "h long, f long, doc_id long").distinct()
 
 
 def build_index(docs: DataFrame, least: int, min_docs: int) -> tuple[DataFrame, int, int]:
@@ -135,8 +152,7 @@ def build_index(docs: DataFrame, least: int, min_docs: int) -> tuple[DataFrame,
 
     def build(group: pa.Table) -> pa.Table:
         h, f, n, last = (group.column(c).to_numpy() for c in ("h", "f", "n", "last"))
-        _, one = np.unique(h, return_index=True)  # two keys of one 64-bit hash: the first is kept here, see README
-        payload = build_shard(h[one].astype(np.int64).view(np.uint64), f[one].astype(np.int64).view(np.uint64), n[one], last[one])
+        payload = build_shard(h.astype(np.int64).view(np.uint64), f.astype(np.int64).view(np.uint64), n, last)
         return pa.table({"shard": pa.array([group.column("shard")[0].as_py()], pa.int32()), "payload": pa.array([payload], pa.binary())})
 
     number = F.pmod(F.shiftrightunsigned("h", 33), F.lit(n_shards)).cast("int")
@@ -206,39 +222,65 @@ def drop_lines(docs: DataFrame, least: int = 20, min_docs: int = 3, send_bytes:
             for batch in batches:
                 yield rows(batch, [gone] * batch.num_rows)
 
-        return docs.mapInArrow(run, f"{schema}, `{columns[0]}` long, `{columns[1]}` long")
+        return docs.mapInArrow(common.lean(run), f"{schema}, `{columns[0]}` long, `{columns[1]}` long")
 
     def packs(batches):
         held: dict[int, list] = {}
+        n_held = 0
 
         def out(s):
             h, f, d = (np.concatenate(x) for x in zip(*held.pop(s), strict=True))
             return pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), *(pa.array([x], pa.list_(pa.int64())) for x in (h.view(np.int64), f.view(np.int64), d))], names=["shard", "h", "f", "d"])
 
+        sizes: dict[int, int] = {}
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), common.raw(batch.column(1)), strict=True):
                 _, h, f = hashed(list(dict.fromkeys(text.split(b"\n"))))
                 number = shard_of(h, n_shards)
                 for s in np.unique(number).tolist():
                     mine = number == s
-                    held.setdefault(s, []).append((h[mine], f[mine], np.full(mine.sum(), doc, np.int64)))
-                    if sum(len(x[0]) for x in held[s][-64:]) >= PACK or len(held[s]) >= PACK:
+                    n = int(mine.sum())
+                    held.setdefault(s, []).append((h[mine], f[mine], np.full(n, doc, np.int64)))
+                    sizes[s], n_held = sizes.get(s, 0) + n, n_held + n
+                    if sizes[s] >= PACK:
+                        n_held -= sizes.pop(s)
                         yield out(s)
+                if n_held >= HELD:
+                    for s in list(held):
+                        yield out(s)
+                    sizes.clear()
+                    n_held = 0
         for s in list(held):
             yield out(s)
 
     def probe(batches):
+        shard = None
         for batch in batches:
-            for payload, h, f, d in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            docs_of, hs, fs = [], [], []
+            for payload, h, f, d in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
+                if payload is not None:  # a shard stands ahead of its packs
+                    shard = Shard(payload)
+                    continue
                 h, f, d = np.array(h, np.int64), np.array(f, np.int64), np.array(d, np.int64)
-                found, count, last = Shard(payload).probe(h.view(np.uint64), f.view(np.uint64))
+                found, count, last = shard.probe(h.view(np.uint64), f.view(np.uint64))
                 go = found & (count >= min_docs) & (last != d)
-                yield pa.RecordBatch.from_arrays([pa.array(d[go]), pa.array(h[go]), pa.array(f[go])], names=["doc_id", "h", "f"])
-
-    packed = docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(packs, "shard int, h array<long>, f array<long>, d array<long>")
-    going = packed.join(index, "shard").select("payload", "h", "f", "d").mapInArrow(probe, "__doc long, h long, f long")
-    going = going.distinct().groupBy("__doc").agg(F.collect_list(F.struct("h", "f")).alias("__gone"))  # at most the lines of one document
-    joined = docs.join(going, docs["doc_id"] == going["__doc"], "left").select(*[docs[c] for c in names], "__gone")
+                docs_of.append(d[go])
+                hs.append(h[go])
+                fs.append(f[go])
+            if docs_of:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (docs_of, hs, fs)], names=["doc", "h", "f"])
+
+    longs = "array<long>"
+    packed = docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(common.lean(packs), "shard int, h array<long>, f array<long>, d array<long>")
+    packed = packed.join(F.broadcast(index.select("shard")), "shard", "left_semi") if n_shards <= SEND_SHARDS else packed.join(index.select("shard"), "shard", "left_semi")
+    packed = packed.select("shard", F.pmod(F.xxhash64("h", "d"), F.lit(SALTS)).cast("int").alias("salt"), F.lit(None).cast("binary").alias("payload"), "h", "f", "d")
+    sent_to = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "payload", *[F.lit(None).cast(longs).alias(c) for c in "hfd"])
+    met = sent_to.union(packed).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("payload").isNull())
+    going = met.mapInArrow(common.lean(probe), "doc long, h long, f long")
+    going = going.distinct().groupBy("doc").agg(F.collect_list(F.struct("h", "f")).alias("gone"))  # at most the lines of one document
+    inner = [f"column{k}" for k in range(len(names))]  # inner names, so that none can clash
+    plain = docs.toDF(*inner)
+    joined = plain.join(going, plain[inner[at_doc]] == going["doc"], "left").select(*inner, "gone").toDF(*names, common.fresh(names, "gone")[0])
 
     def apply(batches):
         for batch in batches:
@@ -257,7 +299,7 @@ def drop_lines(docs: DataFrame, least: int = 20, min_docs: int = 3, send_bytes:
 
             yield rows(batch, [gone_of(x) for x in batch.column(len(names)).to_pylist()])
 
-    return joined.mapInArrow(apply, f"{schema}, `{columns[0]}` long, `{columns[1]}` long")
+    return joined.mapInArrow(common.lean(apply), f"{schema}, `{columns[0]}` long, `{columns[1]}` long")
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
