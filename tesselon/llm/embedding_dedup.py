@@ -5,12 +5,15 @@ weighted by its size. Cosine 0.98 is a distance of 0.2 on the unit sphere. A tab
 Gaussian projections floor((a.x + b) / width); k follows the number of vectors, so that buckets of unrelated vectors stay
 small, and the number of tables follows from k and the share of pairs right at the threshold that may be missed.
 In each bucket pairs are checked exactly; a pair counts in the first table in which its vectors meet. Buckets of more
-than PART classes are cut into parts that meet two by two. A check gives sums of weights and the edges of a spanning
-forest, so the output is linear however many pairs are linked.
+than PART classes are cut into blocks that meet two by two; a block is one row, so vectors travel once for each table and
+what meets is rows of blocks. A check gives sums of weights and the edges of a spanning forest, so the output is linear
+however many pairs are linked. `exact` compares all vectors of a label so, without hashing: nothing is missed, at a cost
+that grows with the square of a label's vectors.
 
 Rows: null labels, and vectors that are null, empty, zero or hold null or non-finite components link with nothing and are
 their own component; so are vectors of another length than the label's others (they meet none). Rows that repeat a
-vec_id count as vectors of their own. An empty table gives no rows; extra columns are ignored.
+vec_id count as vectors of their own. An empty table gives no rows; extra columns are ignored, whatever their names. Ties
+(cosines equal to the bound) are links; sums are in double precision.
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ from tesselon.llm.minhash import groups
 
 WIDTH = 1.2
 #: Share of pairs right at the threshold that all tables together may miss.
-MISS = 0.002
-PART = 256
+MISS = 0.0005
+PART = 512
 SEED = 7
 
 
@@ -52,8 +55,8 @@ def projections(dim: int, k: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.standard_normal((dim, k * tables)), rng.uniform(0, WIDTH, k * tables)
 
 
-def hashed(vectors: DataFrame, k: int, tables: int) -> DataFrame:
-    """vec_id, label, digest (null if the vector links with nothing), unit (its doubles), keys (a hash for each table)."""
+def hashed(vectors: DataFrame, k: int, tables: int, exact: bool) -> DataFrame:
+    """vec_id, label, digest (null if the vector links with nothing), unit (its doubles), keys (a hash for each table; exact: one for all vectors of a length)."""
 
     def run(batches):
         known: dict[int, tuple] = {}
@@ -66,67 +69,98 @@ def hashed(vectors: DataFrame, k: int, tables: int) -> DataFrame:
                 if norm == 0 or not math.isfinite(norm):
                     digests.append(None), units.append(None), keys.append(None)
                     continue
+                digests.append(xxhash.xxh3_128_digest((x + 0.0).tobytes()))
+                units.append((x / norm).tobytes())
+                if exact:
+                    keys.append([len(x)])
+                    continue
                 if len(x) not in known:
                     known[len(x)] = projections(len(x), k, tables)
                 a, b = known[len(x)]
                 cells = np.floor(((x / norm) @ a + b) / WIDTH).astype(np.int64).astype(np.uint64).reshape(tables, k)
-                digests.append(xxhash.xxh3_128_digest((x + 0.0).tobytes()))
-                units.append((x / norm).tobytes())
                 keys.append(common.signed(common.mix((common.mix(cells + np.uint64(0x1234567)) * odd).sum(1, dtype=np.uint64) + np.uint64(len(x)))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int64()), pa.array(digests, pa.binary()), pa.array(units, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["vec_id", "label", "digest", "unit", "keys"])
 
-    return vectors.select("vec_id", "label", "embedding").mapInArrow(run, "vec_id long, label long, digest binary, unit binary, keys array<long>")
+    return vectors.select("vec_id", "label", "embedding").mapInArrow(common.lean(run), "vec_id long, label long, digest binary, unit binary, keys array<long>")
+
 
+BLOCK = "label long, table int, key long, part int, ids binary, weights binary, units binary, keys binary"
 
-def check_buckets(cosine: float):
-    """mapInArrow over sorted (label, table, key, i, j, part, rep, weight, unit, keys): rows (rep, null, sum of linked weights) and forest edges (a, b, null)."""
+
+def packed(batches):
+    """mapInArrow over sorted (label, table, key, part, id, weight, unit, keys): a row for each block, with its members' values one after the other."""
+    for key, rows in groups(batches, 4):
+        longs = lambda c: np.array([r[c] for r in rows], "<i8").tobytes()  # noqa: B023, E731
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
+        values = (*key, longs(0), longs(1), b"".join([r[2] for r in rows]), longs(3))
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=[c.split()[0] for c in BLOCK.split(", ")])
+
+
+def check_blocks(cosine: float):
+    """mapInArrow over (table, i, j, ids, weights, units and keys of block i, then of block j): rows (id, null, sum of linked weights) and forest edges (a, b, null)."""
 
     def run(batches):
-        for (_, table, _, i, j), rows in groups(batches, 5):
-            part, rep, weight = (np.array([r[c] for r in rows]) for c in range(3))
-            x = np.frombuffer(b"".join([r[3] for r in rows]), np.float64).reshape(len(rows), -1)
-            keys = np.array([r[4] for r in rows], np.int64)
-            linked = x @ x.T >= cosine
-            np.fill_diagonal(linked, False)
-            if i != j:
-                linked &= part[:, None] != part
-            for t in range(table):
-                linked &= keys[:, t, None] != keys[:, t]
-            if not linked.any():
-                continue
-            at = np.flatnonzero(linked.any(1))
-            a, b, n = rep[at].tolist(), [None] * len(at), (linked[at] @ weight).tolist()
-            left = set(at.tolist())
-            while left:  # a spanning forest, breadth first
-                edge = [left.pop()]
-                while edge:
-                    y = edge.pop()
-                    for z in np.flatnonzero(linked[y]).tolist():
-                        if z in left:
-                            left.discard(z)
-                            edge.append(z)
-                            a.append(int(rep[y])), b.append(int(rep[z])), n.append(None)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (a, b, n)], names=["a", "b", "n"])
+        for batch in batches:
+            for table, i, j, *sides in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                parts = []
+                for ids, weights, units, keys in (sides[:4], sides[4:]) if i != j else (sides[:4],):
+                    ids = np.frombuffer(ids, "<i8")
+                    parts.append((ids, np.frombuffer(weights, "<i8"), np.frombuffer(units, np.float64).reshape(len(ids), -1), np.frombuffer(keys, "<i8").reshape(len(ids), -1)))
+                (ids, weight, x, own), (others, weights, y, theirs) = parts[0], parts[-1]
+                linked = x @ y.T >= cosine
+                if i == j:
+                    np.fill_diagonal(linked, False)
+                for t in range(table):
+                    linked &= own[:, t, None] != theirs[:, t]
+                if not linked.any():
+                    continue
+                a, b, n = [], [], []
+                for names, sums in ((ids, linked @ weights), *(((others, weight @ linked),) if i != j else ())):
+                    at = np.flatnonzero(sums)
+                    a += names[at].tolist()
+                    n += sums[at].tolist()
+                b += [None] * len(a)
+                # a spanning forest, breadth first; rows and columns are nodes, of one block the same ones
+                shift = len(ids) if i != j else 0
+                left = {*np.flatnonzero(linked.any(1)).tolist(), *(np.flatnonzero(linked.any(0)) + shift).tolist()}
+                names = np.concatenate([ids, others]) if shift else ids
+                while left:
+                    edge = [left.pop()]
+                    while edge:
+                        v = edge.pop()
+                        near = np.flatnonzero(linked[:, v - shift]) if shift and v >= shift else np.flatnonzero(linked[v]) + shift
+                        for w in near.tolist():
+                            if w in left:
+                                left.discard(w)
+                                edge.append(w)
+                                a.append(int(names[v])), b.append(int(names[w])), n.append(None)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (a, b, n)], names=["a", "b", "n"])
 
     return run
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.98, exact: bool = False) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     common.tune(vectors.sparkSession)
-    k, tables = plan(vectors.count(), cosine)
-    rows = common.save(hashed(vectors, k, tables), "vectors")
+    k, tables = (0, 1) if exact else plan(vectors.count(), cosine)
+    rows = common.save(hashed(vectors, k, tables, exact), "vectors")
     reps = rows.where("digest is not null and vec_id is not null").groupBy("label", "digest").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("unit").alias("unit"), F.first("keys").alias("keys"))
     # the number of a class: equal vec_ids may stand for several
     reps = common.save(reps.withColumn("id", F.xxhash64("label", "digest")), "vector-classes")
     posted = reps.select("label", "id", F.posexplode("keys").alias("table", "key"))
     bucket = ["label", "table", "key"]
-    full = posted.groupBy(*bucket).agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    parts = posted.join(full, bucket).withColumn("parts", F.ceil(F.col("m") / PART).cast("int")).withColumn("part", F.pmod(F.xxhash64("id", "table"), F.col("parts")).cast("int"))
-    parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
-    keys = [*bucket, "i", "j"]
-    members = parts.select(*keys, "part", "id").join(reps.select("id", "weight", "unit", "keys"), "id").select(*keys, "part", "id", "weight", "unit", "keys")
-    found = members.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(check_buckets(cosine), "a long, b long, n long")
+    # counts are saved before they are joined: then Spark can split the partitions of very large buckets
+    full = common.save(posted.groupBy(*bucket).agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "bucket-sizes")
+    part = F.pmod(F.xxhash64("id", "table"), F.ceil(F.col("m") / PART)).cast("int")
+    members = posted.join(full, bucket).select(*bucket, part.alias("part"), "id").join(reps.select("id", "weight", "unit", "keys"), "id")
+    keys = [*bucket, "part"]
+    members = members.select(*keys, "id", "weight", "unit", "keys").repartition(*keys).sortWithinPartitions(*keys)
+    packs = common.save(members.mapInArrow(common.lean(packed), BLOCK), "vector-blocks", "lz4")
+    values = ["ids", "weights", "units", "keys"]
+    one = packs.select(*bucket, F.col("part").alias("i"), *values)
+    two = packs.select(*bucket, F.col("part").alias("j"), *[F.col(c).alias(f"{c}2") for c in values])
+    met = one.join(two, bucket).where("i <= j").select("table", "i", "j", *values, *[f"{c}2" for c in values])
+    found = met.mapInArrow(common.lean(check_blocks(cosine)), "a long, b long, n long")
     found = common.save(found, "vector-links")
     links = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
     labels = graph.components(found.where("b is not null").select("a", "b"))
