@@ -1,10 +1,13 @@
 """Quality classifier by a weak-label model.
 
-Heuristic labellers look at whole texts and vote good, bad or nothing. How often each vote pattern occurs over all
-documents is counted, and expectation-maximisation over these counts (at most 3^labellers rows) estimates the share of
-good documents and each labeller's chance of every vote given good or bad. The posterior of a document's pattern is its
-label; a linear scorer over hashed words and word shapes is fitted by logistic loss to the posterior labels of a sample
-of at most `sample` documents, chosen by a hash of the id, and scores every document.
+Heuristic labellers look at whole texts and vote good, bad or nothing; several overlap on every kind of junk (symbols,
+capitals, repetition, lists, toxic words), each by another measure. How often each vote pattern occurs over all documents
+is counted (all labellers but three never vote good, so there are at most 2^14 * 3^3 patterns), and
+expectation-maximisation over these counts estimates the share of good documents and each labeller's chance of every vote
+given good or bad: once for quality and once for toxicity, which are apart (toxic text may be well written). Its start is
+by the number of bad votes; its prior counts as much as PRIOR_DOCUMENTS documents, so that the corpus decides. The
+posterior of a document's pattern, good in both, is its label; a linear scorer over hashed words and word shapes is fitted by logistic loss to the posterior labels of a sample of at most `sample` documents, of SAMPLE_BYTES together,
+chosen by a hash of the id, and scores every document.
 
 The labeller of toxic text knows some English words and, of every language with MIN_TOXIC labelled toxic documents, stems
 (pieces of words) learned from the labels: those that stand in toxic documents far more often than in others, until every
@@ -12,7 +15,8 @@ toxic document of the sample holds one, and the share of words with a stem that
 most LEARNED documents of each language and label are learned from, whole, chosen by a hash of the id; a third is held out.
 
 Rows: null or empty text gets the votes of an empty text (bad by its length). A null doc_id is scored, never sampled.
-Repeated rows are scored each. An empty table gives no rows; extra columns are ignored.
+Repeated rows are scored each. An empty table gives no rows; extra columns are ignored, whatever their names. Texts of any
+length are read whole. Ties: a score of just 0.5 is kept.
 """
 
 from __future__ import annotations
@@ -33,10 +37,9 @@ from tesselon.llm.langid import held_out
 
 BUCKETS = 1 << 18
 SAMPLE = 4000
-#: For bad and good documents: the chance of a bad vote that is expected of a labeller, and how many times all documents
-#: this counts. Junk of different kinds is hardly ever seen together; without such a prior the estimate settles on
-#: whichever two labellers agree most as the one kind of bad.
-PRIOR = ((0.3, 0.02), (0.002, 10.0))
+SAMPLE_BYTES = 24 << 20
+#: For bad and good documents: the chance of a bad vote that is expected of a labeller, and of how many documents this weighs.
+PRIOR, PRIOR_DOCUMENTS = (0.3, 0.01), 10.0
 ROUNDS, EPOCHS, RATE, SEED = 60, 6, 4.0, 3
 SYMBOLS = np.frombuffer(rb"#$%&*=@^_~<>|{}\[]", np.uint8)
 # Words that no clean text is made of.
@@ -47,7 +50,9 @@ LEARNED, MIN_TOXIC, STEM = {0: 600, 1: 200}, 10, range(4, 10)
 SEEN, TIMES, STEMS = 0.1, 5, 32
 #: Words that a text counts as longer than it is, so that one stem by chance in a short text is no proof.
 SMOOTH = 20
-LABELLERS = ("length", "symbols", "case", "repeats", "lines", "marks", "word_length", "rude")
+LABELLERS = ("length", "symbols", "symbol_runs", "letters", "bare_symbols", "case", "capitals", "marks", "repeats", "variety", "commonest", "lines", "sentences", "word_length", "rude", "stems", "stem_words")
+#: The labellers of each of the two label models.
+QUALITY, TOXIC = range(14), range(14, 17)
 
 
 class Stems(dict):
@@ -66,13 +71,18 @@ class Stems(dict):
         x = self[word] = sum(1 << k for k, search in enumerate(self.found) if search(lower))
         return x
 
-    def toxic(self, words: list[bytes]) -> bool:
+    def judge(self, kinds: Counter, n: int) -> tuple[bool, bool]:
+        """Whether the share of words with a stem of some language is a toxic text's, and whether two different words hold one. kinds: how often each of the n words stands there."""
         if not self.learned:
-            return False
+            return False, False
         if len(self) > common.CACHE_WORDS:
             self.clear()
-        held = Counter(filter(None, map(self.__getitem__, words)))
-        return any(sum(n for x, n in held.items() if x >> k & 1) / (len(words) + SMOOTH) > least for k, (_, least) in enumerate(self.learned.values()))
+        held = [(x, k) for w, k in kinds.items() if (x := self[w])]
+        shares = (sum(k for x, k in held if x >> i & 1) / (n + SMOOTH) > least for i, (_, least) in enumerate(self.learned.values()))
+        return any(shares), any(sum(x >> i & 1 for x, _ in held) > 1 for i in range(len(self.learned)))
+
+    def toxic(self, words: list[bytes]) -> bool:
+        return self.judge(Counter(words), len(words))[0]
 
 
 def _pieces(word: str) -> set[str]:
@@ -152,6 +162,14 @@ def fit_stems(docs: DataFrame, labels: DataFrame) -> Stems:
     return Stems({lang: learn_stems(by[lang, 1], by.get((lang, 0), []), [t for x in known if x != lang for t in by.get((x, 0), [])]) for lang in known if (lang, 1) in by})
 
 
+SPACES = np.zeros(256, bool)
+SPACES[[9, 10, 11, 12, 13, 32]] = True
+CAPITAL = np.zeros(256, bool)
+CAPITAL[65:91] = True
+SYMBOL = np.zeros(256, bool)
+SYMBOL[SYMBOLS] = True
+
+
 def votes(text: str | None, stems: Stems | None = None) -> list[int]:
     """One vote per labeller: 1 good, 2 bad, 0 nothing."""
     raw = (text or "").encode()
@@ -161,21 +179,37 @@ def votes(text: str | None, stems: Stems | None = None) -> list[int]:
         return [2, *[0] * (len(LABELLERS) - 1)]
     data = np.frombuffer(raw, np.uint8)
     count = np.bincount(data, minlength=256)
+    symbol, starts = SYMBOL[data], np.concatenate([[True], SPACES[data[:-1]]])
     upper = int(count[65:91].sum()) + int(((data[:-1] == 0xC3) & (data[1:] < 0x9F)).sum())  # A-Z, and Latin-1 capitals
     letters = int(count[65:91].sum() + count[97:123].sum() + count[0xC0:].sum())  # other letters by their first byte
+    shown = int(len(data) - count[SPACES].sum() - count[0x80:0xC0].sum())
+    runs = int((symbol[1:] & (data[1:] == data[:-1])).sum())
+    lone = int((symbol & starts & np.append(SPACES[data[1:]], True)).sum())
+    initials = int((CAPITAL[data] & starts).sum())
     lines = raw.split(b"\n")
-    same = sum(a == b for a, b in zip(words, words[1:], strict=False))
-    rude = sum(w.strip(b".,!?#$%&*|").lower() in RUDE for w in words if len(w) < 16)
+    same = sum(map(bytes.__eq__, words, words[1:]))
+    kinds = Counter(words)
+    rude = sum(k for w, k in kinds.items() if len(w) < 16 and w.strip(b".,!?#$%&*|").lower() in RUDE)
+    toxic, stem_words = stems.judge(kinds, n) if stems is not None else (False, False)
     bad = lambda x, most: 2 if x > most else 0
     return [
         2 if n < 3 else 1 if n >= 20 else 0,
-        bad(int(count[SYMBOLS].sum()) / n, 0.3),
+        bad(int(symbol.sum()) / n, 0.3),
+        bad(runs / n, 0.15),
+        bad(1 - (letters + int(count[48:58].sum())) / shown, 0.25) if n >= 10 else 0,
+        bad(lone / n, 0.1),
         bad(upper / max(1, letters), 0.4) if letters > 20 else 0,
+        bad(initials / n, 0.5) if n >= 10 else 0,
+        bad(int(count[33]) / n, 0.3) if n >= 5 else 0,
         bad(same / max(1, n - 1), 0.3) if n >= 10 else 0,
+        bad(2.0, len(kinds) / n**0.5) if n >= 20 else 0,
+        bad(max(kinds.values()) / n, 0.3) if n >= 10 else 0,
         bad(1 - len(set(lines)) / len(lines), 0.4) if len(lines) >= 4 else 0,
-        bad(int(count[33]) / n, 0.3) if n >= 5 else 0,
+        (1 if 0.03 <= int(count[[33, 46, 63]].sum()) / n <= 0.3 else 2 if int(count[[33, 46, 63]].sum()) / n < 0.01 else 0) if n >= 20 else 0,
         1 if 3 <= letters / n <= 10 else 2 if letters / n < 1.5 or letters / n > 20 else 0,
-        2 if rude >= 2 or stems is not None and stems.toxic(words) else 0,
+        bad(rude, 1),
+        2 * toxic,
+        2 * stem_words,
     ]
 
 
@@ -183,27 +217,33 @@ def pattern(vote: list[int]) -> int:
     return int(sum(v * 3**k for k, v in enumerate(vote)))
 
 
-def label_model(counts: dict[int, int]) -> tuple[float, np.ndarray, dict[int, float]]:
-    """The share of good documents, the chance of each vote [labeller, class, vote], the posterior of good for each pattern."""
+def label_model(counts: dict[int, int], labellers: range) -> tuple[float, np.ndarray, dict[int, float]]:
+    """Of some labellers: the share of good documents, the chance of each vote [labeller, class, vote], the posterior of good for each pattern."""
     patterns = np.array(sorted(counts), np.int64)
     n = np.array([counts[p] for p in patterns.tolist()], np.float64)
-    vote = patterns[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
-    good = np.where((vote == 2).any(1), 0.05, 0.95)  # junk of one kind shows to one labeller: at the start any bad vote decides
-    share, chance = 0.5, np.full((len(LABELLERS), 2, 3), 1 / 3)
+    vote = patterns[:, None] // 3 ** np.array(labellers) % 3
+    good = np.array([0.95, 0.5, 0.05])[np.minimum((vote == 2).sum(1), 2)]
+    share, chance = 0.5, np.full((len(labellers), 2, 3), 1 / 3)
+    expected = [np.array([(1 - alarm) / 2, (1 - alarm) / 2, alarm]) * PRIOR_DOCUMENTS for alarm in PRIOR]
     for _ in range(ROUNDS):
         share = float((n * good).sum() / n.sum())
-        for k in range(len(LABELLERS)):
-            for c, (p, (alarms, weight)) in enumerate(zip((1 - good, good), PRIOR, strict=True)):
-                seen = np.array([(n * p)[vote[:, k] == v].sum() for v in range(3)])
-                more = weight * n.sum()
-                bad = (seen[2] + alarms * more) / (seen.sum() + more)
-                rest = (seen[:2] + 0.1) / (seen[:2].sum() + 0.2)
-                chance[k, c] = [*(rest * (1 - bad)), bad]
-        log = np.log(np.array([[max(1e-9, 1 - share)], [max(1e-9, share)]])) + np.log(chance[np.arange(len(LABELLERS)), :, vote]).sum(1).T
+        for k in range(len(labellers)):
+            for c, p in enumerate((1 - good, good)):
+                seen = np.array([(n * p)[vote[:, k] == v].sum() for v in range(3)]) + expected[c]
+                chance[k, c] = seen / seen.sum()
+        log = np.log(np.array([[max(1e-9, 1 - share)], [max(1e-9, share)]])) + np.log(chance[np.arange(len(labellers)), :, vote]).sum(1).T
         good = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
     return share, chance, dict(zip(patterns.tolist(), good.tolist(), strict=True))
 
 
+def posteriors(counts: dict[int, int]) -> dict[int, float]:
+    """For each pattern the posterior of good in quality and not toxic."""
+    if not counts:
+        return {}
+    (_, _, good), (_, _, clean) = (label_model(counts, x) for x in (QUALITY, TOXIC))
+    return {p: good[p] * clean[p] for p in counts}
+
+
 class Features(dict):
     """Buckets of a word (upper half) and of its shape (lower half)."""
 
@@ -212,7 +252,7 @@ class Features(dict):
         x = self[word] = xxhash.xxh3_64_intdigest(word.lower()) % BUCKETS << 32 | xxhash.xxh3_64_intdigest(b"\0" + shape) % BUCKETS
         return x
 
-    def of(self, text: str | None, rude: bool) -> tuple[np.ndarray, np.ndarray]:
+    def of(self, text: str | None, toxic: bool) -> tuple[np.ndarray, np.ndarray]:
         if len(self) > common.CACHE_WORDS:
             self.clear()
         words = (text or "").encode().split()
@@ -221,12 +261,12 @@ class Features(dict):
         buckets, n = np.unique(np.concatenate([at >> 32, at & 0xFFFFFFFF]), return_counts=True)
         v = np.sqrt(n / max(1, len(words)))
         v = v / max(1e-9, np.linalg.norm(v))
-        return np.append(buckets, [BUCKETS, BUCKETS + 1, BUCKETS + 2, BUCKETS + 3]), np.append(v, [1.0, same, min(1.0, len(words) / 20), float(rude)])
+        return np.append(buckets, [BUCKETS, BUCKETS + 1, BUCKETS + 2, BUCKETS + 3]), np.append(v, [1.0, same, min(1.0, len(words) / 20), float(toxic)])
 
 
 def train(rows: list[tuple[str | None, bool, float]]) -> np.ndarray:
     w, features, rng = np.zeros(BUCKETS + 4), Features(), np.random.default_rng(SEED)
-    xs = [(*features.of(t, rude), y) for t, rude, y in rows]
+    xs = [(*features.of(t, toxic), y) for t, toxic, y in rows]
     for epoch in range(EPOCHS):
         for i in rng.permutation(len(xs)):
             at, v, y = xs[i]
@@ -246,14 +286,16 @@ def score_documents(docs: DataFrame, sample: int = SAMPLE, labels: DataFrame | N
             p, n = np.unique([pattern(votes(t, stems)) for t in batch.column(0).to_pylist()], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(n, pa.int64())], names=["pattern", "n"])
 
-    counts = {r["pattern"]: r["n"] for r in docs.select("text").mapInArrow(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()}  # at most 3^labellers rows
-    share, chance, posterior = label_model(counts) if counts else (1.0, None, {})
+    counts = {r["pattern"]: r["n"] for r in docs.select("text").mapInArrow(common.lean(count), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()}  # at most as many rows as patterns
+    posterior = posteriors(counts)
     total = sum(counts.values())
     some = docs.where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(min(1.0, 1.2 * sample / max(1, total)) * (1 << 20)) + 1))
-    rows = some.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect()  # bounded by sample
+    rows = some.select("doc_id", "text", F.octet_length("text").alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample)
+    upto = F.sum(F.coalesce("size", F.lit(0))).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", "text"))  # of at most `sample` rows
+    rows = rows.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES).collect()  # bounded by sample and SAMPLE_BYTES
     cast = [votes(r["text"], stems) for r in rows]
-    w = train([(r["text"], v[-1] == 2, posterior[pattern(v)]) for r, v in zip(rows, cast, strict=True)])
-    sent = spark.sparkContext.broadcast((w, posterior))  # a fixed number of weights, at most 3^labellers posteriors
+    w = train([(r["text"], 2 in v[-3:-1], posterior[pattern(v)]) for r, v in zip(rows, cast, strict=True)])
+    sent = spark.sparkContext.broadcast((w, posterior))  # a fixed number of weights, a posterior for each pattern
 
     def run(batches):
         features, (w, posterior) = Features(), sent.value
@@ -262,11 +304,11 @@ def score_documents(docs: DataFrame, sample: int = SAMPLE, labels: DataFrame | N
             cast = [votes(t, stems) for t in texts]
             score = []
             for t, vote in zip(texts, cast, strict=True):
-                at, v = features.of(t, vote[-1] == 2)
+                at, v = features.of(t, 2 in vote[-3:-1])
                 score.append(float(1 / (1 + np.exp(-np.clip(w[at] @ v, -30, 30)))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cast, pa.list_(pa.int32())), pa.array([posterior[pattern(v)] for v in cast], pa.float64()), pa.array(score, pa.float64()), pa.array([s >= 0.5 for s in score], pa.bool_())], names=["doc_id", "votes", "posterior", "score", "keep"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, votes array<int>, posterior double, score double, keep boolean")
+    return docs.select("doc_id", "text").mapInArrow(common.lean(run), "doc_id long, votes array<int>, posterior double, score double, keep boolean")
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:
