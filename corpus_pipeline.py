@@ -12,16 +12,19 @@ from tesselon.llm import common, decontamination, langid, line_dedup, minhash, p
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have a language: those without a letter go."""
-    return langid.identify(docs, langid.fit(docs), ("__lang", "__score")).where("__lang <> 'und'").select(*docs.columns)
+    """Documents in one of the languages that the corpus teaches: those without a letter go, and those of which no machine is sure."""
+    model, columns = langid.fit(docs), common.fresh(docs.columns, "lang_found", "lang_score")
+    return langid.identify(docs, model, columns).where(~langid.is_rejected(model, "text", *columns)).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go, except in the last document that has them; n_chars follows the text; documents left without a word go."""
-    out = line_dedup.drop_lines(docs, columns=("__lines", "__dropped"))
-    out = out.where((F.col("__dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    columns = _, n_dropped = common.fresh(docs.columns, "lines_before", "lines_dropped")
+    out = line_dedup.drop_lines(docs, columns=columns)
+    out = out.where((F.col(n_dropped) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col(n_dropped) > 0, length).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
