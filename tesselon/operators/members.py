@@ -43,15 +43,35 @@ def membership_intervals(parents: DataFrame) -> DataFrame:
 def modification_times(parents: DataFrame, members: DataFrame | None) -> DataFrame:
     """osm_type, osm_id, ts, changeset_id, user_id, own: every time at which an entity changes, by itself or by a member.
 
-    A member's change counts while it is a member, both ends of the stretch included; relations that are members cause
-    none. Of several causes at one time the entity's own version gives changeset and user, else the first member's.
+    A member's change counts while it is a member, both ends of the stretch included; a way that is a relation's member
+    changes with its nodes too, and relations that are members cause no change. Of several causes at one time the entity's
+    own version gives changeset and user, else the first member's.
     """
     own = parents.select(*ENTITY, "ts", "changeset_id", "user_id", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("by"), F.col("version").alias("v"))
     if members is not None:
-        changes = members.where("osm_type <> 'relation'").select(F.col("osm_type").alias("m_type"), F.col("osm_id").alias("m_id"), "ts", "changeset_id", "user_id", "version")
         spans = membership_intervals(parents)
-        met = spans.join(changes, ["m_type", "m_id"]).where((F.col("ts") >= F.col("since")) & (F.col("until").isNull() | (F.col("ts") <= F.col("until"))))
-        rank = F.when(F.col("m_type") == "node", 2).otherwise(1)
-        own = own.union(met.select(*ENTITY, "ts", "changeset_id", "user_id", rank.alias("rank"), F.col("m_id").alias("by"), F.col("version").alias("v")))
+        nodes, ways = (members.where(F.col("osm_type") == t) for t in ("node", "way"))
+        of_ways = spans.where("m_type = 'way'").select(F.lit("way").alias("osm_type"), F.col("m_id").alias("osm_id")).distinct()
+        nested = _with_members(ways.join(of_ways, ENTITY, "left_semi"), nodes)
+        changes = nodes.select(*ENTITY, "ts", "changeset_id", "user_id", "version").union(nested.select(*ENTITY, "ts", "changeset_id", "user_id", F.lit(0)))
+        own = own.union(_caused(spans, changes))
+    return _first(own)
+
+
+def _with_members(parents: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The times of ways by themselves and their nodes."""
+    own = parents.select(*ENTITY, "ts", "changeset_id", "user_id", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("by"), F.col("version").alias("v"))
+    return _first(own.union(_caused(membership_intervals(parents), nodes.select(*ENTITY, "ts", "changeset_id", "user_id", "version"))))
+
+
+def _caused(spans: DataFrame, changes: DataFrame) -> DataFrame:
+    """The changes of members within the stretches in which they are members."""
+    changes = changes.select(F.col("osm_type").alias("m_type"), F.col("osm_id").alias("m_id"), "ts", "changeset_id", "user_id", "version")
+    met = spans.join(changes, ["m_type", "m_id"]).where((F.col("ts") >= F.col("since")) & (F.col("until").isNull() | (F.col("ts") <= F.col("until"))))
+    rank = F.when(F.col("m_type") == "node", 2).otherwise(1)
+    return met.select(*ENTITY, "ts", "changeset_id", "user_id", rank.alias("rank"), F.col("m_id").alias("by"), F.col("version").alias("v"))
+
+
+def _first(causes: DataFrame) -> DataFrame:
     first = F.min_by(F.struct("changeset_id", "user_id", (F.col("rank") == 0).alias("own")), F.struct("rank", "by", -F.col("v")))
-    return own.groupBy(*ENTITY, "ts").agg(first.alias("f")).select(*ENTITY, "ts", "f.changeset_id", "f.user_id", "f.own")
+    return causes.groupBy(*ENTITY, "ts").agg(first.alias("f")).select(*ENTITY, "ts", "f.changeset_id", "f.user_id", "f.own")

@@ -281,7 +281,7 @@ class Builder:
         if not self.seconds:
             return df
         with self.within():
-            rows = df.toArrow()
+            rows = df.collect()  # not toArrow, whose jobs run in another thread, without the tag
         return df.sparkSession.createDataFrame(rows, df.schema)
 
     def _value(self, f: Column | None) -> Builder:
@@ -400,22 +400,33 @@ class Builder:
 
     @contextmanager
     def within(self):
-        """Jobs in this block are cancelled once the builder's timeout has passed."""
+        """Jobs in this block are cancelled once the builder's timeout has passed, those that begin later too."""
+        if not self.seconds:
+            yield self
+            return
         spark: SparkContext = self.store.versions.sparkSession.sparkContext
         tag = f"tesselon-{id(self)}-{threading.get_ident()}"
-        timer = threading.Timer(self.seconds, lambda: spark.cancelJobsWithTag(tag)) if self.seconds else None
+        done, late = threading.Event(), threading.Event()
+
+        def watch() -> None:
+            wait = self.seconds
+            while not done.wait(wait):
+                late.set()
+                spark.cancelJobsWithTag(tag)  # of those that run just now
+                wait = 0.2
+
         spark.addJobTag(tag)
-        if timer:
-            timer.start()
+        watcher = threading.Thread(target=watch, daemon=True)
+        watcher.start()
         try:
             yield self
         except Exception as e:
-            if timer and not timer.is_alive():
+            if late.is_set():
                 raise TimeoutError(f"more than {self.seconds} s") from e
             raise
         finally:
-            if timer:
-                timer.cancel()
+            done.set()
+            watcher.join()
             spark.removeJobTag(tag)
 
 

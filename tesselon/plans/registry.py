@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from tesselon.functions import filters, geo, grid, timeline
 from tesselon.operators import geometry, members, views
 from tesselon.plans import projection as P
+from tesselon.plans import shapes_registry
 from tesselon.sources import store
 
-FIRST, LAST = "2024-01-01", "2024-01-30"
+FIRST, LAST = "2024-01-01", "2024-01-31"  # the whole events table
 WEEKS_SQL = "days as (select unnest(generate_series(timestamp '2024-01-01', timestamp '2024-01-29', interval 7 day)) as d)"
-DAYS_SQL = "days as (select unnest(generate_series(timestamp '2024-01-01', timestamp '2024-01-30', interval 1 day)) as d)"
+DAYS_SQL = "days as (select unnest(generate_series(timestamp '2024-01-01', timestamp '2024-01-31', interval 1 day)) as d)"
 LENGTH_SHARE = repr(geo.LENGTH_SHARE)
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,11 +34,11 @@ def query(name: str, sql: str | None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_queries)
+    return _queries | shapes_registry.queries()
 
 
 def oracles() -> dict[str, str]:
-    return dict(_oracles)
+    return _oracles | shapes_registry.oracles()
 
 
 def rounded(df: DataFrame, name: str = "result", places: int = 4) -> DataFrame:
@@ -89,8 +90,8 @@ ct as (select *, alive and not before_alive as creation, not alive as deletion,
   from em where alive or before_alive)"""
 
 
-WINDOW = "ts >= timestamp '2024-01-01' and ts < timestamp '2024-01-30'"
-BY_DAY = f"""select d as "timestamp", count(osm_id) as result from (select d from days where d < timestamp '2024-01-30') left join
+WINDOW = "ts >= timestamp '2024-01-01' and ts < timestamp '2024-01-31'"
+BY_DAY = f"""select d as "timestamp", count(osm_id) as result from (select d from days where d < timestamp '2024-01-31') left join
 (select *, date_trunc('day', ts) as d from ct where {WINDOW}) using (d) group by d"""
 
 query("contribution_count_by_day", f"{log_sql()}, {DAYS_SQL} {BY_DAY}")(lambda s, d: contributions(s, d).aggregate_by_timestamp().count())
@@ -256,10 +257,45 @@ def _asof(s, d):
     return out.select("osm_id", "ts", "member", F.col("m_version").cast("long").alias("member_version"), F.col("m_visible").alias("member_visible"))
 
 
-query(
-    "member_contributions",
-    None,
-)(lambda s, d: log(views.contributions(P.ways(s, d), timeline.instants(FIRST, LAST, "P1D"), None, P.nodes(s, d))))
+MEMBER_LOG_SQL = f"""with {P.VERSIONS_SQL}, ways as (
+  select *, case when event_id % 2 = 0 then [event_id * 7 % 50 * 3, event_id * 11 % 50 * 3, event_id * 13 % 50 * 3]
+    else [event_id * 7 % 50 * 3, event_id * 11 % 50 * 3] end as ms
+  from v where osm_type = 'way'
+), nodes as (select * from v where osm_type = 'node'
+), refs as (
+  select osm_id, ts, valid_to, visible, unnest(ms) as m from ways
+), causes as (
+  select osm_id, ts, changeset_id, 0 as rank, 0 as cause, version from ways
+  union all select r.osm_id, n.ts, n.changeset_id, 2, n.osm_id, n.version
+  from refs r join nodes n on n.osm_id = r.m and n.ts >= r.ts and (r.valid_to is null or n.ts <= r.valid_to) where r.visible
+), times as (
+  select osm_id, ts, changeset_id from causes qualify row_number() over (partition by osm_id, ts order by rank, cause, version desc) = 1
+), state as (
+  select t.*, w.visible as alive, w.kind, w.k, w.version, w.ms from times t join ways w on w.osm_id = t.osm_id and w.ts <= t.ts and (w.valid_to is null or t.ts < w.valid_to)
+), at as (
+  select osm_id, ts, unnest(ms) as m, generate_subscripts(ms, 1) as pos from state
+), line as (
+  select at.osm_id, at.ts, list((n.lon_e7, n.lat_e7) order by at.pos) as coords
+  from at join nodes n on n.osm_id = at.m and n.visible and n.ts <= at.ts and (n.valid_to is null or at.ts < n.valid_to) group by all
+), st as (select state.*, coords from state left join line using (osm_id, ts)
+), fold as (
+  select * from (select *, coalesce(lag(alive) over w, false) as was from st window w as (partition by osm_id order by ts)) where alive or was
+), sq as (
+  select * from (select *, lead(changeset_id) over w as nx from fold window w as (partition by osm_id order by ts)) where nx is null or nx <> changeset_id
+), em as (
+  select *, coalesce(lag(alive) over w, false) as before_alive, lag(kind) over w as b_kind, lag(k) over w as b_k, lag(version) over w as b_version, lag(coords) over w as b_coords
+  from sq window w as (partition by osm_id order by ts)
+)
+select 'way' as osm_type, osm_id, ts, alive and not before_alive as creation, not alive as deletion,
+  alive and before_alive and (b_kind is distinct from kind or b_k is distinct from k) as tag_change,
+  alive and before_alive and b_coords is distinct from coords as geometry_change, b_version as before_version, version as after_version
+from em where (alive or before_alive) and {WINDOW}"""
+
+
+@query("member_contributions", MEMBER_LOG_SQL)
+def _member_contributions(s, d):
+    return log(views.contributions(P.ways(s, d), timeline.instants(FIRST, LAST, "P1D"), None, P.nodes(s, d)))
+
 
 # -- grid and areas
 
@@ -284,14 +320,25 @@ def _stored(s, d):
 
 
 BOX = (-100000000, -50000000, 350000000, 250000000)
-RANGES = [(z, lo, hi) for z in range(15) for lo, hi in grid.ranges(z, BOX)[:40]]
-query("grid_bbox_ranges", f"select level::int as level, least(row_number() over (partition by level order by y), 40)::bigint as i, (y * (1 << level) + greatest(x1 - 1, 0))::bigint as low, (y * (1 << level) + x2)::bigint as high from (select *, unnest(range(greatest(y1 - 1, 0), y2 + 1)) as y from (select level, floor(({BOX[0]}::bigint + 1800000000) / w)::bigint as x1, floor(({BOX[2]}::bigint + 1800000000) / w)::bigint as x2, floor(({BOX[1]}::bigint + 900000000) / w)::bigint as y1, floor(({BOX[3]}::bigint + 900000000) / w)::bigint as y2 from (select z as level, 3600000000.0 / (1 << z) as w from range(0, 15) t(z)))) qualify row_number() over (partition by level order by y) <= 40")(
-    lambda s, d: s.createDataFrame([(z, i + 1, lo, hi) for z in range(15) for i, (lo, hi) in enumerate(grid.ranges(z, BOX)[:40])], "level int, i long, low long, high long")
-)
-# every range of every level; grid_bbox_ranges and its SQL give the first 40 of each
-query("grid_bbox_ranges_all", f"select level::int as level, row_number() over (partition by level order by y)::bigint as i, (y * (1 << level) + greatest(x1 - 1, 0))::bigint as low, (y * (1 << level) + x2)::bigint as high from (select *, unnest(range(greatest(y1 - 1, 0), y2 + 1)) as y from (select level, floor(({BOX[0]}::bigint + 1800000000) / w)::bigint as x1, floor(({BOX[2]}::bigint + 1800000000) / w)::bigint as x2, floor(({BOX[1]}::bigint + 900000000) / w)::bigint as y1, floor(({BOX[3]}::bigint + 900000000) / w)::bigint as y2 from (select z as level, 3600000000.0 / (1 << z) as w from range(0, 15) t(z))))")(
-    lambda s, d: s.createDataFrame([(z, i + 1, lo, hi) for z in range(15) for i, (lo, hi) in enumerate(grid.ranges(z, BOX))], "level int, i long, low long, high long")
-)
+RANGES_SQL = f"""with levels as (
+  select z as level, 3600000000.0 / (1 << z) as w from range(0, 15) t(z)
+), corners as (
+  select level, floor(({BOX[0]}::bigint + 1800000000) / w)::bigint as x1, floor(({BOX[2]}::bigint + 1800000000) / w)::bigint as x2,
+    floor(({BOX[1]}::bigint + 900000000) / w)::bigint as y1, floor(({BOX[3]}::bigint + 900000000) / w)::bigint as y2
+  from levels
+), lines as (select *, unnest(range(greatest(y1 - 1, 0), y2 + 1)) as y from corners)
+select level::int as level, row_number() over (partition by level order by y)::bigint as i,
+  (y * (1 << level) + greatest(x1 - 1, 0))::bigint as low, (y * (1 << level) + x2)::bigint as high
+from lines"""
+
+
+@query("grid_bbox_ranges", RANGES_SQL)
+def _ranges(s, d):
+    """Every range of every level of the box."""
+    rows = [(z, i + 1, lo, hi) for z in range(15) for i, (lo, hi) in enumerate(grid.ranges(z, BOX))]
+    return s.createDataFrame(rows, "level int, i long, low long, high long")
+
+
 query("grid_pruned_scan", f"{BOXES_SQL} select osm_id, changeset_id from boxes where a <= {BOX[2]} and c >= {BOX[0]} and b <= {BOX[3]} and e >= {BOX[1]}")(
     lambda s, d: store.read_store(s, _stored(s, d), BOX).select("osm_id", "changeset_id")
 )
@@ -311,15 +358,24 @@ def _times(name: str, values: list, sql: str):
     query(name, sql)(lambda s, d: s.createDataFrame([(t,) for t in values], "ts timestamp_ntz"))
 
 
-for _name, _period, _end in (("yearly", "P1Y", "2012-01-31"), ("quarterly", "P3M", "2009-01-31"), ("monthly", "P1M", "2008-12-31"), ("weekly", "P7D", "2008-06-30"), ("daily", "P1D", "2008-03-31"), ("hourly", "PT1H", "2008-02-03")):
+for _name, _period, _end in (("yearly", "P1Y", "2021-03-01"), ("quarterly", "P3M", "2017-08-31"), ("monthly", "P1M", "2017-03-31"), ("weekly", "P7D", "2016-09-30"), ("daily", "P1D", "2016-05-02"), ("hourly", "PT1H", "2016-03-03")):
     _step = {"P1Y": "n * interval 1 year", "P3M": "n * interval 3 month", "P1M": "n * interval 1 month", "P7D": "n * interval 7 day", "P1D": "n * interval 1 day", "PT1H": "n * interval 1 hour"}[_period]
-    _times(f"timestamps_interval_{_name}", timeline.instants("2008-01-31T12:34:56", _end, _name), f"select ts from (select timestamp '2008-01-31 12:34:56' + {_step} as ts from range(0, 2000) t(n)) where ts <= timestamp '{_end}'")
-_times("timestamps_period_from_end", timeline.instants("2008-01-15", "2008-12-31", "P1M", from_end=True), "select ts from (select timestamp '2008-12-31' - n * interval 1 month as ts from range(0, 100) t(n)) where ts >= timestamp '2008-01-15'")
-ISO = ["2008", "200801", "2008-01", "20080131", "2008-01-31", "2008-01-31T12", "2008-01-31T12:34", "2008-01-31T12:34:56Z", "2008-01-31T12:34:56.789"]
-query(
-    "iso_parse_layouts",
-    "select * from (values ('2008', timestamp '2008-01-01'), ('200801', timestamp '2008-01-01'), ('2008-01', timestamp '2008-01-01'), ('20080131', timestamp '2008-01-31'), ('2008-01-31', timestamp '2008-01-31'), ('2008-01-31T12', timestamp '2008-01-31 12:00:00'), ('2008-01-31T12:34', timestamp '2008-01-31 12:34:00'), ('2008-01-31T12:34:56Z', timestamp '2008-01-31 12:34:56'), ('2008-01-31T12:34:56.789', timestamp '2008-01-31 12:34:56.789')) t(layout, ts)",
-)(lambda s, d: s.createDataFrame([(x, timeline.parse_iso(x)) for x in ISO], "layout string, ts timestamp_ntz"))
+    _times(f"timestamps_interval_{_name}", timeline.instants("2016-02-29T06:30:15", _end, _name), f"select ts from (select timestamp '2016-02-29 06:30:15' + {_step} as ts from range(0, 2000) t(n)) where ts <= timestamp '{_end}'")
+_times("timestamps_period_from_end", timeline.instants("2019-11-10", "2020-10-31", "P1M", from_end=True), "select ts from (select timestamp '2020-10-31' - n * interval 1 month as ts from range(0, 100) t(n)) where ts >= timestamp '2019-11-10'")
+ISO = {
+    "2016": "2016-01-01",
+    "201602": "2016-02-01",
+    "2016-02": "2016-02-01",
+    "20160229": "2016-02-29",
+    "2016-02-29": "2016-02-29",
+    "2016-02-29T06": "2016-02-29 06:00:00",
+    "2016-02-29T06:30": "2016-02-29 06:30:00",
+    "2016-02-29T06:30:15Z": "2016-02-29 06:30:15",
+    "2016-02-29T06:30:15.250": "2016-02-29 06:30:15.250",
+}
+query("iso_parse_layouts", "select * from (values " + ", ".join(f"('{x}', timestamp '{t}')" for x, t in ISO.items()) + ") t(layout, ts)")(
+    lambda s, d: s.createDataFrame([(x, timeline.parse_iso(x)) for x in ISO], "layout string, ts timestamp_ntz")
+)
 
 # -- geometries
 
@@ -350,29 +406,11 @@ RING_LENGTH_SQL = f"""{RINGS_SQL}, sp as (select *, radians(lon) as x, atan({LEN
 seg as (select osm_id, lead(x) over w - x as dx, lead(y) over w - y as dy, (lead(y) over w + y) / 2 as ym from sp window w as (partition by osm_id order by i)),
 per as (select osm_id, sum(sqrt(pow(dx * cos(ym), 2) + dy * dy)) * {geo.RADIUS_MEAN} as perimeter from seg group by osm_id),
 m as (select osm_id, area, perimeter, case when perimeter > 0 then 4 * {math.pi!r} * area / (perimeter * perimeter) else 0 end as roundness, n as vertices from ar join per using (osm_id) join (select osm_id, count(*) as n from closed group by osm_id) using (osm_id))"""
-query("geo_roundness", f"{RING_LENGTH_SQL} select osm_id, round(roundness, 6) as roundness from m")(lambda s, d: measured(s, d).select("osm_id", band(F.col("roundness"), 6).alias("roundness")))
-
-
-def measured(s, d) -> DataFrame:
-    """Rings as closed ways with their metrics, as a filter sees them."""
-    r = rings(s, d).withColumn("area", geo.polygon_area_column(F.col("coords"))).withColumn("perimeter", geo.length_column(F.col("coords")))
-    r = r.withColumn("roundness", geo.roundness_column(F.col("area"), F.col("perimeter"))).withColumn("vertices", F.size("coords")).withColumn("outers", F.lit(1)).withColumn("inners", F.lit(0)).withColumn("length", F.lit(0.0))
-    return r.withColumn("osm_type", F.lit("way")).withColumn("tags", F.create_map(F.lit("building"), F.lit("yes"))).withColumn("geometry", F.lit("polygon"))
+query("geo_roundness", f"{RING_LENGTH_SQL} select osm_id, round(roundness, 6) as roundness from m")(
+    lambda s, d: rings(s, d).select("osm_id", band(geo.roundness_column(geo.polygon_area_column(F.col("coords")), geo.length_column(F.col("coords"))), 6).alias("roundness"))
+)
 
 
-METRIC_FILTERS = {
-    "filter_geom_area": ("area:(1E8..5E8)", "area between 1e8 and 5e8"),
-    "filter_geom_perimeter": ("perimeter:(..200000)", "perimeter <= 200000"),
-    "filter_geom_vertices": ("geometry.vertices:(4..5)", "vertices between 4 and 5"),
-    "filter_geom_roundness": ("geometry.roundness:(0.3..)", "roundness >= 0.3"),
-    "filter_geom_rings": ("geometry.outers:1 and geometry.inners:0 and not geometry.inners:(1..)", "true"),
-    "filter_geom_not": ("not area:(1E8..5E8) and geometry:polygon", "not (area between 1e8 and 5e8)"),
-}
-for _name, (_text, _condition) in METRIC_FILTERS.items():
-    query(_name, f"{RING_LENGTH_SQL} select osm_id from m where {_condition}")(lambda s, d, text=_text: (lambda m: m.where(filters.parse(text).row(filters.State.of(m.columns))).select("osm_id"))(measured(s, d)))
-query("filter_geom_length", f"{SEGMENTS_SQL} select osm_id from len where length between 20000 and 90000")(
-    lambda s, d: (lambda m: m.where(filters.parse("length:(20000..90000)").row(filters.State.of(m.columns))).select("osm_id"))(P.lines(s, d).withColumn("length", geo.length_column(F.col("coords"))).withColumn("osm_type", F.lit("way")).withColumn("tags", F.create_map(F.lit("a"), F.lit("b"))))
-)
 CLIP = (8.2, 49.2, 8.7, 49.7)
 CLIP_SQL = f"""with {P.POINTS_SQL}, s as (select osm_id, lon as x, lat as y, lead(lon) over w - lon as dx, lead(lat) over w - lat as dy from points window w as (partition by osm_id order by i)),
 t as (select *, case when dx = 0 then case when x between {CLIP[0]} and {CLIP[2]} then 0 else 2 end else least(({CLIP[0]} - x) / dx, ({CLIP[2]} - x) / dx) end as ax, case when dx = 0 then 1 else greatest(({CLIP[0]} - x) / dx, ({CLIP[2]} - x) / dx) end as bx,
@@ -382,8 +420,6 @@ g as (select osm_id, radians((t1 - t0) * dx) as dl, atan({LENGTH_SHARE} * tan(ra
 l as (select osm_id, sum(sqrt(pow(dl * cos((y0 + y1) / 2), 2) + pow(y1 - y0, 2))) * {geo.RADIUS_MEAN} as length from g group by osm_id)
 select osm_id, round(coalesce(length, 0), 2) as length from (select distinct osm_id from points) left join l using (osm_id)"""
 query("aoi_clip_length", CLIP_SQL)(lambda s, d: P.lines(s, d).select("osm_id", band(geometry.clipped_length_column(F.col("coords"), CLIP)).alias("length")))
-query("geo_squareness", None)(lambda s, d: rings(s, d).select("osm_id", band(geometry.squareness_column(F.col("coords")), 6).alias("squareness")))
-query("multipolygon_assembly", None)(lambda s, d: geometry.multipolygons(rings(s, d).withColumn("role", F.when(F.col("osm_id") % 3 == 0, "inner").otherwise("outer")).withColumn("relation", F.floor(F.col("osm_id") / 8)), ["relation"]))
 WAY_GEOMETRY_SQL = f"""with {P.VERSIONS_SQL}, nodes as (select * from v where osm_type = 'node' and visible),
 r as (select osm_id, ts, unnest(case when event_id % 2 = 0 then [event_id * 7 % 50 * 3, event_id * 11 % 50 * 3, event_id * 13 % 50 * 3] else [event_id * 7 % 50 * 3, event_id * 11 % 50 * 3] end) as m from v where osm_type = 'way'),
 p as (select r.osm_id, r.ts, count(n.osm_id) as k from r left join nodes n on n.osm_id = r.m and n.ts <= r.ts and (n.valid_to is null or r.ts < n.valid_to) group by all)
