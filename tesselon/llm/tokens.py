@@ -7,8 +7,8 @@ only some libraries count as white space, whole texts go to the library.
 
 Where a vocabulary also lowers case, texts of Latin-1 characters alone are lowered first: no two of these compose to
 another, so composing and lowering may change places there (elsewhere they may not, and words are taken as they are
-written). Words of Latin-1 letters, and such words with one full stop or comma after them, skip the library's normalising
-and splitting, which would leave them as they are but for their case; this too is probed.
+written). Words of small Latin-1 letters, and such words with one full stop or comma after them, skip the library's
+normalising and splitting, which would leave them as they are; this too is probed.
 """
 
 from __future__ import annotations
@@ -20,10 +20,12 @@ from array import array
 from tesselon.llm import common
 
 ODD = re.compile(rb"[\x1c-\x1f]|<\|")
+# lower-case letters of ASCII and Latin-1, in UTF-8
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 BEYOND_LATIN_1 = re.compile(rb"[\xc4-\xff]")
-#: Words remembered by a worker, at most, and bytes of the longest of them: some 90 MB together. A word is remembered from the
+#: Words remembered by a worker, at most, and bytes of the longest of them: some 120 MB together. A word is remembered from the
 #: second time on that a word of its hash (of SEEN) is met.
-CACHE_WORDS, LONGEST, SEEN = 450_000, 64, 1 << 22
+CACHE_WORDS, LONGEST, SEEN = 600_000, 64, 1 << 22
 # Texts by which a vocabulary is probed: what may be cut at white space must give the same ids whole and in words.
 PROBES = ("a b", "The end. Of it,\tall\n\nof  it", "don't we'll I'm 's", "x1 2y 33", "\u00e9t\u00e9 STRASSE stra\u00dfe", "(so) -- it; \"is\" #1", " leading and trailing ", "\u4f60\u597d \u0416\u0416 \u0130. A\u030a b")
 
@@ -54,25 +56,23 @@ class Encoder:
         self.seen = bytearray(SEEN)
         self.cut = all(self.whole(t) == b"".join(map(self.whole, t.split())) for t in PROBES)
         self.lowers = self.cut and all(self.whole(t) == self.whole(t.lower()) for t in (*PROBES[:7], "".join(map(chr, range(0xA0, 0x100)))))
-        self.marks = {m: self.whole(m) for m in (".", ",")}
-        self.direct = all(self.word(w) == self.whole(w) for w in ("thandor", "étude", "straße", "ÜberÑ", "ÿª", "WORD"))
+        self.marks = {m.encode(): self.whole(m) for m in (".", ",")}
+        self.direct = all(self.word(w.encode()) == self.whole(w) for w in ("thandor", "étude", "straße", "überñ", "ÿ", "z"))
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def word(self, word: str) -> bytes:
-        """A word of Latin-1 letters, straight from the model."""
-        return array("I", [x.id for x in self.model.tokenize(word.lower().encode().decode("latin-1").translate(self.letters))]).tobytes()
+    def word(self, word: bytes) -> bytes:
+        """A word that matches LETTERS, straight from the model."""
+        return array("I", [x.id for x in self.model.tokenize(word.decode("latin-1").translate(self.letters))]).tobytes()
 
     def learn(self, word: bytes) -> bytes:
-        text = word.decode()
-        letters = text[:-1] if text[-1] in self.marks else text
-        if self.direct and letters.isalpha() and max(letters) < "\u0100":
-            ids = self.word(letters)
-            if len(letters) < len(text):
-                ids += self.marks[text[-1]]
+        mark = self.marks.get(word[-1:], b"")
+        letters = word[:-1] if mark else word
+        if self.direct and LETTERS.fullmatch(letters):
+            ids = (mark and self.known.get(letters) or self.word(letters)) + mark
         else:
-            ids = self.whole(text)
+            ids = self.whole(word.decode())
         at = hash(word) % SEEN
         if not self.seen[at]:
             self.seen[at] = 1

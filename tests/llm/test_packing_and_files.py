@@ -77,3 +77,40 @@ def test_empty_file(documents, spark):
     path = f"{common.shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     token_files.write_tokens(documents((1, "a")).limit(0), path)
     assert token_files.read_tokens(spark, path).count() == 0
+
+
+def test_token_at_reads_one_id(documents, spark, monkeypatch):
+    monkeypatch.setattr(token_files, "SEGMENT_IDS", 30)
+    rows = [(k, t) for k, t in enumerate(TEXTS)]
+    path = f"{common.shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write_tokens(documents(*rows), path)
+    ids = [i for r in token_files.read_tokens(spark, path).orderBy("start").collect() for i in np.frombuffer(bytes(r.ids), "<u4").tolist()]
+    for at in (0, 1, 29, 30, 31, len(ids) // 2, len(ids) - 1):
+        assert token_files.token_at(spark, path, at) == ids[at]
+    with pytest.raises(IndexError):
+        token_files.token_at(spark, path, len(ids))
+
+
+def test_fuzz_against_the_library(plain):
+    import random
+
+    e, rng = tokens.Encoder(tokens.default_path()), random.Random(3)
+    assert e.cut and e.lowers and e.direct
+    pool = list("abzAZIYi.,' !?0129-_<>|=\n\t") + ["'s", "'ll", "\u0307", "\u030a", "\u0338", "\u0345", "\u0130", "\u0131", "\u00df", "\u00e9", "\u0301", "\u00c9", "\u1e99", "\u00b5", "\u00aa", "\u03a3", "\u212b", "\u2126", "\u00a0", "\u3000", "\u0085", "\x1c", "\u1112", "\u1161", "\u0958", "\ufb01", "\u200d", "\U0001f600", "\u1fb3", "\u01e8", "\u212a"]
+    latin = [chr(c) for c in range(0x20, 0x100)] + ["a", "b", " "] * 20
+    for k in range(100_000):
+        text = "".join(rng.choice(latin if k % 3 == 0 else pool) for _ in range(rng.randrange(1, 12)))
+        assert np.frombuffer(e.encode([text.encode()])[0], "<u4").tolist() == plain(text), repr(text)
+
+
+def test_a_vocabulary_that_keeps_spaces_is_never_cut(documents):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    assert not tokens.Encoder(path).cut
+    text = "Some words,  and\nmore words."
+    got = packing.pack(documents((1, text)), tokenizer=path).collect()
+    ids = [i for p in sorted(got, key=lambda p: p.start) for i in np.frombuffer(p.ids, "<u4").tolist()]
+    assert ids == [*tok.encode(text, add_special_tokens=False).ids, 1]
