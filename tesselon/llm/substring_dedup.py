@@ -11,18 +11,24 @@ by the words that all its windows hold (29 or 30 of them, with the anchor at one
    but that no earlier document has as a whole, each of their windows is looked up among such windows.
    (Blocks that step 1 found are not needed as sources: the earliest block of the same words is one. Where all blocks of
    the same common words are equal, step 1 has found all there is.)
-3. Per document the found windows are walked in order and greedily extended, as long as source and document go on in
-   step, to factors (start, n_words, source, source_start). Their union is what the document repeats.
+3. Per document the matches found so are strung together where source and document go on in step, and the document is
+   parsed from left to right: at each position the match that reaches farthest becomes the next factor (start, n_words,
+   source, source_start), the parse goes on behind it, and words without a match are passed over. A factor that begins
+   within its match is checked at that boundary: it counts with the words before it that its source has too, and is a
+   duplicate span if these make `window` words. What all factors cover is what the document repeats.
 
-Only windows of 50 words or more thus become spans, and every such window of an earlier document is found: equal windows
-have equal anchors. Stretches are compared by 128 bits of hash.
+The lookups are joins on hashes, as no task could hold the reference: a match of `window` words or more holds a whole
+block of an earlier document or windows of its edge blocks, since equal windows have equal anchors. So every such match is
+found, and nothing shorter. Stretches are compared by two hashes of 64 bits over words that are hashed to 64 bits each.
 
 Rows: null text has no words. Rows with a null doc_id have no place in the order: they keep all words and are nobody's
-source. Rows that repeat a doc_id are no sources of each other. Empty tables stay empty.
+source. Rows that repeat a doc_id are no sources of each other. Empty tables stay empty; extra columns are ignored. Texts of
+any length are parsed whole. Ties: of matches that reach equally far the one with the least source counts.
 """
 
 from __future__ import annotations
 
+import heapq
 
 import numpy as np
 import pyarrow as pa
@@ -130,16 +136,32 @@ def factors(docs: DataFrame, window: int = 50) -> DataFrame:
     return whole.union(single).groupBy(*ROW).agg(F.collect_list(F.struct("start", "n_words", "source", "source_start")).alias("found"))
 
 
-def extend(found: list[dict]) -> list[tuple[int, int, int, int]]:
-    """Greedy factors: (start, n_words, source, source_start); a window extends the factor before it where both go on in step."""
-    out: list[list[int]] = []
-    for x in sorted((x["start"], -x["n_words"], x["source"], x["source_start"]) for x in found):
-        start, n, source, at = x[0], -x[1], x[2], x[3]
-        if out and out[-1][2] == source and at - start == out[-1][3] - out[-1][0] and start <= out[-1][0] + out[-1][1]:
-            out[-1][1] = max(out[-1][1], start + n - out[-1][0])
+def factorize(found: list[dict], window: int) -> list[tuple[int, int, int, int]]:
+    """The factors (start, n_words, source, source_start) of a document, in order and apart, from the matches found."""
+    matches: list[list[int]] = []  # source, shift, start, end
+    for source, shift, start, end in sorted((x["source"], x["source_start"] - x["start"], x["start"], x["start"] + x["n_words"]) for x in found):
+        if matches and matches[-1][:2] == [source, shift] and start <= matches[-1][3]:
+            matches[-1][3] = max(matches[-1][3], end)
         else:
-            out.append([start, n, source, at])
-    return [tuple(x) for x in out]
+            matches.append([source, shift, start, end])
+    matches.sort(key=lambda m: m[2])
+    out: list[tuple[int, int, int, int]] = []
+    open_: list[tuple[int, ...]] = []
+    at = k = 0
+    while k < len(matches) or open_:
+        while k < len(matches) and matches[k][2] <= at:
+            heapq.heappush(open_, (-matches[k][3], *matches[k]))
+            k += 1
+        if open_ and open_[0][4] > at:
+            _, source, shift, start, end = open_[0]
+            if end - start >= window:  # with the words before the boundary
+                out.append((at, end - at, source, at + shift))
+            at = end
+        elif open_:
+            open_.clear()  # none reaches beyond
+        else:
+            at = matches[k][2]
+    return out
 
 
 def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
@@ -150,7 +172,7 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
             texts, n_words, n_removed, spans = [], [], [], []
             for text, found in zip(common.raw(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 words = (text or b"").split()
-                parts = extend(found or ())
+                parts = factorize(found or (), window)
                 gone = np.zeros(len(words), bool)
                 for start, n, _, _ in parts:
                     gone[start : start + n] = True

@@ -78,3 +78,20 @@ def test_whole_table_against_sql(spark):
 def test_digest_is_of_kept_words(spark):
     r = substring_dedup.op1_substring_dedup(spark, "/root/testdata/sf0.001").first()
     assert len(r.kept_sha256) == len(hashlib.sha256(b"").hexdigest())
+
+
+def test_greedy_parse():
+    match = lambda start, n, source, at: {"start": start, "n_words": n, "source": source, "source_start": at}
+    # two matches that overlap: the second factor begins at the boundary and counts with the words before it
+    assert substring_dedup.factorize([match(0, 60, 1, 5), match(40, 55, 2, 0)], 50) == [(0, 60, 1, 5), (60, 35, 2, 20)]
+    # in step they are one; one inside another is passed over; the farthest wins
+    assert substring_dedup.factorize([match(0, 50, 1, 0), match(1, 50, 1, 1), match(10, 50, 1, 10)], 50) == [(0, 60, 1, 0)]
+    assert substring_dedup.factorize([match(3, 80, 1, 0), match(10, 50, 2, 0)], 50) == [(3, 80, 1, 0)]
+    assert substring_dedup.factorize([match(3, 50, 4, 0), match(3, 70, 9, 0), match(100, 50, 1, 7)], 50) == [(3, 70, 9, 0), (100, 50, 1, 7)]
+    assert substring_dedup.factorize([], 50) == []
+
+
+def test_very_long_text(documents):
+    text = " ".join(f"w{i * i % 7919}" for i in range(60_000))
+    rows = [(1, " ".join(text.split()[500:9_000])), (2, text), (3, text + " x")]
+    assert got(documents(*rows), 50) == brute(rows, 50)
