@@ -25,6 +25,7 @@ import math
 import re
 from collections import Counter
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -35,11 +36,14 @@ from pyspark.sql import functions as F
 from tesselon.llm import common
 from tesselon.llm.langid import held_out
 
+#: Of words, and of their shapes.
 BUCKETS = 1 << 18
 SAMPLE = 4000
 SAMPLE_BYTES = 24 << 20
 #: For bad and good documents: the chance of a bad vote that is expected of a labeller, and of how many documents this weighs.
 PRIOR, PRIOR_DOCUMENTS = (0.3, 0.01), 10.0
+#: Words remembered by a worker.
+CACHE_WORDS = 300_000
 ROUNDS, EPOCHS, RATE, SEED = 60, 6, 4.0, 3
 SYMBOLS = np.frombuffer(rb"#$%&*=@^_~<>|{}\[]", np.uint8)
 # Words that no clean text is made of.
@@ -55,34 +59,77 @@ LABELLERS = ("length", "symbols", "symbol_runs", "letters", "bare_symbols", "cas
 QUALITY, TOXIC = range(14), range(14, 17)
 
 
-class Stems(dict):
-    """Toxic stems by language with the share of words that decides: languages by number of those whose stems a word holds."""
+class Words(dict):
+    """What is to be known of a word, in one number: buckets of the word and of its shape, whether it is rude, and the set of languages whose toxic stems it holds.
 
-    def __init__(self, learned: dict[str, tuple[list[str], float]] | None = None):
+    stems: by language the learned stems and the share of words holding one above which a text is toxic.
+    """
+
+    def __init__(self, stems: dict[str, tuple[list[str], float]] | None = None):
         super().__init__()
-        self.learned = {k: v for k, v in (learned or {}).items() if v[0]}
-        self.found = [re.compile("|".join(map(re.escape, stems))).search for stems, _ in self.learned.values()]
+        self.learned = {k: v for k, v in (stems or {}).items() if v[0]}
+        self.sets: list[int] = [0]  # the sets of languages that words hold stems of, each as bits
+        self.number = {0: 0}
+        self.shapes: dict[bytes, int] = {}
+        self.automaton = None
+        if self.learned:
+            of: dict[str, int] = {}
+            for k, (found, _) in enumerate(self.learned.values()):
+                for stem in found:
+                    of[stem] = of.get(stem, 0) | 1 << k
+            self.automaton = ahocorasick.Automaton()
+            for stem, bits in of.items():
+                self.automaton.add_word(stem, bits)
+            self.automaton.make_automaton()
 
     def __reduce__(self):
-        return Stems, (self.learned,)
+        return Words, (self.learned,)
 
     def __missing__(self, word: bytes) -> int:
-        lower = word.decode(errors="ignore").lower()
-        x = self[word] = sum(1 << k for k, search in enumerate(self.found) if search(lower))
+        lower = word.lower()
+        pattern = word.translate(SHAPE)
+        shape = self.shapes.get(pattern)
+        if shape is None:
+            shape = xxhash.xxh3_64_intdigest(b"\0" + RUN.sub(rb"\1", pattern)) % BUCKETS << 18
+            if len(self.shapes) < 100_000:
+                self.shapes[pattern] = shape
+        x = xxhash.xxh3_64_intdigest(lower) % BUCKETS | shape
+        if len(word) < 16 and lower.strip(b".,!?#$%&*|") in RUDE:
+            x |= 1 << 36
+        if self.automaton is not None:
+            text = lower.decode(errors="ignore")
+            bits = 0
+            for _, more in self.automaton.iter(text if text.isascii() else text.lower()):
+                bits |= more
+            if bits:
+                if bits not in self.number:
+                    self.number[bits] = len(self.sets)
+                    self.sets.append(bits)
+                x |= self.number[bits] << 37
+        if len(word) <= 64:
+            self[word] = x
         return x
 
-    def judge(self, kinds: Counter, n: int) -> tuple[bool, bool]:
-        """Whether the share of words with a stem of some language is a toxic text's, and whether two different words hold one. kinds: how often each of the n words stands there."""
-        if not self.learned:
-            return False, False
-        if len(self) > common.CACHE_WORDS:
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > CACHE_WORDS:
             self.clear()
-        held = [(x, k) for w, k in kinds.items() if (x := self[w])]
-        shares = (sum(k for x, k in held if x >> i & 1) / (n + SMOOTH) > least for i, (_, least) in enumerate(self.learned.values()))
-        return any(shares), any(sum(x >> i & 1 for x, _ in held) > 1 for i in range(len(self.learned)))
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def judge(self, at: np.ndarray) -> tuple[bool, bool]:
+        """Of a text's words: whether the share of those with a stem of some language is a toxic text's, and whether two different ones hold one."""
+        if not self.learned or not len(held := at[at >> 37 > 0]):
+            return False, False
+        kinds, times = np.unique(held, return_counts=True)
+        sets = [self.sets[k] for k in (kinds >> 37).tolist()]
+        toxic = two = False
+        for k, (_, least) in enumerate(self.learned.values()):
+            mine = [n for x, n in zip(sets, times.tolist(), strict=True) if x >> k & 1]
+            toxic = toxic or sum(mine) / (len(at) + SMOOTH) > least
+            two = two or len(mine) > 1
+        return toxic, two
 
     def toxic(self, words: list[bytes]) -> bool:
-        return self.judge(Counter(words), len(words))[0]
+        return self.judge(self.of(words))[0]
 
 
 def _pieces(word: str) -> set[str]:
@@ -138,7 +185,7 @@ def learn_stems(toxic: list[str], other: list[str], foreign: list[str] = ()) ->
     return (stems, least) if least > 0 else ([], 1.0)
 
 
-def fit_stems(docs: DataFrame, labels: DataFrame) -> Stems:
+def fit_stems(docs: DataFrame, labels: DataFrame) -> Words:
     """Stems of every language with enough labelled toxic documents that are not held out."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     tongue = F.coalesce("lang", F.lit("")) if "lang" in docs.columns else F.lit("")
@@ -147,7 +194,7 @@ def fit_stems(docs: DataFrame, labels: DataFrame) -> Stems:
     counts = {(r["lang"], r["toxic"]): r["n"] for r in ids.groupBy("lang", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows per language
     counts = {k: n for k, n in counts.items() if counts.get((k[0], 1), 0) >= MIN_TOXIC}
     if not counts:
-        return Stems()
+        return Words()
     # as in langid.fit: a share by a hash of the id that leaves about twice as many rows as are wanted, then the first of them
     share = F.create_map(*[x for (lang, y), n in counts.items() for x in (F.lit(f"{y}{lang}"), F.lit(min(1.0, 2.0 * LEARNED[y] / n + 50 / n)))])
     some = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.concat("toxic", "lang")] * (1 << 20))
@@ -159,9 +206,12 @@ def fit_stems(docs: DataFrame, labels: DataFrame) -> Stems:
     for r in rows:
         by.setdefault((r["lang"], r["toxic"]), []).append(r["text"])
     known = sorted({lang for lang, _ in by})
-    return Stems({lang: learn_stems(by[lang, 1], by.get((lang, 0), []), [t for x in known if x != lang for t in by.get((x, 0), [])]) for lang in known if (lang, 1) in by})
+    return Words({lang: learn_stems(by[lang, 1], by.get((lang, 0), []), [t for x in known if x != lang for t in by.get((x, 0), [])]) for lang in known if (lang, 1) in by})
 
 
+POWERS = [3**k for k in range(len(LABELLERS))]
+SHAPE = bytes(0x61 if 97 <= b <= 122 or b >= 128 else 0x41 if 65 <= b <= 90 else 0x39 if 48 <= b <= 57 else b for b in range(256))
+RUN = re.compile(rb"(.)\1+", re.S)
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 CAPITAL = np.zeros(256, bool)
@@ -170,51 +220,61 @@ SYMBOL = np.zeros(256, bool)
 SYMBOL[SYMBOLS] = True
 
 
-def votes(text: str | None, stems: Stems | None = None) -> list[int]:
+def votes(text: str | None, table: Words | None = None) -> list[int]:
     """One vote per labeller: 1 good, 2 bad, 0 nothing."""
+    return _judged(text, Words() if table is None else table)[0]
+
+
+def _judged(text: str | None, table: Words) -> tuple[list[int], np.ndarray]:
+    """The votes and the words' numbers."""
     raw = (text or "").encode()
     words = raw.split()
     n = len(words)
+    at = table.of(words)
     if not n:
-        return [2, *[0] * (len(LABELLERS) - 1)]
+        return [2, *[0] * (len(LABELLERS) - 1)], at
     data = np.frombuffer(raw, np.uint8)
     count = np.bincount(data, minlength=256)
-    symbol, starts = SYMBOL[data], np.concatenate([[True], SPACES[data[:-1]]])
-    upper = int(count[65:91].sum()) + int(((data[:-1] == 0xC3) & (data[1:] < 0x9F)).sum())  # A-Z, and Latin-1 capitals
+    upper = int(count[65:91].sum()) + (int(((data[:-1] == 0xC3) & (data[1:] < 0x9F)).sum()) if count[0xC3] else 0)  # A-Z, and Latin-1 capitals
     letters = int(count[65:91].sum() + count[97:123].sum() + count[0xC0:].sum())  # other letters by their first byte
     shown = int(len(data) - count[SPACES].sum() - count[0x80:0xC0].sum())
-    runs = int((symbol[1:] & (data[1:] == data[:-1])).sum())
-    lone = int((symbol & starts & np.append(SPACES[data[1:]], True)).sum())
-    initials = int((CAPITAL[data] & starts).sum())
-    lines = raw.split(b"\n")
-    same = sum(map(bytes.__eq__, words, words[1:]))
-    kinds = Counter(words)
-    rude = sum(k for w, k in kinds.items() if len(w) < 16 and w.strip(b".,!?#$%&*|").lower() in RUDE)
-    toxic, stem_words = stems.judge(kinds, n) if stems is not None else (False, False)
+    symbols = int(count[SYMBOLS].sum())
+    runs = lone = initials = 0
+    if symbols > 0.1 * n:  # fewer decide nothing
+        symbol = SYMBOL[data]
+        before, after = np.concatenate([[True], SPACES[data[:-1]]]), np.append(SPACES[data[1:]], True)
+        runs, lone = int((symbol[1:] & (data[1:] == data[:-1])).sum()), int((symbol & before & after).sum())
+    if upper > 0.4 * n:
+        initials = int((CAPITAL[data] & np.concatenate([[True], SPACES[data[:-1]]])).sum())
+    kinds = np.unique(at & BUCKETS - 1, return_counts=True)[1]
+    lines = raw.split(b"\n") if count[10] > 2 else ()
+    ends = int(count[33] + count[46] + count[63])
+    toxic, two_words = table.judge(at)
     bad = lambda x, most: 2 if x > most else 0
-    return [
+    cast = [
         2 if n < 3 else 1 if n >= 20 else 0,
-        bad(int(symbol.sum()) / n, 0.3),
+        bad(symbols / n, 0.3),
         bad(runs / n, 0.15),
         bad(1 - (letters + int(count[48:58].sum())) / shown, 0.25) if n >= 10 else 0,
         bad(lone / n, 0.1),
         bad(upper / max(1, letters), 0.4) if letters > 20 else 0,
         bad(initials / n, 0.5) if n >= 10 else 0,
         bad(int(count[33]) / n, 0.3) if n >= 5 else 0,
-        bad(same / max(1, n - 1), 0.3) if n >= 10 else 0,
+        bad(int((at[1:] == at[:-1]).sum()) / max(1, n - 1), 0.3) if n >= 10 else 0,
         bad(2.0, len(kinds) / n**0.5) if n >= 20 else 0,
-        bad(max(kinds.values()) / n, 0.3) if n >= 10 else 0,
+        bad(int(kinds.max()) / n, 0.3) if n >= 10 else 0,
         bad(1 - len(set(lines)) / len(lines), 0.4) if len(lines) >= 4 else 0,
-        (1 if 0.03 <= int(count[[33, 46, 63]].sum()) / n <= 0.3 else 2 if int(count[[33, 46, 63]].sum()) / n < 0.01 else 0) if n >= 20 else 0,
+        (1 if 0.03 <= ends / n <= 0.3 else 2 if ends / n < 0.01 else 0) if n >= 20 else 0,
         1 if 3 <= letters / n <= 10 else 2 if letters / n < 1.5 or letters / n > 20 else 0,
-        bad(rude, 1),
+        bad(int((at >> 36 & 1).sum()), 1),
         2 * toxic,
-        2 * stem_words,
+        2 * two_words,
     ]
+    return cast, at
 
 
 def pattern(vote: list[int]) -> int:
-    return int(sum(v * 3**k for k, v in enumerate(vote)))
+    return sum(v * p for v, p in zip(vote, POWERS, strict=True))
 
 
 def label_model(counts: dict[int, int], labellers: range) -> tuple[float, np.ndarray, dict[int, float]]:
@@ -244,33 +304,25 @@ def posteriors(counts: dict[int, int]) -> dict[int, float]:
     return {p: good[p] * clean[p] for p in counts}
 
 
-class Features(dict):
-    """Buckets of a word (upper half) and of its shape (lower half)."""
+def features(at: np.ndarray, toxic: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a text's words (upper half) and shapes (lower half), and their weights."""
+    n = len(at)
+    same = int((at[1:] == at[:-1]).sum()) / max(1, n - 1)
+    (words, times), (shapes, more) = (np.unique(x, return_counts=True) for x in (at & BUCKETS - 1, at >> 18 & BUCKETS - 1))
+    v = np.sqrt(np.concatenate([times, more]) / max(1, n))
+    v /= max(1e-9, float(np.sqrt(v @ v)))
+    extra = [2 * BUCKETS, 2 * BUCKETS + 1, 2 * BUCKETS + 2, 2 * BUCKETS + 3]
+    return np.concatenate([words + BUCKETS, shapes, extra]), np.append(v, [1.0, same, min(1.0, n / 20), float(toxic)])
 
-    def __missing__(self, word: bytes) -> int:
-        shape = re.sub(rb"(.)\1+", rb"\1", re.sub(rb"[0-9]", b"9", re.sub(rb"[a-z\x80-\xff]", b"a", re.sub(rb"[A-Z]", b"A", word))))
-        x = self[word] = xxhash.xxh3_64_intdigest(word.lower()) % BUCKETS << 32 | xxhash.xxh3_64_intdigest(b"\0" + shape) % BUCKETS
-        return x
 
-    def of(self, text: str | None, toxic: bool) -> tuple[np.ndarray, np.ndarray]:
-        if len(self) > common.CACHE_WORDS:
-            self.clear()
-        words = (text or "").encode().split()
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        same = int((at[1:] == at[:-1]).sum()) / max(1, len(words) - 1)
-        buckets, n = np.unique(np.concatenate([at >> 32, at & 0xFFFFFFFF]), return_counts=True)
-        v = np.sqrt(n / max(1, len(words)))
-        v = v / max(1e-9, np.linalg.norm(v))
-        return np.append(buckets, [BUCKETS, BUCKETS + 1, BUCKETS + 2, BUCKETS + 3]), np.append(v, [1.0, same, min(1.0, len(words) / 20), float(toxic)])
-
-
-def train(rows: list[tuple[str | None, bool, float]]) -> np.ndarray:
-    w, features, rng = np.zeros(BUCKETS + 4), Features(), np.random.default_rng(SEED)
-    xs = [(*features.of(t, toxic), y) for t, toxic, y in rows]
+def train(rows: list[tuple[np.ndarray, bool, float]]) -> np.ndarray:
+    """Weights by logistic loss from (the words' numbers, whether a toxic vote fell, the posterior)."""
+    w, rng = np.zeros(2 * BUCKETS + 4), np.random.default_rng(SEED)
+    xs = [(*features(at, toxic), y) for at, toxic, y in rows]
     for epoch in range(EPOCHS):
         for i in rng.permutation(len(xs)):
             at, v, y = xs[i]
-            p = 1 / (1 + np.exp(-np.clip(w[at] @ v, -30, 30)))
+            p = 1 / (1 + math.exp(-min(30.0, max(-30.0, float(w[at] @ v)))))
             w[at] += RATE / (1 + epoch) * (y - p) * v / 3
     return w.astype(np.float32)
 
@@ -279,11 +331,11 @@ def score_documents(docs: DataFrame, sample: int = SAMPLE, labels: DataFrame | N
     """One row per document: doc_id, votes (array of 0, 1, 2), posterior, score (0 to 1), keep (score of at least 0.5)."""
     spark = docs.sparkSession
     common.tune(spark)
-    stems = fit_stems(docs, labels) if labels is not None else Stems()
+    table = fit_stems(docs, labels) if labels is not None else Words()
 
     def count(batches):
         for batch in batches:
-            p, n = np.unique([pattern(votes(t, stems)) for t in batch.column(0).to_pylist()], return_counts=True)
+            p, n = np.unique([pattern(votes(t, table)) for t in batch.column(0).to_pylist()], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(n, pa.int64())], names=["pattern", "n"])
 
     counts = {r["pattern"]: r["n"] for r in docs.select("text").mapInArrow(common.lean(count), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()}  # at most as many rows as patterns
@@ -293,20 +345,20 @@ def score_documents(docs: DataFrame, sample: int = SAMPLE, labels: DataFrame | N
     rows = some.select("doc_id", "text", F.octet_length("text").alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample)
     upto = F.sum(F.coalesce("size", F.lit(0))).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", "text"))  # of at most `sample` rows
     rows = rows.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES).collect()  # bounded by sample and SAMPLE_BYTES
-    cast = [votes(r["text"], stems) for r in rows]
-    w = train([(r["text"], 2 in v[-3:-1], posterior[pattern(v)]) for r, v in zip(rows, cast, strict=True)])
+    judged = [_judged(r["text"], table) for r in rows]
+    w = train([(at, 2 in v[-3:-1], posterior[pattern(v)]) for v, at in judged])
     sent = spark.sparkContext.broadcast((w, posterior))  # a fixed number of weights, a posterior for each pattern
 
     def run(batches):
-        features, (w, posterior) = Features(), sent.value
+        w, posterior = sent.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            cast = [votes(t, stems) for t in texts]
-            score = []
-            for t, vote in zip(texts, cast, strict=True):
-                at, v = features.of(t, 2 in vote[-3:-1])
-                score.append(float(1 / (1 + np.exp(-np.clip(w[at] @ v, -30, 30)))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cast, pa.list_(pa.int32())), pa.array([posterior[pattern(v)] for v in cast], pa.float64()), pa.array(score, pa.float64()), pa.array([s >= 0.5 for s in score], pa.bool_())], names=["doc_id", "votes", "posterior", "score", "keep"])
+            casts, score = [], []
+            for t in batch.column(1).to_pylist():
+                vote, words = _judged(t, table)
+                at, v = features(words, 2 in vote[-3:-1])
+                casts.append(vote)
+                score.append(1 / (1 + math.exp(-min(30.0, max(-30.0, float(w[at] @ v))))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(casts, pa.list_(pa.int32())), pa.array([posterior[pattern(v)] for v in casts], pa.float64()), pa.array(score, pa.float64()), pa.array([s >= 0.5 for s in score], pa.bool_())], names=["doc_id", "votes", "posterior", "score", "keep"])
 
     return docs.select("doc_id", "text").mapInArrow(common.lean(run), "doc_id long, votes array<int>, posterior double, score double, keep boolean")
 
