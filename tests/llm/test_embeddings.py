@@ -74,3 +74,13 @@ def test_plan_reaches_recall():
     for n in (100, 10**5, 10**9):
         k, tables = E.plan(n, 0.98)
         assert 1 - (1 - E.collision(0.2) ** k) ** tables >= 0.99
+
+
+def test_exact_mode_misses_nothing(spark, monkeypatch):
+    monkeypatch.setattr(E, "PART", 20)
+    monkeypatch.setattr(E, "MISS", 0.9)
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((3, 16))
+    rows = [(i, (base[i % 3] + rng.standard_normal(16) * 0.1).astype(np.float32).tolist(), i % 2) for i in range(150)] + [(200, [1.0, 2.0], 0), (201, [1.0, 2.1], 0)]
+    have = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in E.near_vectors(frame(spark, rows), exact=True).collect())
+    assert have == brute(rows)

@@ -38,3 +38,57 @@ def test_columns_that_clash_are_replaced(documents):
 
     df = documents((1, "some text")).withColumn("score", F.lit("old"))
     assert langid.identify(df, langid.Model([])).first().score == 0.0
+
+
+def test_short_texts_teach_and_bytes_are_bounded(documents, monkeypatch):
+    rows = [(k, f"le {k}", "fr") for k in range(30)] + [(100 + k, f"the house and the dog {k}", "en") for k in range(30)]
+    assert langid.fit(documents(*rows)).languages == ["en", "fr"]
+    monkeypatch.setattr(langid, "LANGUAGE_BYTES", 60)
+    assert langid.fit(documents(*rows)).languages == ["en", "fr"]
+
+
+def test_prediction_against_brute_force(spark):
+    """Votes of machines taken one by one over features in plain dictionaries."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.fit(docs)
+    for r in docs.collect():
+        text = r.text
+        if not text or not any(c.isalpha() for c in text):
+            assert model.predict(text) == ("und", 0.0)
+            continue
+        cleaned = "".join(c if c.isalpha() else " " for c in text.lower())
+        data = (" " + " ".join(cleaned.split()) + " ").encode()
+        count = {}
+        for n in langid.ORDERS:
+            for i in range(len(data) - n + 1):
+                h = 0
+                for k in range(n):
+                    h = (h + data[i + k] + 1) * int(langid.MULTIPLY[k]) & 0xFFFFFFFF
+                    h ^= h >> 15
+                at = (h * 0x2C1B3C6D & 0xFFFFFFFF) >> 16
+                count[at] = count.get(at, 0) + 1
+        size = sum(count.values()) ** 0.5
+        margin = [sum(count[at] ** 0.5 / size * float(model.weights[at, m]) for at in count) + float(model.weights[-1, m]) for m in range(len(model.machines))]
+
+        def best(kind, names, margin=margin):
+            score = {x: [0, 0.0] for x in names}
+            for (k, a, b), v in zip(model.machines, margin, strict=True):
+                if k == kind and a in score and b in score:
+                    score[a if v >= 0 else b][0] += 1
+                    score[a][1] += v
+                    score[b][1] -= v
+            return max(names, key=lambda x: score[x])
+
+        family = model.families[best("f", list(range(len(model.families))))]
+        assert model.predict(text)[0] == best("l", family)
+
+
+def test_rejection(spark, documents):
+    model = langid.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    other = "\u041f\u0440\u0438\u0432\u0435\u0442 \u043c\u0438\u0440, \u044d\u0442\u043e \u043e\u0431\u044b\u0447\u043d\u044b\u0439 \u0440\u0443\u0441\u0441\u043a\u0438\u0439 \u0442\u0435\u043a\u0441\u0442 \u043e \u043f\u043e\u0433\u043e\u0434\u0435 \u0438 \u043b\u044e\u0434\u044f\u0445"
+    own = spark.read.parquet(f"{SF}/documents.parquet").where("n_chars > 300").first().text
+    rows = langid.identify(documents((1, other), (2, own), (3, None), (4, "12"), (5, "a")), model)
+    assert {r.doc_id for r in rows.where(~langid.is_rejected(model, "text", "lang_pred", "score")).collect()} == {2, 5}
+    none = langid.Model([])
+    rows = langid.identify(documents((1, other), (3, None), (4, "12"), (5, "a")), none)
+    assert {r.doc_id for r in rows.where(~langid.is_rejected(none, "text", "lang_pred", "score")).collect()} == {1, 5}

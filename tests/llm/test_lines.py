@@ -71,3 +71,31 @@ def test_minimal_perfect_hash():
         assert found.all() and (count == np.arange(len(h))).all() and (last == -np.arange(len(h))).all()
         assert not s.probe(h, f + np.uint64(1))[0].any()
         assert not s.probe(rng.integers(0, 1 << 63, 50).astype(np.uint64), np.zeros(50, np.uint64))[0].any()
+
+
+def test_keys_of_one_hash_are_told_apart(documents, monkeypatch):
+    whole = L.hashes
+    monkeypatch.setattr(L, "hashes", lambda key: (whole(key)[0] % 3, whole(key)[1]))
+    h, f = np.array([7, 7, 9], np.uint64), np.array([1, 2, 3], np.uint64)
+    shard = L.Shard(L.build_shard(h, f, np.array([3, 4, 5]), np.array([10, 20, 30])))
+    found, count, last = shard.probe(np.array([7, 7, 9, 7], np.uint64), np.array([2, 1, 3, 5], np.uint64))
+    assert found.tolist() == [True, True, True, False] and count[:3].tolist() == [4, 3, 5] and last[:3].tolist() == [20, 10, 30]
+
+
+@pytest.mark.parametrize("send", [L.SEND_BYTES, -1])
+def test_clashing_names_and_a_very_long_text(documents, send):
+    from pyspark.sql import functions as F
+
+    long_text = "\n".join(f"line number {i % 5000} of a long text" for i in range(20_000))
+    rows = [*ROWS, (30, long_text), (31, long_text)]
+    docs = documents(*rows).withColumns({c: F.lit("mine") for c in ("__gone", "gone", "gone_", "h", "f", "doc", "shard", "salt", "payload", "column0")})
+    out = L.drop_lines(docs, min_docs=2, send_bytes=send).collect()
+    assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text or "") for r in out), key=str) == brute(rows, min_docs=2)
+    assert all(r["__gone"] == r["gone"] == r["doc"] == r["salt"] == "mine" for r in out)
+
+
+def test_packs_are_bounded(documents, monkeypatch):
+    monkeypatch.setattr(L, "SHARD_KEYS", 1)
+    monkeypatch.setattr(L, "HELD", 5)
+    monkeypatch.setattr(L, "PACK", 2)
+    assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text or "") for r in L.drop_lines(documents(*ROWS), send_bytes=-1).collect()), key=str) == brute(ROWS)

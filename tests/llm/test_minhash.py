@@ -85,3 +85,48 @@ def test_keep_one(documents):
     text = " ".join(f"t{i}" for i in range(40))
     kept = minhash.keep_one(documents((3, text), (1, text + " x"), (1, text + " x"), (2, "other words here"), (None, text), (4, None)))
     assert sorted(((r.doc_id, r.value) for r in kept.collect()), key=str) == [(1, "x"), (2, "x"), (4, "x"), (None, "x")]
+
+
+def test_keep_one_judges_rows_of_one_id_by_their_texts(documents):
+    from pyspark.sql import functions as F
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    docs = documents((1, a), (5, a + " x"), (5, b), (5, c), (5, c + " y"), (None, a), (None, a), (7, ""), (7, ""), (7, None))
+    docs = docs.withColumns({n: F.lit("mine") for n in ("__n", "column1", "key", "group", "text_key", "place", "digest")})
+    kept = minhash.keep_one(docs)
+    assert kept.columns == docs.columns and {r["key"] for r in kept.collect()} == {"mine"}
+    got = sorted((str(r.doc_id), (r.text or str(r.text))[:2]) for r in kept.collect())
+    assert got == [("1", "a0"), ("5", "b0"), ("5", "c0"), ("7", ""), ("7", "No"), ("None", "a0"), ("None", "a0")]
+
+
+def test_a_list_far_longer_than_a_part(documents, monkeypatch):
+    """Near copies whose similarities lie around the bound, so that lists hold many components, beside a passage that many share."""
+    monkeypatch.setattr(minhash, "PART", 16)
+    monkeypatch.setattr(minhash, "BLOCK", 12)
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(500)]
+    base, passage = ([rng.choice(words) for _ in range(n)] for n in (90, 60))
+    rows = []
+    for d in range(260):
+        t = list(base)
+        for _ in range(rng.choice([1, 3, 4, 5, 6])):
+            t[rng.randrange(len(t))] = rng.choice(words)
+        rows.append((d, " ".join(t)))
+    for d in range(300, 420):
+        rows.append((d, " ".join(passage + [rng.choice(words) for _ in range(40)])))
+    have, want = got(documents(*rows)), brute(rows)
+    assert 10 < len({r[2] for r in want if r[0] < 260}) < 250
+    assert have == want
+
+
+def test_very_long_texts(documents, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 10_000)
+    monkeypatch.setattr(minhash, "PART", 2)
+    words = [f"w{i * i % 9973}" for i in range(30_000)]
+    rows = [(k, " ".join(words[: 30_000 - 100 * k])) for k in range(6)] + [(9, " ".join(words[:9_000]))]
+    assert got(documents(*rows)) == brute(rows)
+
+
+def test_prefix_meets_what_agrees_enough():
+    t = minhash.agreeing(75)
+    assert 8 <= t <= 16 and minhash.agreeing(100) == minhash.POSTED and minhash.agreeing(1) == 1
