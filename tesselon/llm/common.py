@@ -60,6 +60,20 @@ def drop(df: DataFrame) -> None:
         _written[:] = [x for x in _written if x[1] != path]
 
 
+def written() -> set[str]:
+    """The paths of all saved tables that are still there."""
+    return {path for _, path in _written}
+
+
+def tidy(before: set[str], *keep: DataFrame) -> None:
+    """Delete the tables saved since `before`, but for those that something will read again."""
+    keep_paths = {getattr(df, "_saved_at", None) for df in keep}
+    for spark, path in list(_written):
+        if path not in before and path not in keep_paths:
+            _delete(spark, path)
+            _written.remove((spark, path))
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)

@@ -142,6 +142,7 @@ def check_blocks(cosine: float):
 def near_vectors(vectors: DataFrame, cosine: float = 0.98, exact: bool = False) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     common.tune(vectors.sparkSession)
+    before = common.written()
     k, tables = (0, 1) if exact else plan(vectors.count(), cosine)
     rows = common.save(hashed(vectors, k, tables, exact), "vectors")
     reps = rows.where("digest is not null and vec_id is not null").groupBy("label", "digest").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("unit").alias("unit"), F.first("keys").alias("keys"))
@@ -166,6 +167,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, exact: bool = False)
     labels = graph.components(found.where("b is not null").select("a", "b"))
     classes = reps.select("label", "digest", "rep", "weight", "id").join(links.withColumnRenamed("a", "id"), "id", "left").join(labels.withColumnRenamed("node", "id"), "id", "left")
     classes = common.save(classes.withColumn("component", F.coalesce("component", "id")), "class-links")
+    common.tidy(before, rows, classes)
     least = classes.groupBy("component").agg(F.min("rep").alias("component_id"))
     done = classes.join(least, "component").select("label", "digest", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.col("component_id").alias("c"))
     out = rows.select("vec_id", "label", "digest").join(done, ["label", "digest"], "left")
@@ -177,7 +179,7 @@ def op3_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-#: All pairs of a label; the hashing above may miss 2 in 1000 of those right at the threshold.
+#: All pairs of a label; the hashing above may miss 1 in 2000 of those right at the threshold.
 OP3_SQL = r"""
 with recursive unit as (
   select row_number() over () as r, vec_id, label, embedding::double[] as v from embeddings

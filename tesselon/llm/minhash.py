@@ -351,7 +351,7 @@ def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
 def _grouped(docs: DataFrame, percent: int) -> DataFrame:
     """near_groups with text_key and a column more, group: what the rows of a component have in common; null of an empty set."""
     common.tune(docs.sparkSession)
-    least = threshold(percent)
+    least, before = threshold(percent), common.written()
     signed = common.save(signatures(docs), "signatures")
     one = lambda c: F.first(c).alias(c)
     classes = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc"), one("n_shingles"), one("posted"), one("matches"))
@@ -384,6 +384,7 @@ def _grouped(docs: DataFrame, percent: int) -> DataFrame:
 
     smallest = classes.join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "doc", F.coalesce("component", "digest").alias("component"))
     smallest = common.save(smallest, "class-components")
+    common.tidy(before, signed, smallest)
     least_doc = smallest.groupBy("component").agg(F.min("doc").alias("component_id"))
     of_class = smallest.join(least_doc, "component").select("digest", F.col("component_id").alias("c"), F.col("component").alias("group"))
     out = signed.select("doc_id", "text_key", "n_shingles", "digest").join(of_class, "digest", "left")

@@ -85,7 +85,7 @@ def test_prediction_against_brute_force(spark):
 
 def test_rejection(spark, documents):
     model = langid.fit(spark.read.parquet(f"{SF}/documents.parquet"))
-    other = "\u041f\u0440\u0438\u0432\u0435\u0442 \u043c\u0438\u0440, \u044d\u0442\u043e \u043e\u0431\u044b\u0447\u043d\u044b\u0439 \u0440\u0443\u0441\u0441\u043a\u0438\u0439 \u0442\u0435\u043a\u0441\u0442 \u043e \u043f\u043e\u0433\u043e\u0434\u0435 \u0438 \u043b\u044e\u0434\u044f\u0445"
+    other = "Αυτό είναι ένα κανονικό ελληνικό κείμενο για τον καιρό και τους ανθρώπους. " * 3
     own = spark.read.parquet(f"{SF}/documents.parquet").where("n_chars > 300").first().text
     rows = langid.identify(documents((1, other), (2, own), (3, None), (4, "12"), (5, "a")), model)
     assert {r.doc_id for r in rows.where(~langid.is_rejected(model, "text", "lang_pred", "score")).collect()} == {2, 5}

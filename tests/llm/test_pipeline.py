@@ -40,11 +40,14 @@ def test_edges_and_clashing_columns(spark, documents, tmp_path):
     rows = [(k, text(), "en") for k in range(20)] + [(100, None), (101, ""), (102, "1 2 3"), (None, text(), "en"), (5, text(), "fr"), (103, "x " * 3000)]
     spark.createDataFrame([(1, "some benchmark item of a few words")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs = documents(*rows).withColumn("__x", F.lit(1)).withColumn("score", F.lit("s")).withColumn("n_dropped", F.lit(9)).withColumn("digest", F.lit("d")).withColumn("component", F.lit(0))
+    clashing = ("__lines", "__dropped", "__lang", "__score", "__n", "__gone", "lines_before", "lines_dropped", "lang_found", "lang_score", "gone", "column1", "key", "group", "place")
+    docs = docs.withColumns({c: F.lit(f"my {c}") for c in clashing})
     for name, stage in P.STAGES[:-1]:
         out = stage(spark, docs, str(tmp_path)).cache()
         assert out.columns == docs.columns, name
         assert out.count() > 15
         assert {(r.score, r.n_dropped, r.digest, r.n_lines) for r in out.collect()} == {("s", 9, "d", 1)}
+        assert all(r[c] == f"my {c}" for r in out.collect() for c in clashing)
         docs = out
     assert P.STAGES[-1][1](spark, docs, str(tmp_path)).count() > 20
 
@@ -60,6 +63,9 @@ def test_rejects_what_has_no_language(spark, documents):
     out = P.language(spark, documents((1, "the house and the dog", "en"), (2, "123 456"), (3, None), (4, "a house of the people", "en")), "")
     assert {r.doc_id for r in out.collect()} <= {1, 4}
     assert langid.Model([]).predict("text") == ("und", 0.0)
+    # where no language can be learned, all that has letters stays
+    out = P.language(spark, documents((1, "the house and the dog"), (2, "123 456"), (3, None), (4, "eine andere Sprache")), "")
+    assert {r.doc_id for r in out.collect()} == {1, 4}
 
 
 @pytest.mark.parametrize("name", [n for n, _ in P.STAGES])

@@ -101,7 +101,7 @@ def test_toxic_of_every_language_held_out(spark):
     for lang in ("en", "de", "fr", "es"):
         toxic = [rows[r.doc_id] for r in labels if r.toxic == 1 and docs[r.doc_id] == lang]
         clean = [rows[r.doc_id] for r in labels if (r.quality, r.toxic) == (1, 0) and docs[r.doc_id] == lang]
-        found, alarms, gone = (sum(x) / len(y) for x, y in (([r.votes[-2] == "2" for r in toxic], toxic), ([r.votes[-2] == "2" for r in clean], clean), ([not r.keep for r in toxic], toxic)))
+        found, alarms, gone = (sum(x) / len(y) for x, y in ((["2" in r.votes[-3:-1] for r in toxic], toxic), (["2" in r.votes[-3:-1] for r in clean], clean), ([not r.keep for r in toxic], toxic)))
         print(lang, len(toxic), found, gone, len(clean), alarms)
         assert found >= 0.85 and gone >= 0.85 and alarms <= 0.02
 
