@@ -52,6 +52,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = common.written()
     for name, stage in STAGES[:-1]:
         docs = common.save(stage(spark, docs, sf_dir), f"stage-{name}")
+        common.tidy(before, docs)  # what the stage read and wrote for itself
     return STAGES[-1][1](spark, docs, sf_dir)
