@@ -399,7 +399,13 @@ def band(column: Column, places: int = 2) -> Column:
 
 query("geo_length", f"{SEGMENTS_SQL} select osm_id, round(length, 2) as length from len")(lambda s, d: P.lines(s, d).select("osm_id", band(geo.length_column(F.col("coords"))).alias("length")))
 query("geo_area", f"{RINGS_SQL} select osm_id, round(area / 1000, 2) as area from ar")(lambda s, d: rings(s, d).select("osm_id", band(geo.polygon_area_column(F.col("coords")) / 1000).alias("area")))
-query("geo_bearing", f"with {P.POINTS_SQL}, w as (select osm_id, radians(lon) as x1, radians(lat) as y1, radians(lead(lon) over w) as x2, radians(lead(lat) over w) as y2, i from points window w as (partition by osm_id order by i)) select osm_id, round((atan2(sin(x2 - x1) * cos(y2), cos(y1) * sin(y2) - sin(y1) * cos(y2) * cos(x2 - x1)) + 2 * pi()) % (2 * pi()), 6) as bearing from w where i = 1 and x2 is not null")(
+BEARING_SQL = f"""with {P.POINTS_SQL}, w as (
+  select osm_id, radians(lon) as x1, radians(lat) as y1, radians(lead(lon) over w) as x2, radians(lead(lat) over w) as y2, i
+  from points window w as (partition by osm_id order by i)
+)
+select osm_id, round((atan2(sin(x2 - x1) * cos(y2), cos(y1) * sin(y2) - sin(y1) * cos(y2) * cos(x2 - x1)) + 2 * pi()) % (2 * pi()), 6) as bearing
+from w where i = 1 and x2 is not null"""
+query("geo_bearing", BEARING_SQL)(
     lambda s, d: P.lines(s, d).where(F.size("coords") > 1).select("osm_id", band(geo.bearing_column(F.col("coords")[0], F.col("coords")[1]), 6).alias("bearing"))
 )
 RING_LENGTH_SQL = f"""{RINGS_SQL}, sp as (select *, radians(lon) as x, atan({LENGTH_SHARE} * tan(radians(lat))) as y from closed),

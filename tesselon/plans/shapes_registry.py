@@ -74,7 +74,13 @@ open_pt as (
 query("filter_geom_length", f"{OPEN_SQL} select d as \"timestamp\", o as osm_id from len where length between 20000 and 90000")(
     lambda s, d: snapshots(s, d, "length:(20000..90000)").rows().select(F.col("snapshot_ts").alias("timestamp"), "osm_id")
 )
-query("view_geometry_types", f"{OPEN_SQL}, k as (select d, 'way' as osm_type, 'line' as geometry from len union all select d, 'way', 'polygon' from instants, good where {BUILDINGS} union all select d, 'relation', 'polygon' from instants, good where o % 2 = 0 and n >= 4 union all select d, 'node', 'point' from pt) select d as \"timestamp\", osm_type, geometry, count(*) as n from k group by all")(
+TYPES_SQL = f"""{OPEN_SQL}, k as (
+  select d, 'way' as osm_type, 'line' as geometry from len
+  union all select d, 'way', 'polygon' from instants, good where {BUILDINGS}
+  union all select d, 'relation', 'polygon' from instants, good where o % 2 = 0 and n >= 4
+  union all select d, 'node', 'point' from pt
+) select d as "timestamp", osm_type, geometry, count(*) as n from k group by all"""
+query("view_geometry_types", TYPES_SQL)(
     lambda s, d: (lambda b: b.rows().groupBy(F.col("snapshot_ts").alias("timestamp"), "osm_type", b.metric("geometry").alias("geometry")).agg(F.count(F.lit(1)).alias("n")))(snapshots(s, d, "").geometries())
 )
 

@@ -123,3 +123,16 @@ def test_rows_of_a_database(spark):
     rows = spark.createDataFrame([("way", 1, 1, True, datetime(2020, 1, 1), 2, 3, None, None, '{"a": "b"}', '[{"type": "node", "id": 5, "role": ""}]')], "osm_type string, osm_id long, version int, visible boolean, ts timestamp_ntz, changeset_id long, user_id int, lon_e7 int, lat_e7 int, tags string, members string")
     r = jdbc.from_text(rows).first()
     assert r.tags == {"a": "b"} and r.members[0].id == 5
+
+
+def test_translator_of_tags(spark):
+    from tesselon.sources.tags import TagTranslator
+
+    rows = [("node", 1, 1, True, datetime(2020, 1, 1), 1, 1, {"a": "b", "c": "d"}, 1, 1, None)]
+    t = TagTranslator(spark.createDataFrame(rows, model.VERSIONS))
+    assert t.key("a") == "a" and t.tag("a", "b") == ("a", "b") and t.role("outer") == "outer"
+    assert t.keys(["a"]) == {"a": "a"} and t.tags([("a", "b")]) == {("a", "b"): ("a", "b")} and t.roles(["x"]) == {"x": "x"}
+    assert t.in_use(["a", "x"], [("a", "b"), ("a", "c"), ("x", "y")]) == ({"a"}, {("a", "b")})
+    assert t.in_use() == (set(), set())
+    with pytest.raises(ValueError):
+        TagTranslator().in_use(["a"])
