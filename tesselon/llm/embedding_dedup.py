@@ -105,7 +105,7 @@ def check_blocks(cosine: float):
                 parts = []
                 for ids, weights, units, keys in (sides[:4], sides[4:]) if i != j else (sides[:4],):
                     ids = np.frombuffer(ids, "<i8")
-                    parts.append((ids, np.frombuffer(weights, "<i8"), np.frombuffer(units, np.float64).reshape(len(ids), -1), np.frombuffer(keys, "<i8").reshape(len(ids), -1)))
+                    parts.append((ids, np.frombuffer(weights, "<i8"), np.frombuffer(units, np.float64).reshape(len(ids), -1), np.frombuffer(keys, "<i8").reshape(len(ids), table)))
                 (ids, weight, x, own), (others, weights, y, theirs) = parts[0], parts[-1]
                 linked = x @ y.T >= cosine
                 if i == j:
@@ -155,7 +155,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, exact: bool = False)
     part = F.pmod(F.xxhash64("id", "table"), F.ceil(F.col("m") / PART)).cast("int")
     members = posted.join(full, bucket).select(*bucket, part.alias("part"), "id").join(reps.select("id", "weight", "unit", "keys"), "id")
     keys = [*bucket, "part"]
-    members = members.select(*keys, "id", "weight", "unit", "keys").repartition(*keys).sortWithinPartitions(*keys)
+    # a pair counts in the first table where it meets: the keys of the tables before tell
+    members = members.select(*keys, "id", "weight", "unit", F.slice("keys", 1, F.col("table")).alias("keys")).repartition(*keys).sortWithinPartitions(*keys)
     packs = common.save(members.mapInArrow(common.lean(packed), BLOCK), "vector-blocks", "lz4")
     values = ["ids", "weights", "units", "keys"]
     one = packs.select(*bucket, F.col("part").alias("i"), *values)
