@@ -272,11 +272,11 @@ MEMBER_LOG_SQL = f"""with {P.VERSIONS_SQL}, ways as (
   select osm_id, ts, changeset_id from causes qualify row_number() over (partition by osm_id, ts order by rank, cause, version desc) = 1
 ), state as (
   select t.*, w.visible as alive, w.kind, w.k, w.version, w.ms from times t join ways w on w.osm_id = t.osm_id and w.ts <= t.ts and (w.valid_to is null or t.ts < w.valid_to)
-), at as (
+), ref as (
   select osm_id, ts, unnest(ms) as m, generate_subscripts(ms, 1) as pos from state
 ), line as (
-  select at.osm_id, at.ts, list((n.lon_e7, n.lat_e7) order by at.pos) as coords
-  from at join nodes n on n.osm_id = at.m and n.visible and n.ts <= at.ts and (n.valid_to is null or at.ts < n.valid_to) group by all
+  select ref.osm_id, ref.ts, list((n.lon_e7, n.lat_e7) order by ref.pos) as coords
+  from ref join nodes n on n.osm_id = ref.m and n.visible and n.ts <= ref.ts and (n.valid_to is null or ref.ts < n.valid_to) group by all
 ), st as (select state.*, coords from state left join line using (osm_id, ts)
 ), fold as (
   select * from (select *, coalesce(lag(alive) over w, false) as was from st window w as (partition by osm_id order by ts)) where alive or was
