@@ -23,9 +23,9 @@ ODD = re.compile(rb"[\x1c-\x1f]|<\|")
 # lower-case letters of ASCII and Latin-1, in UTF-8
 LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 BEYOND_LATIN_1 = re.compile(rb"[\xc4-\xff]")
-#: Words remembered by a worker, at most, and bytes of the longest of them: some 120 MB together. A word is remembered from the
+#: Words remembered by a worker, at most, and bytes of the longest of them: some 80 MB together. A word is remembered from the
 #: second time on that a word of its hash (of SEEN) is met.
-CACHE_WORDS, LONGEST, SEEN = 600_000, 64, 1 << 22
+CACHE_WORDS, LONGEST, SEEN = 400_000, 64, 1 << 22
 # Texts by which a vocabulary is probed: what may be cut at white space must give the same ids whole and in words.
 PROBES = ("a b", "The end. Of it,\tall\n\nof  it", "don't we'll I'm 's", "x1 2y 33", "\u00e9t\u00e9 STRASSE stra\u00dfe", "(so) -- it; \"is\" #1", " leading and trailing ", "\u4f60\u597d \u0416\u0416 \u0130. A\u030a b")
 
