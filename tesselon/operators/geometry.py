@@ -101,46 +101,8 @@ def assemble(outer_lines: list[np.ndarray], inner_lines: list[np.ndarray]) -> li
     return [(turned(o, 1), h) for o, h in zip(outers, holes, strict=True)]
 
 
-def relation_geometry(members: list[tuple[str, str, list]], tags: dict[str, str]) -> tuple[str, list]:
-    """("polygon", polygons) of an area relation, else ("other", the members' lines and points that are there).
-
-    members: (type, role, coordinates). Ways of role outer or none are outer, of role inner inner. A multipolygon without a
-    closed outer ring falls back to the collection.
-    """
-    if tags.get("type") in areas.AREA_RELATIONS:
-        ways = [(role, np.array(c, float)) for kind, role, c in members if kind == "way" and c]
-        polygons = assemble([c for role, c in ways if role in ("outer", "")], [c for role, c in ways if role == "inner"])
-        if polygons:
-            return "polygon", polygons
-    return "other", [np.array(c, float) for _, _, c in members if c]
-
-
-def multipolygons(parts: DataFrame, key: list[str]) -> DataFrame:
-    """parts(key..., role, coords: the lines of outer and inner ways) -> key..., area, perimeter, outers, inners, squareness; one group per relation, bounded by its members."""
-    schema = ", ".join(f"`{k}` {parts.schema[k].dataType.simpleString()}" for k in key)
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        lines = lambda role: [np.array([(p["lon"], p["lat"]) for p in c], float) for r, c in zip(pdf["role"], pdf["coords"], strict=True) if r in role and len(c) > 1]
-        polygons = assemble(lines(("outer", "")), lines(("inner",)))
-        rings = [r for o, h in polygons for r in (o, *h)]
-        out = (sum(geo.polygon_area(o, h) for o, h in polygons), sum(map(geo.length, rings)), len(polygons), sum(len(h) for _, h in polygons), geo.squareness(rings) if rings else 0.0)
-        return pd.DataFrame([(*(pdf[k].iloc[0] for k in key), *out)], columns=[*key, "area", "perimeter", "outers", "inners", "squareness"])
-
-    return parts.select(*key, "role", "coords").groupBy(*key).applyInPandas(build, f"{schema}, area double, perimeter double, outers int, inners int, squareness double")
-
-
-def squareness_column(coords: Column) -> Column:
-    """Squareness of lines or rings, in Arrow batches: it tries every edge's direction, which no built-in function can express."""
-
-    @F.pandas_udf("double")
-    def measure(lines: pd.Series) -> pd.Series:
-        return lines.map(lambda c: geo.squareness([np.array([(p["lon"], p["lat"]) for p in c], float)]) if c is not None and len(c) > 1 else 0.0)
-
-    return measure(coords)
-
-
 def clipped_length_column(coords: Column, box: tuple[float, float, float, float]) -> Column:
-    """Metres of the parts of lines that lie in a box; lines wholly inside or outside never leave the JVM."""
+    """Metres of the parts of lines that lie in a box; lines wholly inside or outside are measured in the JVM, and go to Python as null."""
 
     @F.pandas_udf("double")
     def cut(c: pd.Series) -> pd.Series:
@@ -152,4 +114,5 @@ def clipped_length_column(coords: Column, box: tuple[float, float, float, float]
     apart = (F.array_max(lons) < a) | (F.array_min(lons) > c) | (F.array_max(lats) < b) | (F.array_min(lats) > d)
     from tesselon.functions.geo import length_column
 
-    return F.when(within, length_column(coords)).when(apart | (F.size(coords) < 2), F.lit(0.0)).otherwise(cut(coords))
+    none = apart | (F.size(coords) < 2)
+    return F.when(within, length_column(coords)).when(none, F.lit(0.0)).otherwise(cut(F.when(~(within | none), coords)))

@@ -202,16 +202,30 @@ def region_rings(region) -> list[np.ndarray]:
     return [np.array(r, float) / 1e7 for r in region]
 
 
-def clip_shape(shape: dict, rings: list[np.ndarray]) -> dict | None:
-    """What of a shape lies in a polygon; None if nothing does. Touching counts for points and lines."""
+def clip_shape(shape: dict, rings: list[np.ndarray], box: bool = False) -> dict | None:
+    """What of a shape lies in a polygon (box: its one ring is a box); None if nothing does. Places on an edge are inside."""
     points = [p for p in shape["points"] if geo.inside(_pairs([p]), rings)[0]]
-    lines = [part for line in shape["lines"] for part in geo.line_in_polygon(_pairs(line), rings)]
+    bounds = (*rings[0].min(0), *rings[0].max(0)) if box else None
+    lines = [part for line in shape["lines"] for part in (geo.clip_line(_pairs(line), bounds) if box else geo.line_in_polygon(_pairs(line), rings))]
     polygons = [p for rings_of in shape["polygons"] for p in geo.polygon_in_polygon([_pairs(r) for r in rings_of], rings)]
     if not points and not lines and not polygons:
         return None
     return {"kind": shape["kind"], "points": points, "lines": [_plain(x) for x in lines], "polygons": [[_plain(r) for r in p] for p in polygons]}
 
 
+def clip_shapes(values: list[dict | None], rings: list[np.ndarray], box: bool = False) -> list[dict | None]:
+    """clip_shape of each; single points all at once."""
+    out: list[dict | None] = [None] * len(values)
+    single = [k for k, s in enumerate(values) if s is not None and len(s["points"]) == 1 and not s["lines"] and not s["polygons"]]
+    if single:
+        for k, ok in zip(single, geo.inside(_pairs([values[k]["points"][0] for k in single]), rings).tolist(), strict=True):
+            out[k] = values[k] if ok else None
+    for k in set(range(len(values))) - set(single):
+        if values[k] is not None:
+            out[k] = clip_shape(values[k], rings, box)
+    return out
+
+
 def clipped(shape: Column, region) -> Column:
     """A shape cut to a box or polygon; null if they do not meet. Shapes wholly within a box, or apart from the region's box, are settled in the JVM."""
     rings = region_rings(region)
@@ -225,7 +239,7 @@ def clipped(shape: Column, region) -> Column:
 
     @F.arrow_udf(SHAPE)
     def cut(shapes: pa.Array) -> pa.Array:
-        return pa.array([None if s is None else clip_shape(s, rings) for s in shapes.to_pylist()], _ARROW)
+        return pa.array(clip_shapes(shapes.to_pylist(), rings, isinstance(region[0], (int, float))), _ARROW)
 
     # batches pass every row to Python: those that are settled go as null
     edge = cut(F.when(~F.coalesce(settled, F.lit(True)), shape))
@@ -269,10 +283,15 @@ def split_by_regions(df: DataFrame, regions: dict[str, tuple], name: str, sides:
 
     @F.arrow_udf(SHAPE)
     def cut(shapes: pa.Array, names: pa.Array) -> pa.Array:
-        out = []
-        for s, n in zip(shapes.to_pylist(), names.to_pylist(), strict=True):
-            found = [x for part in pieces[n] if (x := clip_shape(s, part))] if s is not None else []
-            out.append({"kind": found[0]["kind"], **{c: [y for x in found for y in x[c]] for c in ("points", "lines", "polygons")}} if found else None)
+        values, of = shapes.to_pylist(), names.to_pylist()
+        out: list[dict | None] = [None] * len(values)
+        for n in set(of):
+            mine = [k for k, x in enumerate(of) if x == n and values[k] is not None]
+            cuts = [clip_shapes([values[k] for k in mine], part, isinstance(regions[n][0], (int, float))) for part in pieces[n]]
+            for k, *found in zip(mine, *cuts, strict=True):
+                found = [x for x in found if x is not None]
+                if found:
+                    out[k] = {"kind": found[0]["kind"], **{c: [y for x in found for y in x[c]] for c in ("points", "lines", "polygons")}}
         return pa.array(out, _ARROW)
 
     places = [F.col(f"{side}.shape") for side in sides] or [F.col("shape")]

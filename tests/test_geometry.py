@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tesselon.functions import areas, geo, grid
-from tesselon.operators import geometry
+from tesselon.operators import geometry, shapes
 
 SQUARE = np.array([(0, 0), (0, 1), (1, 1), (1, 0), (0, 0)], float)
 HOLE = np.array([(0.2, 0.2), (0.2, 0.4), (0.4, 0.4), (0.4, 0.2), (0.2, 0.2)], float)
@@ -61,16 +61,16 @@ def test_assembly():
     assert len(geometry.assemble([SQUARE], touching)[0][1]) == 1
     pinched = np.array([(0, 0), (1, 0), (1, 1), (0, 0), (-1, 0), (-1, -1), (0, 0)], float)
     assert len(geometry.join_rings([pinched])) == 2
-    assert geometry.relation_geometry([("way", "outer", SQUARE.tolist()), ("node", "", [(3, 3)])], {"type": "multipolygon"})[0] == "polygon"
-    assert geometry.relation_geometry([("way", "outer", SQUARE[:3].tolist())], {"type": "multipolygon"})[0] == "other"
-    assert geometry.relation_geometry([("way", "outer", SQUARE.tolist())], {"type": "route"})[0] == "other"
 
 
-def test_multipolygons_frame(spark):
-    coords = lambda r: [(float(x), float(y)) for x, y in r]
-    df = spark.createDataFrame([(1, "outer", coords(SQUARE)), (1, "inner", coords(HOLE)), (2, "outer", coords(SQUARE[:2]))], "id int, role string, coords array<struct<lon: double, lat: double>>")
-    got = {r.id: (r.outers, r.inners) for r in geometry.multipolygons(df, ["id"]).collect()}
-    assert got == {1: (1, 1), 2: (0, 0)}
+def test_shapes_of_relations():
+    part = lambda pos, role, line, area=False: {"pos": pos, "role": role, "area": area, "coords": [{"lon": float(x), "lat": float(y)} for x, y in line]}
+    whole = shapes.relation_shape(True, [part(0, "outer", SQUARE), part(1, "inner", HOLE), part(2, "", [(3, 3)])])
+    assert whole["kind"] == "polygon" and [len(p) for p in whole["polygons"]] == [2]
+    assert shapes.relation_shape(True, [part(0, "outer", SQUARE[:3])])["kind"] == "other"
+    route = shapes.relation_shape(False, [part(0, "outer", SQUARE, True), part(1, "", SQUARE), part(2, "", [(3, 3)])])
+    assert route["kind"] == "other" and [len(route[k]) for k in ("polygons", "lines", "points")] == [1, 1, 1]
+    assert shapes.relation_shape(False, [])["kind"] is None
 
 
 @pytest.mark.parametrize("tags,area", [({"building": "yes"}, True), ({"building": "no"}, False), ({"building": "yes", "area": "no"}, False), ({"highway": "services"}, True), ({"highway": "primary"}, False), ({"highway": "no"}, True), ({"natural": "cliff"}, False), ({"natural": "wood"}, True), ({"area": "yes"}, True), ({}, False)])
