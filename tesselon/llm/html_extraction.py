@@ -1,18 +1,19 @@
 """HTML extraction by nearest-URL page differencing.
 
 A page is read into lines: the text of its blocks, with character references decoded, white space turned into one
-blank, and the zone each stands in: article (in an article or main element), boilerplate (in an element, or one with a
-class, id or role, that names a menu, header, footer, sidebar, notice, advert, form, script, style or comment), or open.
-Classes and ids are matched as whole tokens, on inline elements only those that name adverts and sharing. An article inside
+blank, and the zone each stands in: article (in an article or main element), frame (in a main element that holds articles
+with more text than stands beside them: beside these), boilerplate (in an element, or one with a class, id or role, that
+names a menu, header, footer, sidebar, notice, advert, form, script, style or comment), or open. Classes and ids are matched as whole tokens, on inline elements only those that name adverts and sharing. An article inside
 a wrapper that only its class or id names so is the article where the page declares no other.
 
-Pages of a host with equal lines outside the article form a class; classes are ordered by URL path. A class's partner is
-the neighbour with the longer common start of the path (of equals the one before), so a page is compared with the nearest
-page that is not a copy of it. The lines outside the article of both are aligned by their longest common subsequence and
-lines both share are deleted, unless these are more than MOST_SHARED of the lines: such pages are near copies, of which
-differencing cannot tell what is the text, and the other neighbour is tried. Where a page declares its article, that is the
-text: lines beside it go whether shared or not, and lines of the article stay although a neighbour may hold the same
-article. Where it does not, the open lines that are not shared are the text.
+Pages of a host with equal lines outside the article, and if these hold a frame with equal articles too, form a class, for
+which its first page stands; classes are ordered by URL path. A class's partner is the neighbour with the longer common
+start of the path (of equals the one before), so a page is compared with the nearest page that is not a copy of it. The lines outside the article of both are aligned by their longest common subsequence and lines both share are
+deleted, unless more than MOST_SHARED of the lines that may be text, those of the article included, are shared: such pages
+are near copies, of which differencing cannot tell what is the text, and the other neighbour is tried. Where a page declares
+its article, that and the lines of the frame that are not shared (a title, but no path of menus and no heading of what else
+there is) are the text: open lines go whether shared or not, and lines of the article stay although a neighbour may hold the
+same article. Where it does not, the open lines that are not shared are the text.
 
 A page is parsed once, to a table of its lines; only a key, a path and line hashes of each class travel for the pairing.
 Hot hosts are no group: order and partners come from one range-partitioned sort.
@@ -27,6 +28,7 @@ from __future__ import annotations
 import bisect
 import html as entities
 import re
+from collections import Counter
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -38,11 +40,13 @@ from pyspark.sql import functions as F
 
 from tesselon.llm import common
 
-ARTICLE, OPEN, BOILERPLATE, WRAPPED = 0, 1, 2, 3  # wrapped: an article in a wrapper named as boilerplate, while a page is read
+ARTICLE, OPEN, BOILERPLATE, FRAME, WRAPPED, WRAPPED_FRAME = range(6)  # wrapped: in a wrapper named as boilerplate, while a page is read
+#: Zones of elements that declare the article: as they are, and in such a wrapper.
+DECLARED = {"article": (ARTICLE, WRAPPED), "main": (FRAME, WRAPPED_FRAME)}
 # a quoted value belongs to an attribute, and holds no tag; a quote anywhere else is a character like others
 VALUE = r"=\s*\"(?:[^\"<]|<(?![a-zA-Z/!]))*\"|=\s*'(?:[^'<]|<(?![a-zA-Z/!]))*'"
 TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]+|{VALUE}|=)*)(?:>|\Z)", re.S)
-#: Share of a page's lines outside its article that a partner may have too; beyond it the two are copies.
+#: Share of a page's lines that may be text that a partner may have too; beyond it the two are copies.
 MOST_SHARED = 0.9
 # fixed names of HTML elements
 RAW = frozenset("script style noscript template textarea iframe title svg math object".split())
@@ -74,7 +78,8 @@ def _named(attributes: str, names: frozenset = NAMES) -> tuple[bool, bool]:
 
 def lines_of(page: str | None) -> list[tuple[int, str]]:
     """(zone, text) of each block that has text, in page order."""
-    out, held, at, stack, zone, wrapper = [], [], 0, [], OPEN, False
+    out, held, at, stack, zone, wrapper, main = [], [], 0, [], OPEN, False, False
+    size: Counter = Counter()  # code points of main elements: of their articles, and beside these
     page = page or ""
 
     def block():
@@ -82,11 +87,13 @@ def lines_of(page: str | None) -> list[tuple[int, str]]:
             text = " ".join(entities.unescape("".join([t for y, t in held if y == z])).split())
             if text:
                 out.append((z, text))
+                if main:
+                    size[z] += len(text)
         held.clear()
 
     def leave(depth: int):
-        nonlocal zone, wrapper
-        zone, wrapper = stack[depth][1:]
+        nonlocal zone, wrapper, main
+        zone, wrapper, main = stack[depth][1:]
         del stack[depth:]
 
     while True:
@@ -104,7 +111,7 @@ def lines_of(page: str | None) -> list[tuple[int, str]]:
                 if depth is not None and stack[depth][0] == name:
                     leave(depth)
             elif name not in VOID and not tag[3].endswith("/"):
-                stack.append((name, zone, wrapper))
+                stack.append((name, zone, wrapper, main))
                 if zone != BOILERPLATE and _named(tag[3], INLINE_NAMES)[1]:
                     zone = BOILERPLATE
             continue
@@ -129,24 +136,27 @@ def lines_of(page: str | None) -> list[tuple[int, str]]:
                 depth = k
         if depth is not None:
             leave(depth)
-        stack.append((name, zone, wrapper))
+        stack.append((name, zone, wrapper, main))
         role, token = _named(tag[3]) if name not in ("body", "html") else (False, False)
         if zone != BOILERPLATE:
-            if name in ("article", "main"):
-                zone = ARTICLE if zone != WRAPPED else WRAPPED
-            elif name in SKIPPED and not (name == "header" and zone in (ARTICLE, WRAPPED)) or role:
+            if name in DECLARED:
+                if name == "article" or zone not in (ARTICLE, WRAPPED):
+                    zone, main = DECLARED[name][zone in (WRAPPED, WRAPPED_FRAME)], main or name == "main"
+            elif name in SKIPPED and not (name == "header" and zone != OPEN) or role:
                 zone, wrapper = BOILERPLATE, False
             elif token:
                 zone, wrapper = BOILERPLATE, zone == OPEN
         elif name in SKIPPED or role:
             wrapper = False
-        elif wrapper and name in ("article", "main"):
-            zone, wrapper = WRAPPED, False
+        elif wrapper and name in DECLARED:
+            zone, wrapper, main = DECLARED[name][1], False, main or name == "main"
     block()
-    if any(z == WRAPPED for z, _ in out):
-        wrapped = BOILERPLATE if any(z == ARTICLE for z, _ in out) else ARTICLE
-        out = [(wrapped if z == WRAPPED else z, t) for z, t in out]
-    return out
+    if any(z in (ARTICLE, FRAME) for z, _ in out):
+        final, frame = {WRAPPED: BOILERPLATE, WRAPPED_FRAME: BOILERPLATE}, size[ARTICLE] > size[FRAME]
+    else:
+        final, frame = {WRAPPED: ARTICLE, WRAPPED_FRAME: FRAME}, size[WRAPPED] > size[WRAPPED_FRAME]
+    out = [(final.get(z, z), t) for z, t in out]
+    return out if frame else [(ARTICLE if z == FRAME else z, t) for z, t in out]  # without a frame a main element is all article
 
 
 def host_and_path(url: str | None) -> tuple[str, str]:
@@ -190,30 +200,36 @@ def _common_start(a: str, b: str) -> int:
     return next((k for k in range(n) if a[k] != b[k]), n)
 
 
-LINES = "page_id long, url string, rid long, host string, path string, zones binary, texts array<string>, lines array<long>"
+LINES = "page_id long, url string, host string, path string, key long, zones binary, texts array<string>, lines array<long>, body array<long>"
+
+
+def _key(zones: bytes, lines: np.ndarray, body: np.ndarray) -> int:
+    """A hash of what the pages of a class have in common."""
+    parts = [bytes([len(body) > 0]), zones.replace(bytes([ARTICLE]), b""), lines.tobytes(), body.tobytes() if FRAME in zones else b""]
+    return xxhash.xxh3_64_intdigest(b"".join(len(x).to_bytes(8, "little") + x for x in parts)) - (1 << 63)
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
-    """Saved: each page's zones (a byte for each line) and texts, and the hashes of its lines outside the article; rid is a hash of the row."""
+    """Saved: each page's zones (a byte for each line) and texts, the hashes of its lines outside the article and in it (body), and the key of its class."""
     common.tune(pages.sparkSession)
 
     def read(batches):
         for batch in batches:
-            cols = [[] for _ in range(5)]
-            for url, page in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            cols = [[] for _ in range(7)]
+            for url, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 lines = lines_of(page)
-                hashes = np.array([xxhash.xxh3_64_intdigest(t) for z, t in lines if z != ARTICLE], np.uint64).view(np.int64)
-                for c, v in zip(cols, (*host_and_path(url), bytes(z for z, _ in lines), [t for _, t in lines], hashes), strict=True):
+                zones = bytes(z for z, _ in lines)
+                hashes = [np.array([xxhash.xxh3_64_intdigest(t) for z, t in lines if (z == ARTICLE) == inside], np.uint64).view(np.int64) for inside in (False, True)]
+                for c, v in zip(cols, (*host_and_path(url), _key(zones, *hashes), zones, [t for _, t in lines], *hashes), strict=True):
                     c.append(v)
-            kinds = [pa.string(), pa.string(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[c.split()[0] for c in LINES.split(", ")])
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[c.split()[0] for c in LINES.split(", ")])
 
-    rows = pages.select("page_id", "url", F.xxhash64("page_id", "url", "html").alias("rid"), "html")
-    return common.save(rows.mapInArrow(common.lean(read), LINES), "page-lines")
+    return common.save(pages.select("page_id", "url", "html").mapInArrow(common.lean(read), LINES), "page-lines")
 
 
 def shared_lines(read_pages: DataFrame) -> DataFrame:
-    """Saved host, key, partner (its page_id), shared: for each class of a host's pages with equal lines outside the article (key: a hash of these), the places of those that its partner has too."""
+    """Saved host, key, partner (its page_id), shared: for each class of a host's pages, the places among the lines outside the article of those that its partner has too."""
 
     def number(batches):
         part, n = TaskContext.get().partitionId(), 0
@@ -221,11 +237,11 @@ def shared_lines(read_pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * batch.num_rows, pa.int32()), pa.array(range(n, n + batch.num_rows), pa.int64())], names=[*batch.schema.names, "part", "place"])
             n += batch.num_rows
 
-    schema = "host string, key long, path string, page_id long, lines array<long>"
+    schema = "host string, key long, path string, page_id long, zones binary, lines array<long>, body array<long>"
     keys = ["host", "path", "page_id", "key"]
-    first = F.min(F.struct("path", "page_id"))
-    classes = read_pages.groupBy("host", F.xxhash64("lines").alias("key")).agg(first.alias("first"), F.first("lines").alias("lines"))
-    classes = common.save(classes.select("host", "key", "first.path", "first.page_id", "lines"), "page-classes")
+    first = F.min(F.struct("path", "page_id", "zones", "body"))
+    classes = read_pages.groupBy("host", "key").agg(first.alias("first"), F.first("lines").alias("lines"))
+    classes = common.save(classes.select("host", "key", "first.path", "first.page_id", "first.zones", "lines", "first.body"), "page-classes")
     ordered = classes.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(common.lean(number), f"{schema}, part int, place long")
     ordered = common.save(ordered, "page-order")
     base, total = {}, 0
@@ -235,21 +251,23 @@ def shared_lines(read_pages: DataFrame) -> DataFrame:
         return read_pages.sparkSession.createDataFrame([], "host string, key long, partner long, shared array<int>")
     numbers = F.create_map(*[F.lit(x) for p, b in base.items() for x in (p, b)])
     placed = ordered.withColumn("n", F.col("place") + numbers[F.col("part")])
-    mine = placed.select("host", "path", "key", "lines", "n")
-    near = placed.select("host", "n", F.struct("path", "page_id", "lines").alias("near"))
+    mine = placed.select("host", "path", "key", "zones", "lines", "body", "n")
+    near = placed.select("host", "n", F.struct("path", "page_id", "lines", "body").alias("near"))
     before = near.select(F.col("host").alias("host_b"), (F.col("n") + 1).alias("n"), F.col("near").alias("before"))
     after = near.select(F.col("host").alias("host_a"), (F.col("n") - 1).alias("n"), F.col("near").alias("after"))
     met = mine.join(before, "n", "left").join(after, "n", "left")
-    met = met.select("host", "key", "path", "lines", F.when(F.col("host_b") == F.col("host"), F.col("before")).alias("before"), F.when(F.col("host_a") == F.col("host"), F.col("after")).alias("after"))
+    met = met.select("host", "key", "path", "zones", "lines", "body", F.when(F.col("host_b") == F.col("host"), F.col("before")).alias("before"), F.when(F.col("host_a") == F.col("host"), F.col("after")).alias("after"))
 
     def align(batches):
         for batch in batches:
             partners, shared = [], []
-            for path, lines, *sides in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
+            for path, zones, lines, body, *sides in zip(*(batch.column(k).to_pylist() for k in range(2, 8)), strict=True):
                 partner, places = None, []
+                may = [z == (FRAME if body else OPEN) for z in zones if z != ARTICLE]  # be text
                 for near in sorted((x for x in sides if x), key=lambda x: -_common_start(path, x["path"])):
                     same = common_lines(lines, near["lines"])
-                    if len(same) <= MOST_SHARED * len(lines):
+                    alike = sum(may[i] for i in same) + (Counter(body) & Counter(near["body"])).total()
+                    if alike <= MOST_SHARED * (sum(may) + len(body)):
                         partner, places = near["page_id"], same
                         break
                 partners.append(partner)
@@ -264,7 +282,7 @@ def extract(pages: DataFrame) -> DataFrame:
     rows, before = page_lines(pages), common.written()
     shared = shared_lines(rows)
     common.tidy(before, shared)
-    joined = rows.withColumn("key", F.xxhash64("lines")).join(shared, ["host", "key"], "left").select("page_id", "url", "zones", "texts", "partner", "shared")
+    joined = rows.join(shared, ["host", "key"], "left").select("page_id", "url", "zones", "texts", "partner", "shared")
 
     def run(batches):
         for batch in batches:
@@ -272,8 +290,8 @@ def extract(pages: DataFrame) -> DataFrame:
             for zones, lines, places in zip(*(batch.column(k).to_pylist() for k in (2, 3, 5)), strict=True):
                 gone, outside = set(places or ()), iter(range(len(lines)))
                 deleted = [z != ARTICLE and next(outside) in gone for z in zones]
-                wanted = ARTICLE if ARTICLE in zones else OPEN
-                texts.append(" ".join([t for z, t, d in zip(zones, lines, deleted, strict=True) if z == wanted and not d]))
+                wanted = (ARTICLE, FRAME) if ARTICLE in zones else (OPEN,)
+                texts.append(" ".join([t for z, t, d in zip(zones, lines, deleted, strict=True) if z in wanted and not d]))
                 counts.append(sum(deleted))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), batch.column(4), pa.array(counts, pa.int64())], names=["page_id", "url", "text", "n_chars", "partner", "n_shared"])
 

@@ -110,3 +110,55 @@ def test_text_follows_the_neighbour_where_no_article_is_declared(spark):
     for other, want in (("<p>Read more</p><p>x</p>", "mine Contact"), ("<p>y</p><p>Contact</p>", "Read more mine"), ("<p>z</p>", "Read more mine Contact")):
         got = {r.page_id: r.text for r in H.extract(pages(spark, mine, (2, "http://a.x/2", other))).collect()}
         assert got[1] == want
+
+
+def test_main_around_articles():
+    zones = lambda html: [(z, t) for z, t in H.lines_of(html) if z != H.BOILERPLATE]
+    long = "text " * 9 + "end"
+    assert zones(f"<main><p>a</p><article><header>h</header>{long}</article><header>b</header><nav>n</nav></main><p>c</p>") == [(H.FRAME, "a"), (H.ARTICLE, "h"), (H.ARTICLE, long), (H.FRAME, "b"), (H.OPEN, "c")]
+    assert zones(f'<div class="widget"><main>a<article>{long}</article></main></div>') == [(H.FRAME, "a"), (H.ARTICLE, long)]
+    assert zones(f"<article>{long}<main>a</main></article>") == [(H.ARTICLE, long), (H.ARTICLE, "a")]
+    # a main element that holds no article, or mostly text of its own, is the article
+    assert zones(f"<main>a</main><article>{long}</article>") == [(H.ARTICLE, "a"), (H.ARTICLE, long)]
+    assert zones(f"<main>{long}<article>a</article></main>") == [(H.ARTICLE, long), (H.ARTICLE, "a")]
+
+
+def framed(own, path="News", more="More stories", menu="Menu", head=True):
+    title = f"<h1>Title {own}</h1>" if head else ""
+    return f"<nav>{menu}</nav><main><div>{path}</div>{title}<article><p>{own} one</p><p>{own} two two two</p><p>Same words in both</p></article><div>{more}</div></main>"
+
+
+def test_text_follows_the_neighbour_beside_a_declared_article(spark):
+    mine, body = (1, "http://a.x/1", framed("mine")), "mine one mine two two two Same words in both"
+    for other, want in (
+        (framed("other"), f"Title mine {body}"),
+        (framed("other", path="Sport"), f"News Title mine {body}"),
+        (framed("other", more="Older"), f"Title mine {body} More stories"),
+        (framed("mine", menu="Another menu"), f"News Title mine {body} More stories"),  # a copy is no partner
+        ("<p>News</p><p>Same words in both</p>", f"Title mine {body} More stories"),
+    ):
+        got = {r.page_id: r.text for r in H.extract(pages(spark, mine, (2, "http://a.x/2", other))).collect()}
+        assert got[1] == want
+
+
+def test_pages_with_equal_frames_are_partners(spark):
+    rows = [(k, f"http://a.x/{k}", framed(f"p{k}", head=False)) for k in range(4)] + [(9, "http://a.x/2b", framed("p2", head=False))]
+    got = {r.page_id: r for r in H.extract(pages(spark, *rows)).collect()}
+    for k in (0, 1, 2, 3, 9):
+        own = "p2" if k == 9 else f"p{k}"
+        assert got[k].text == f"{own} one {own} two two two Same words in both" and got[k].partner is not None
+    assert got[9].partner == got[2].partner != 2
+
+
+def test_copies_with_other_menus_keep_their_text(spark):
+    page = lambda menu: "<nav>" + "".join(f"<li>{menu} {k}</li>" for k in range(5)) + "</nav><p>one</p><p>two</p>"
+    got = {r.page_id: (r.text, r.partner) for r in H.extract(pages(spark, (1, "http://a.x/1", page("a")), (2, "http://a.x/2", page("b")))).collect()}
+    assert got == {1: ("one two", None), 2: ("one two", None)}
+
+
+def test_query_takes_shared_lines_from_frames(spark, tmp_path):
+    pages(spark, *[(k, f"http://a.x/{k}", framed(f"p{k}")) for k in range(3)]).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.text, r.n_chars) for r in H.op8_html_extraction(spark, str(tmp_path)).collect()}
+    for k in range(3):
+        want = f"Title p{k} p{k} one p{k} two two two Same words in both"
+        assert got[k] == (want, len(want))
